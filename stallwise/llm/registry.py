@@ -1,7 +1,7 @@
 """All queries and oracle SQL of this subpackage."""
 
-from . import decontaminate
+from . import chat, decontaminate, packing, topk
 
-_MODULES = (decontaminate,)
+_MODULES = (decontaminate, topk, packing, chat)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
