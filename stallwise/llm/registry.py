@@ -1,7 +1,7 @@
 """All queries and oracle SQL of this subpackage."""
 
-from . import chat, decontaminate, packing, substring, topk
+from . import chat, decontaminate, packing, substring, topk, toxicity
 
-_MODULES = (decontaminate, topk, packing, substring, chat)
+_MODULES = (decontaminate, toxicity, topk, packing, substring, chat)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

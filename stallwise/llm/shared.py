@@ -69,6 +69,8 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: The words' separators: ASCII white space, 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,15 +105,17 @@ def text_steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[
         a = b
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, row, start, end) of every word, words being runs of non-space bytes, A-Z taken as a-z.
+def hashed_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(64-bit hash, row, start, end) of every word, words being runs of bytes that are no separators, A-Z taken as a-z.
+
+    For each length in prefixes, the hashes of the words' first so many bytes follow, 0 for a word that isn't longer.
 
     No word reaches over a row's end. Hashes depend on the word's bytes alone.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~SPACE[data]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in prefixes)
+    word = ~separators[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
@@ -127,4 +131,17 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     total[0] = 0
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(offsets, start, "right") - 1, start, end
+    more = []
+    for k in prefixes:
+        part = mix((total[np.minimum(start + k, end)] - total[start]) * down[start] + np.uint64(k << 32))
+        more.append(np.where(end - start > k, part, np.uint64(0)))
+    return h, np.searchsorted(offsets, start, "right") - 1, start, end, *more
+
+
+def word_hash(word: str, prefix: int = 0) -> int:
+    """The hash that hashed_words gives this word, or with prefix a longer word that begins with it."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    if prefix:
+        data = np.append(data[:prefix], data[:1])
+        return int(hashed_words(data, np.array([0, len(data)]), np.zeros(256, bool), (prefix,))[4][0])
+    return int(hashed_words(data, np.array([0, len(data)]), np.zeros(256, bool))[0][0])
