@@ -1,7 +1,7 @@
 """All queries and oracle SQL of this subpackage."""
 
-from . import chat, decontaminate, language_model, packing, substring, topk, toxicity
+from . import chat, decontaminate, jaccard, language_model, packing, substring, topk, toxicity
 
-_MODULES = (decontaminate, toxicity, topk, packing, substring, chat, language_model)
+_MODULES = (decontaminate, jaccard, toxicity, topk, packing, substring, chat, language_model)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
