@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import NOT_WORD, hashed_words, table, text_steps, word_hash
+from .shared import NOT_WORD, Workspace, hashed_words, table, text_steps, word_hash
 
 #: Words that make a text toxic in themselves. Fixed values.
 LEXICON = (
@@ -189,53 +189,35 @@ def _moments(voters: Voters):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs and labels may hold all rows: held-out ones are left out here."""
-    learn = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taken = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)  # bounded: broadcast below
-    rows = learn.join(F.broadcast(taken), "doc_id").select("text", "toxic").mapInArrow(_sample_keys, "toxic int, row_keys binary, row_votes binary").toLocalIterator()
-    return _fit(learn, list(rows))
-
-
-def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each sampled row's distinct feature hashes, and its pattern votes."""
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each feature, how many rows have it and how many of them are toxic; added up over the rows of a batch."""
     for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False)
+        toxic = np.asarray(batch.column(1)).astype(np.int64)
         for a, b, data, offsets in text_steps(batch.column(0)):
             row, key = features(data, offsets)
-            order = np.lexsort((key, row))
+            order = np.lexsort((row, key))
             row, key = row[order], key[order]
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
             row, key = row[new], key[new]
-            ends = np.searchsorted(row, np.arange(b - a + 1))
-            blobs = [key[ends[k] : ends[k + 1]].tobytes() for k in range(b - a)]
-            marks = [p.tobytes() for p in patterns(data, offsets)]
-            yield pa.RecordBatch.from_arrays([pa.array(toxic[a:b].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())], ["toxic", "row_keys", "row_votes"])
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            up = np.add.reduceat(toxic[a:b][row], first) if len(first) else first
+            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(np.diff(np.append(first, len(key)))), pa.array(up)], ["key", "df", "up"])
 
 
-def _telling(row: np.ndarray, key: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The features that mark toxic texts beyond doubt: 0.95 of the rows that have one are toxic, which chance explains for none of all the features tried.
+def _sample_hits(keys: np.ndarray):
+    """Each row's label, which of the sorted keys it has, and its pattern votes."""
 
-    Of nested features (a word and its beginnings) that fire on the same number of rows, only one is taken.
-    """
-    keys, which = np.unique(key, return_inverse=True)
-    df = np.bincount(which)
-    up = np.bincount(which, y[row])
-    p = y.mean()
-    rate = np.clip(up / df, 1e-9, 1 - 1e-9)
-    evidence = df * (rate * np.log(rate / p) + (1 - rate) * np.log((1 - rate) / (1 - p)))  # Chernoff's bound, minus its log
-    good = np.flatnonzero((rate >= 0.95) & (evidence > np.log(len(keys)) + 2))
-    good = good[np.argsort(-evidence[good], kind="stable")]
-    chosen, fired = [], set()
-    for k in good.tolist():
-        mark = hash(row[which == k].tobytes()) if len(chosen) < FOUND_VOTERS else 0
-        if len(chosen) < FOUND_VOTERS and mark not in fired:
-            fired.add(mark)
-            chosen.append(k)
-    return keys[np.array(chosen, np.int64)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_steps(batch.column(0)):
+                row, which = _hits(data, offsets, keys)
+                ends = np.searchsorted(row, np.arange(b - a + 1))
+                blobs = [which[ends[k] : ends[k + 1]].astype(np.int32).tobytes() for k in range(b - a)]
+                marks = [p.tobytes() for p in patterns(data, offsets)]
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())], ["toxic", "hits", "marks"])
+
+    return run
 
 
 def gathered_moments(learn: DataFrame, voters: Voters) -> tuple[np.ndarray, float]:
@@ -247,46 +229,64 @@ def gathered_moments(learn: DataFrame, voters: Voters) -> tuple[np.ndarray, floa
     return flat[:-1].reshape(voters.n, voters.n), float(flat[-1])
 
 
-def _chosen(row: np.ndarray, key: np.ndarray, y: np.ndarray, most: int, least_rows: int) -> np.ndarray:
-    """The feature hashes that tell y best, by the z-score of their rate where y is high against where it is low."""
-    keys, which = np.unique(key, return_inverse=True)
-    df = np.bincount(which)
-    up = np.bincount(which, y[row])
-    p = y.mean()
-    z = (up - p * df) / np.sqrt(np.maximum(p * (1 - p) * df, 1e-9))
-    z[df < least_rows] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:most]
-    return keys[best[np.abs(z[best]) > 3]], z[best[np.abs(z[best]) > 3]]
-
-
-def _fit(learn: DataFrame, rows: list) -> Model:
-    y = np.array([r[0] for r in rows], float)
-    keys = [np.frombuffer(bytes(r[1]), np.uint64) for r in rows]
-    row, key = np.repeat(np.arange(len(keys)), list(map(len, keys))), np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    if not len(y) or y.min() == y.max():
-        lexicon = np.unique(np.array([word_hash(w) for w in LEXICON], np.uint64))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The classifier; docs and labels may hold all rows: held-out ones are left out here.
+
+    Voters are features of which 0.95 of the rows that have one are toxic, which chance explains for none of all features tried (Chernoff's
+    bound); of nested ones (a word and its beginnings) that fire on the same rows, one is taken. Features are those that tell the
+    classes apart best (z-score).
+    """
+    ws = Workspace(docs.sparkSession, "toxicity")
+    learn = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    taken = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)  # bounded, so it is broadcast
+    rows = ws.write(learn.join(F.broadcast(taken), "doc_id").select("text", "toxic"), "sample")
+    n, p = rows.agg(F.count(F.lit(1)), F.avg("toxic")).first()
+    lexicon = np.unique(np.array([word_hash(w) for w in LEXICON], np.uint64))
+    if not n or p in (0.0, 1.0):
         return Model(lexicon, np.full(len(lexicon), 4.0), -2.2)
-    found = _telling(row, key, y)
-    voters = Voters(found)
-    both, n = gathered_moments(learn, voters)
+
+    stats = ws.write(rows.mapInArrow(_feature_counts, "key long, df long, up long").groupBy("key").agg(F.sum("df").alias("df"), F.sum("up").alias("up")), "features")
+    rate = F.least(F.greatest(F.col("up") / F.col("df"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    evidence = F.col("df") * (rate * F.log(rate / p) + (1 - rate) * F.log((1 - rate) / (1 - p)))
+    telling = stats.withColumn("evidence", evidence).filter((rate >= 0.95) & (F.col("evidence") > float(np.log(max(stats.count(), 1)) + 2)))
+    telling = [r[0] for r in telling.orderBy(F.desc("evidence"), "key").limit(8 * FOUND_VOTERS).select("key").collect()]
+    z = F.abs(F.col("up") - p * F.col("df")) / F.sqrt(p * (1 - p) * F.col("df"))
+    used = [r[0] for r in stats.filter("df >= 3").withColumn("z", z).filter("z > 3").orderBy(F.desc("z"), "key").limit(FEATURES).select("key").collect()]
+    voters = Voters(np.zeros(0, np.uint64))
+    keys = np.unique(np.concatenate((voters.table, np.array(telling + used, np.int64).view(np.uint64))))
+
+    taken_rows = rows.mapInArrow(_sample_hits(keys), "toxic int, hits binary, marks binary").collect()  # sample rows, of chosen features only
+    y = np.array([r[0] for r in taken_rows], float)
+    hits = [np.frombuffer(bytes(r[1]), np.int32) for r in taken_rows]
+    row, which = np.repeat(np.arange(len(hits)), list(map(len, hits))), np.concatenate(hits).astype(np.int64)
+    fired, found = set(), []
+    by_key = np.argsort(which, kind="stable")
+    begins = np.searchsorted(which[by_key], np.arange(len(keys) + 1))
+    for key in np.array(telling, np.int64).view(np.uint64):
+        k = int(np.searchsorted(keys, key))
+        mark = row[by_key[begins[k] : begins[k + 1]]].tobytes()
+        if mark not in fired and len(found) < FOUND_VOTERS:
+            fired.add(mark)
+            found.append(int(key))
+    voters = Voters(np.array(found, np.uint64))
+    both, n_all = gathered_moments(learn, voters)
     start = np.full(voters.n, 0.05)
     start[:-3] = np.where(voters.weak, 0.01, np.where(voters.anchor, 1.0, 0.5))
     start[-1] = -1.0
+
     votes = np.zeros((len(y), voters.n), bool)
-    at = np.minimum(np.searchsorted(voters.table, key), len(voters.table) - 1)
-    real = voters.table[at] == key
-    votes[row[real], at[real]] = True
-    votes[:, -3:-1] = np.array([np.frombuffer(bytes(r[2]), bool) for r in rows])
+    column = np.full(len(keys), -1)
+    column[np.searchsorted(keys, voters.table)] = np.arange(len(voters.table))
+    real = column[which] >= 0
+    votes[row[real], column[which[real]]] = True
+    votes[:, -3:-1] = np.array([np.frombuffer(bytes(r[2]), bool) for r in taken_rows])
     votes[:, -1] = ~votes[:, : len(voters.table)][:, ~voters.weak].any(axis=1)
-    model = LabelModel(n, both, float(y.mean()), start, votes.sum(axis=0), votes[y > 0].sum(axis=0))
-    soft = model.posterior(votes)
-
-    used, _ = _chosen(row, key, soft, FEATURES, 3)
-    used = np.unique(np.concatenate((used, voters.table[voters.anchor | np.isin(voters.table, found)])))
-    at = np.minimum(np.searchsorted(used, key), len(used) - 1)
-    real = used[at] == key
-    weights, bias = fit_linear(row[real], at[real], len(used), soft)
-    return Model(used, weights, bias)
+    model = LabelModel(n_all, both, float(y.mean()), start, votes.sum(axis=0), votes[y > 0].sum(axis=0))
+    weights, bias = fit_linear(row, which, len(keys), model.posterior(votes))
+    ws.drop("sample", "features")
+    return Model(keys, weights, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
