@@ -277,8 +277,8 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(sent):
-    """Each class of the filter once for each task: its bitmap and its sorted set."""
+def _sets(sent, make):
+    """Each class of the filter once for each task, with make of its sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.unpackbits(sent.value).astype(bool), np.zeros(0, np.int64)
@@ -292,14 +292,27 @@ def _sets(sent):
                 found = found[np.sort(first)]
                 found = found[~np.isin(node[found], seen)]
                 seen = np.union1d(seen, node[found])
-                own = [keys[at[r] : at[r + 1]] for r in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[found]), pa.array([bitmap(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "bits", "keys"]
-                )
+                made = [make(keys[at[r] : at[r + 1]]).tobytes() for r in found]
+                yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(made, pa.binary())], ["node", "made"])
 
     return run
 
 
+def _made(texts: DataFrame, pairs: DataFrame, make) -> DataFrame:
+    """node, made for every class in the pairs (and a few others), once each."""
+    sent = texts.sparkSession.sparkContext.broadcast(_bloom(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+    return texts.mapInArrow(_sets(sent, make), "node long, made binary").dropDuplicates(["node"])
+
+
+def _whole(keys: np.ndarray) -> np.ndarray:
+    return keys
+
+
+def _with_both(pairs: DataFrame, made: DataFrame, *columns: str) -> DataFrame:
+    side = lambda k: made.select(F.col("node").alias(k), F.col("made").alias(f"made_{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *columns, "made_a", "made_b")
+
+
 def bound(bits_a: np.ndarray, bits_b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """The largest intersection that the bitmaps (rows of bytes) allow."""
     return (na + nb - np.bitwise_count(bits_a ^ bits_b).sum(axis=1).astype(np.int64)) // 2
@@ -332,19 +345,11 @@ def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prove(texts: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """The links among pairs (a, b, na, nb; distinct, written)."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(_bloom(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
-    sets = texts.mapInArrow(_sets(sent), "node long, bits binary, keys binary")
-    sets = ws.write(sets, f"sets{name}")
-    bits = sets.groupBy("node").agg(F.min("bits").alias("bits"))
-    near = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
-    near = ws.write(near.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long"), f"bounded{name}")
-    whole = sets.select("node", "keys").dropDuplicates(["node"])
-    full = near.join(whole.select(F.col("node").alias("a"), F.col("keys").alias("keys_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("keys").alias("keys_b")), "b")
-    links = ws.write(full.select("a", "b", "keys_a", "keys_b").mapInArrow(_proven, "a long, b long"), f"links{name}")
-    ws.drop(f"sets{name}", f"bounded{name}")
-    return links
+    """The links among pairs (a, b, na, nb; distinct, written). Whole sets are made, in another pass, only for pairs that the bitmaps allow."""
+    near = _with_both(pairs, _made(texts, pairs, bitmap), "na", "nb").mapInArrow(_bounded, "a long, b long")
+    near = ws.write(near, f"bounded{name}")
+    links = _with_both(near, _made(texts, near, _whole)).mapInArrow(_proven, "a long, b long")
+    return ws.write(links, f"links{name}")
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
