@@ -59,7 +59,7 @@ def timestamp(c: Column) -> Column:
 
 
 def hours_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(3.6e9)
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(3.6e9)
 
 
 def clamp(x: Column, low, high) -> Column:
