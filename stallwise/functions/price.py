@@ -67,7 +67,7 @@ def _cents(c: Column) -> Column:
 
 def numeric_token(c: Column) -> Column:
     """The first number of a raw price, comma read as point; null if none."""
-    return F.nullif(F.regexp_extract(F.translate(c.cast("string"), ",", "."), r"(\d+(?:\.\d+)?)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.translate(c.cast("string"), ",", "."), r"(-?\d+(?:\.\d+)?)", 1), F.lit(""))
 
 
 def places(token: Column) -> Column:

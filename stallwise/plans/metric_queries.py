@@ -25,7 +25,7 @@ u as (select *, sum(n) over w nu, sum(pos) over w pu, sum(n) over (partition by
 
 
 @query(f"""with {SCORES}, r as (select *, rank() over (partition by search order by s) + (count(*) over (partition by search, s) - 1) / 2.0 rk from scores), a as (select search, count(*) as n, sum(y) p, sum(case when y = 1 then rk else 0 end) rs from r group by 1), {_CUM},
-ap as (select search, sum(pos / pa * pu / nu) pr from u group by 1) select search, n as "rows", p::bigint positives, round((rs - p * (p + 1) / 2) / (p * (n - p)), 6)::double roc_auc, round(pr, 6)::double pr_auc from a join ap using (search)""")
+ap as (select search, sum(pos / pa * pu / nu) pr from u group by 1) select search, n as "rows", p::bigint positives, round((rs - p * (p + 1) / 2) / (p * (n - p)), 6)::double roc_auc, round(case when p > 0 and n > p then pr end, 6)::double pr_auc from a join ap using (search)""")
 def auc_by_search(spark, sf_dir):
     out = metrics.auc(scores(spark, sf_dir), ["search"], "s", "y")
     return out.select("search", "rows", "positives", r(F.col("roc_auc")).alias("roc_auc"), r(F.col("pr_auc")).alias("pr_auc"))

@@ -221,7 +221,7 @@ def time_split(spark, sf_dir):
 
 
 @query("""with n as (select c_mktsegment, (c_acctbal < 0)::int y, count(*) n from customer group by all)
-select c_mktsegment, y, 'train' split, floor(n * 0.6)::bigint n from n union all select c_mktsegment, y, 'validation', (floor(n * 0.8) - floor(n * 0.6))::bigint from n union all select c_mktsegment, y, 'test', (n - floor(n * 0.8))::bigint from n""")
+select * from (select c_mktsegment, y, 'train' split, floor(n * 0.6)::bigint n from n union all select c_mktsegment, y, 'validation', (floor(n * 0.8) - floor(n * 0.6))::bigint from n union all select c_mktsegment, y, 'test', (n - floor(n * 0.8))::bigint from n) where n > 0""")
 def stratified_split(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") < 0).cast("int").alias("y"))
     return splits.stratified(c, ["c_mktsegment", "y"], "c_custkey").groupBy("c_mktsegment", "y", "split").agg(F.count(F.lit(1)).alias("n"))

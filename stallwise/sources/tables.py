@@ -124,7 +124,7 @@ def write_json(spark: SparkSession, path: str, value) -> None:
 def read_json(spark: SparkSession, path: str, default=None):
     if not exists(spark, path):
         return default
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     try:
         return json.loads(text)
     except ValueError:
