@@ -13,7 +13,8 @@ of the set), told apart by nothing that follows, so copies never meet one anothe
    intersection is at most (n1 + n2 - x) / 2; pairs whose bound is too small are gone.
 4. The rest is intersected exactly, as sorted arrays. Links become components by repeated contraction to minimum neighbours.
 5. In tiles beyond ``SMALL``, pairs of classes that are in different components by now are all joined (an equi-join on the
-   shingle, skew split by Spark) and go through 3 and 4; classes in one component need no further proof. So no link is lost.
+   shingle, skew split by Spark, with the bitmaps' bound in its condition) and go through 4; classes in one component
+   need no further proof. So no link is lost.
 
 Results: one row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links). Intermediate
 tables are written under spark.checkpoint.dir; no list of links or components comes to the driver.
@@ -37,8 +38,8 @@ from .shared import Workspace, hashed_words, mix, table, text_steps
 WORDS = 5
 #: The threshold as a fraction: 3 / 4.
 NUM, DEN = 3, 4
-CELLS = 1 << 20
-CHUNK = 1 << 16
+CELLS = 1 << 22
+CHUNK = 1 << 18
 BITS = 1024
 SMALL = 16
 #: Postings that one task sorts, on average.
@@ -96,12 +97,14 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(CELLS, np.int64)
+    """One task's counters, each held to 255: enough for an order, and small to send."""
+    cells = np.zeros(CELLS, np.int32)
     for batch in batches:
         for _, _, data, offsets in text_steps(batch.column(0)):
-            _, keys = shingle_sets(data, offsets)
-            cells += np.bincount((keys % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-    chunks = [cells[a : a + CHUNK].astype(np.float32).tobytes() for a in range(0, CELLS, CHUNK)]
+            keys, n = np.unique((shingle_sets(data, offsets)[1] % np.uint64(CELLS)).astype(np.int32), return_counts=True)
+            cells[keys] += n.astype(np.int32)
+    held = np.minimum(cells, 255).astype(np.uint8)
+    chunks = [held[a : a + CHUNK].tobytes() for a in range(0, CELLS, CHUNK)]
     yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["chunk", "cells"])
 
 
@@ -109,19 +112,19 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(blob, np.float32)
-            held[chunk] = held[chunk] + x if chunk in held else x
-    out = {c: np.log2(np.maximum(x, 1)).astype(np.uint8) for c, x in held.items()}
-    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["chunk", "cells"])
+            x = held.setdefault(chunk, np.zeros(CHUNK, np.float32))
+            x += np.frombuffer(blob, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "cells"])
 
 
 def _ranks(texts: DataFrame) -> np.ndarray:
-    """log2 of each counter of the sketch: CELLS bytes."""
+    """For each counter, the log2 of what it has beyond chance: 0 for counters within 2.5 deviations of the median. CELLS bytes."""
     parts = texts.mapInArrow(_sketch, "chunk int, cells binary").repartition("chunk").mapInArrow(_add_chunks, "chunk int, cells binary")
-    out = np.zeros(CELLS, np.uint8)
-    for chunk, blob in parts.collect():  # CELLS bytes in all
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(bytes(blob), np.uint8)
-    return out
+    total = np.zeros(CELLS, np.float32)
+    for chunk, blob in parts.toLocalIterator():  # 4 * CELLS bytes in all
+        total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(bytes(blob), np.float32)
+    usual = float(np.median(total))
+    return np.log2(np.maximum(total - usual - 2.5 * usual**0.5, 1)).astype(np.uint8)
 
 
 def _postings(sent, buckets: int):
@@ -330,6 +333,12 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(2)], ["a", "b"])
 
 
+def _bit_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BITS // 64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k].copy()) for k in range(BITS // 64))], ["node", *(f"b{k}_" for k in range(BITS // 64))])
+
+
 def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -394,8 +403,17 @@ def jaccard_components(docs: DataFrame, ws: Workspace | None = None) -> DataFram
     large = ws.write(large.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("label", "node").alias("label")), "large")
     open_tiles = large.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
     rest = ws.write(large.join(open_tiles, "shingle", "left_semi"), "open")
-    one, two = (rest.select("shingle", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "label"))) for k in (1, 2))
-    fits = (F.col("label1") < F.col("label2")) & (DEN * F.least("n1", "n2").cast("long") >= NUM * F.greatest("n1", "n2").cast("long"))
+    if not rest.head(1):
+        return _result(nodes, labels)
+    words = [f"b{k}_" for k in range(BITS // 64)]
+    ends = rest.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    bits = _made(texts, ends, bitmap).mapInArrow(_bit_columns, "node long, " + ", ".join(f"{w} long" for w in words))
+    rest = ws.write(rest.join(bits, "node"), "tiles2")
+    one, two = (rest.select("shingle", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "label", *words))) for k in (1, 2))
+    apart = sum((F.bit_count(F.col(f"{w}1").bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
+    n = F.col("n1").cast("long") + F.col("n2")
+    allowed = F.floor((n - apart) / 2)  # as in bound(); the condition is part of the join, so only pairs that it lets through come out
+    fits = (F.col("label1") < F.col("label2")) & (DEN * F.least("n1", "n2").cast("long") >= NUM * F.greatest("n1", "n2").cast("long")) & (DEN * allowed >= NUM * (n - allowed))
     more = one.join(two, "shingle").filter(fits)
     flip = F.col("node1") > F.col("node2")
     more = more.select(*(F.when(flip, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(o) for c, o in (("node", "a"), ("n", "na"))), *(F.when(flip, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(o) for c, o in (("node", "b"), ("n", "nb"))))
@@ -404,8 +422,11 @@ def jaccard_components(docs: DataFrame, ws: Workspace | None = None) -> DataFram
     if more.head(1):
         links = ws.write(links.unionByName(_prove(texts, more, ws, "2")), "links")
         labels = components(links, ws, "2")
-    found = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    found = ws.write(found.select("doc_id", "n", "label"), "labelled")
+    return _result(nodes, labels)
+
+
+def _result(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    found = nodes.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     least = found.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = found.join(least, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
