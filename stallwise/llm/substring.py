@@ -145,7 +145,10 @@ def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
                 continue
             x["start"] = max(x["start"], at)
             kept.append(t[at : x["start"]])
-            spans.append(x)
+            if spans and x["start"] == at and spans[-1]["keeper"] == x["keeper"]:
+                spans[-1]["end"] = x["end"]
+            else:
+                spans.append(x)
             at = x["end"]
         texts.append("".join([*kept, t[at:]]))
         removed.append(spans)
@@ -156,7 +159,7 @@ def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
 def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text cut, and removed: array of (start, end, keeper), code points of the original text and the doc_id that keeps the unit.
 
-    The spans do not overlap and are in order. Only texts that lose something pass through Python a second time.
+    The spans do not overlap and are in order; adjoining ones with one keeper are one span. Only texts that lose something pass through Python a second time.
     """
     gone = repeats(docs, min_words)
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["r_id"]) & (F.xxhash64(docs["text"]) == gone["r_key"]), "left")
