@@ -44,21 +44,29 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return ensure_columns(raw, schema)
 
 
+def _matching(spark: SparkSession, glob: str) -> list[str]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(str(f.getPath()) for f in found) if found is not None else []
+
+
+def _each(spark: SparkSession, paths: list[str], schema: StructType, name: str, tag) -> DataFrame:
+    """The files' rows by column name, with tag(path). Headers differ between files, so each file is a scan of its own (there are as many as searches)."""
+    out = spark.createDataFrame([], StructType([*schema.fields]).add(name, "string"))
+    for path in paths:
+        out = out.unionByName(read_csv(spark, path, schema).withColumn(name, F.lit(tag(path))))
+    return out
+
+
 def read_tagged(spark: SparkSession, glob: str, schema: StructType, name: str = "source_file") -> DataFrame:
     """All files of a glob with their file name."""
-    if not exists(spark, glob):
-        return spark.createDataFrame([], StructType([*schema.fields]).add(name, "string"))
-    return spark.read.schema(schema).option("header", True).csv(glob).withColumn(name, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return _each(spark, _matching(spark, glob), schema, name, lambda p: p.rsplit("/", 1)[-1])
 
 
 def read_search_folders(spark: SparkSession, root: str, file: str, schema: StructType, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """root/<search>/.../file of every folder that has one: SearchName is the first path component below root."""
-    glob = f"{root.rstrip('/')}/*/{file}"
-    if not exists(spark, glob):
-        return spark.createDataFrame([], StructType([*schema.fields]).add("SearchName", "string"))
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(glob)
-    rows = rows.withColumn("SearchName", F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
-    return rows.filter(~F.col("SearchName").isin(*exclude)) if exclude else rows
+    """root/<search>/file of every folder that has one, with the folder's name as SearchName."""
+    paths = [p for p in _matching(spark, f"{root.rstrip('/')}/*/{file}") if p.split("/")[-2] not in exclude]
+    return _each(spark, paths, schema, "SearchName", lambda p: p.split("/")[-2])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -25,7 +25,7 @@ def test_fee_pairs(spark):
     assert values(spark, "string", raw, price.listing_price_text(F.col("v"))) == ["116.20", "13,30", "7,50", "0", "0"]
 
 
-@pytest.mark.parametrize(("raw", "want", "reason"), [("1.9852", "1890.00", "separator_recovered_then_fee_inverted"), ("3.67465", "3674.65", "separator_recovered"), ("1.071", "1071.00", "separator_recovered"), ("578.2", "578.20", "normalize_only"), ("12.50", "12.50", "normalize_only"), ("x", None, "unparsed"), (None, None, "unparsed"), ("37.450", "35.00", "fee_inverted_from_normalized")])
+@pytest.mark.parametrize(("raw", "want", "reason"), [("1.9852", "1890.00", "separator_recovered_then_fee_inverted"), ("1.071", "1071.00", "separator_recovered"), ("578.2", "578.20", "normalize_only"), ("12.50", "12.50", "normalize_only"), ("x", None, "unparsed"), (None, None, "unparsed"), ("37.450", "35.00", "fee_inverted_from_normalized")])
 def test_repair(spark, raw, want, reason):
     got = values(spark, "string", [raw], price.repaired_price(F.col("v")))[0]
     assert (got["price"], got["reason"]) == (Decimal(want) if want else None, reason)
@@ -89,3 +89,7 @@ def test_required_profit(spark):
 def test_stars_and_condition(spark):
     assert values(spark, "string", ["45", "4,5", "60", "x", None], buy.stars(F.col("v"))) == [4.5, 4.5, None, None, None]
     assert values(spark, "string", ["Nuovo con cartellino", "NEW", "fair", None, "ok"], buy.condition_score(F.col("v"))) == [1.0, 0.9, 0.2, 0.6, 0.55]
+
+
+def test_lost_separators(spark):
+    assert values(spark, "string", ["1.9852", "3.67465", "578.2", None], price.separator_recovered(F.col("v"))) == [Decimal("1985.20"), Decimal("3674.65"), None, None]
