@@ -127,3 +127,24 @@ def repaired_price(raw: Column, reference: Column | None = None) -> Column:
     best = F.array_min(F.array_compact(F.array(*near)))
     match = F.struct(best["price"].alias("price"), F.concat(best["name"], F.lit("_matched_old_df")).alias("reason"), F.lit("high").alias("confidence"))
     return F.when(best["far"] <= F.lit("0.01").cast("decimal(4,2)"), match).otherwise(out)
+
+
+#: Places of an item page that hold its price, in order: text of an element, or content of a meta tag. Fixed values.
+PAGE_PLACES = (
+    r'<[^>]*data-testid="item-price-current"[^>]*>([^<]*)<', r'<[^>]*data-testid="item-price"[^>]*>([^<]*)<', r'<[^>]*itemprop="price"[^>]*>([^<]+)<',
+    r'<meta[^>]*itemprop="price"[^>]*content="([^"]*)"', r'<meta[^>]*property="product:price:amount"[^>]*content="([^"]*)"', r'<meta[^>]*name="twitter:data1"[^>]*content="([^"]*)"',
+)
+
+
+def page_price(html: Column) -> Column:
+    """The price on an item's page: the larger of a fee pair, else the first positive price of the known places, else of JSON-LD offers."""
+    over = lambda x: F.when(x > 0, x)
+    pairs = []
+    for p in FEE_PAIRS:
+        a, b = (over(parse_price(F.rtrim(F.regexp_extract(html, p, k), F.lit(",. ")))) for k in (1, 2))
+        pairs.append(F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)))
+    places_ = [over(parse_price(F.regexp_extract(html, p, 1))) for p in PAGE_PLACES]
+    script = F.regexp_extract(html, r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
+    offers = F.regexp_extract_all(script, F.lit(r'(?s)"offers"\s*:\s*[\[{].*?"price"\s*:\s*"?([0-9.,]+)'), F.lit(1))
+    listed = F.get(F.filter(F.transform(offers, parse_price), lambda x: x > 0), F.lit(0))
+    return F.coalesce(*pairs, *places_, listed)

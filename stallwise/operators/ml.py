@@ -80,3 +80,23 @@ def platt(scored: DataFrame, score: str, label: str):
 def stacker(wide: DataFrame, scores: list[str], label: str):
     """A logistic regression over the scores of other models."""
     return Pipeline(stages=[*preparation(scores), LogisticRegression(labelCol=label)]).fit(wide)
+
+
+def wald(df: DataFrame, numbers: list[str], label: str) -> DataFrame:
+    """feature, coefficient, error, z, p and the 95 % interval of a binomial regression."""
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    rows = VectorAssembler(inputCols=numbers, outputCol="features", handleInvalid="skip").transform(df)
+    model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=label).fit(rows)
+    s = model.summary
+    names, values = [*numbers, "intercept"], [*model.coefficients.toArray().tolist(), model.intercept]
+    found = list(zip(names, values, s.coefficientStandardErrors, s.tValues, s.pValues, strict=True))
+    out = df.sparkSession.createDataFrame([tuple([n, *map(float, x)]) for n, *x in found], "feature string, coefficient double, error double, z double, p double")
+    return out.withColumn("low", F.col("coefficient") - 1.96 * F.col("error")).withColumn("high", F.col("coefficient") + 1.96 * F.col("error"))
+
+
+def centroid_scores(train: DataFrame, df: DataFrame, numbers: list[str], label: str, name: str = "score") -> DataFrame:
+    """df with the share of its distance to the centroid of label 0 in both distances; the centroids are one broadcast row."""
+    means = train.agg(*[F.avg(F.when(F.col(label) == k, F.col(c))).alias(f"__{c}{k}") for c in numbers for k in (0, 1)])
+    far = lambda k: F.sqrt(sum((F.pow(F.coalesce(F.col(c), F.lit(0.0)) - F.col(f"__{c}{k}"), 2) for c in numbers), F.lit(0.0)))
+    return df.join(F.broadcast(means), F.lit(True)).withColumn(name, F.coalesce(F.try_divide(far(0), far(0) + far(1)), F.lit(0.5))).select(*df.columns, name)
