@@ -11,7 +11,8 @@ of the set), told apart by nothing that follows, so copies never meet one anothe
    and pairs with the leaders of a class's own and the next smaller band, a number in proportion to its classes.
 3. Bitmaps: each class in a pair has a bitmap of ``BITS`` hashed bits. With x the bits in which two bitmaps differ, the
    intersection is at most (n1 + n2 - x) / 2; pairs whose bound is too small are gone.
-4. The rest is intersected exactly, as sorted arrays. Links become components by repeated contraction to minimum neighbours.
+4. The rest is intersected exactly, as sorted arrays: first each class with its smallest partners, then the pairs that still stand
+   between components. Links become components by repeated contraction to minimum neighbours.
 5. In tiles beyond ``SMALL``, pairs of classes that are in different components by now are all joined (an equi-join on the
    shingle, skew split by Spark, with the bitmaps' bound in its condition) and go through 4; classes in one component
    need no further proof. So no link is lost.
@@ -353,12 +354,30 @@ def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(2)], ["a", "b"])
 
 
+def _allowed(texts: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b, na, nb; distinct) whose bitmaps allow a link."""
+    return ws.write(_with_both(pairs, _made(texts, pairs, bitmap), "na", "nb").mapInArrow(_bounded, "a long, b long"), f"bounded{name}")
+
+
 def _prove(texts: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """The links among pairs (a, b, na, nb; distinct, written). Whole sets are made, in another pass, only for pairs that the bitmaps allow."""
-    near = _with_both(pairs, _made(texts, pairs, bitmap), "na", "nb").mapInArrow(_bounded, "a long, b long")
-    near = ws.write(near, f"bounded{name}")
-    links = _with_both(near, _made(texts, near, _whole)).mapInArrow(_proven, "a long, b long")
-    return ws.write(links, f"links{name}")
+    """The links among pairs (a, b). Whole sets are made, in a pass of their own, only for the classes in them."""
+    return ws.write(_with_both(pairs, _made(texts, pairs, _whole)).mapInArrow(_proven, "a long, b long"), f"links{name}")
+
+
+def _proved_labels(texts: DataFrame, pairs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) of the pairs that matter: first each class with its smallest partners, then what still stands between components."""
+    first = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a"))).distinct()
+    first = ws.write(first, "first")
+    links = _prove(texts, first, ws, "1")
+    labels = components(links, ws, "1")
+    side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(apart).select("a", "b")
+    rest = ws.write(rest, "rest")
+    if rest.head(1):
+        links = ws.write(links.unionByName(_prove(texts, rest, ws, "2")), "links12")
+        labels = components(links, ws, "2")
+    return links, labels
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -396,8 +415,7 @@ def jaccard_components(docs: DataFrame, ws: Workspace | None = None) -> DataFram
     packed = texts.mapInArrow(_postings(sent, buckets), "bucket int, shingles binary, nodes binary, sizes binary").repartition(tasks, "bucket")
     tiles = ws.write(packed.mapInArrow(_tiles, "kind int, x long, a long, b long, na int, nb int"), "tiles")
     pairs = ws.write(tiles.filter("kind = 0").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb")), "pairs")
-    links = _prove(texts, pairs, ws, "1")
-    labels = components(links, ws, "1")
+    links, labels = _proved_labels(texts, _allowed(texts, pairs, ws, "1"), ws)
 
     large = tiles.filter("kind = 1").select(F.col("x").alias("shingle"), F.col("a").alias("node"), F.col("na").alias("n"))
     large = ws.write(large.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("label", "node").alias("label")), "large")
@@ -420,8 +438,8 @@ def jaccard_components(docs: DataFrame, ws: Workspace | None = None) -> DataFram
     more = more.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb")).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = ws.write(more, "more")
     if more.head(1):
-        links = ws.write(links.unionByName(_prove(texts, more, ws, "2")), "links")
-        labels = components(links, ws, "2")
+        links = ws.write(links.unionByName(_prove(texts, more.select("a", "b"), ws, "3")), "links")
+        labels = components(links, ws, "3")
     return _result(nodes, labels)
 
 
