@@ -16,6 +16,23 @@ def average_rank(x: Column, *partition) -> Column:
     return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, x)) - 1) / 2.0
 
 
+def with_average_rank(df: DataFrame, x: str, name: str, buckets: int = 256) -> DataFrame:
+    """Adds the average rank of x over the whole frame, without sorting all rows in one task.
+
+    Approximate quantiles only deal the rows into buckets of values; the ranks are exact: a bucket's offset is the count of the
+    buckets below it (a window over the buckets), and rows are ranked inside their bucket. A value that fills a bucket is one tie there.
+    """
+    edges = df.approxQuantile(x, [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))).cast("array<double>"), lambda e: e < F.col(x)))
+    rows = df.withColumn("__b", at)
+    values = rows.groupBy("__b", x).agg(F.count(F.lit(1)).alias("__t"))
+    sizes = values.groupBy("__b").agg(F.sum("__t").alias("__n"))
+    below = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    up = Window.partitionBy("__b").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = values.join(below, "__b").select(F.col(x).alias("__x"), (F.col("__o") + F.sum("__t").over(up) - (F.col("__t") - 1) / 2.0).alias(name))
+    return df.join(ranks, df[x].eqNullSafe(ranks["__x"])).drop("__x")
+
+
 def by_score(df: DataFrame, g: list[str], s: str, y: str) -> DataFrame:
     """One row for each group and distinct score: n, pos, and their running sums from the highest score, n_up and pos_up, and totals.
 
@@ -94,6 +111,9 @@ def correlations(df: DataFrame, a: str, b: str, g: list[str] | None = None) -> D
     """pearson and spearman (Pearson's of average ranks) of rows where both are there."""
     g = g or []
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    if not g:
+        rows = with_average_rank(with_average_rank(rows.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), "a", "ra"), "b", "rb")
+        return rows.agg(F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
     rows = rows.select(*g, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), average_rank(F.col(a), *g).alias("ra"), average_rank(F.col(b), *g).alias("rb"))
     return rows.groupBy(*g).agg(F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
 

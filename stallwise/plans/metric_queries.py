@@ -11,7 +11,7 @@ from .adapters import MODEL_SCORES, SCORES, model_scores, query, r, scores, tabl
 
 @query(f"with {SCORES} select doc_id, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 avg_rank from scores".replace("/ 2.0 avg_rank", "/ 2::double avg_rank"))
 def average_ranks(spark, sf_dir):
-    return scores(spark, sf_dir).select("doc_id", metrics.average_rank(F.col("s")).alias("avg_rank"))
+    return metrics.with_average_rank(scores(spark, sf_dir), "s", "avg_rank").select("doc_id", "avg_rank")
 
 
 @query(f"with {SCORES} select doc_id, row_number() over (partition by search order by s desc, doc_id) stage_rank, count(*) over (partition by search) group_size from scores")
