@@ -1,18 +1,20 @@
-"""Substring deduplication by hashing lines and the segments of lines.
+"""Substring deduplication by hashing lines and runs of words.
 
-The units are lines. Lines alone miss a passage that is spliced into a longer line, so each line is also cut into
-segments at places that its words alone determine: before a word whose hash, taken with the next word's, is the
-smallest among ``REACH`` words to either side. Two lines that share a passage of some 50 words thus have segments in
-common, whatever stands around it. Units are normalised (A-Z lower-cased, words without their white space) and
-digested to 128 bits.
+The units are lines, and runs of ``RUN`` words of the whole text, whatever its lines. Of all runs those are units whose
+digest is the smallest among ``WINDOW`` successive ones (winnowing), so that words alone determine them: two texts that
+share ``RUN + WINDOW - 1`` = 51 words in sequence have all the window's runs in common, and thus a unit, wherever the
+passage stands and however it is wrapped. Along a longer shared passage units follow each other without gaps, as
+``WINDOW`` <= ``RUN``; what remains of it are less than ``WINDOW`` words at either end. Of equal runs that overlap in a
+text (its words recur with a period) only every ``RUN``-th word's or so is a unit, so that the first one stays whole.
+Units are normalised (A-Z lower-cased, words without their white space) and digested to 128 bits.
 
 Digests are grouped globally with a map-side partial aggregate that keeps the earliest ranked occurrence, the smallest
 (doc_id, text hash, start); only digests that occur more than once are joined back, by an equi-join that Spark can
 split where one digest is hot. Every other occurrence is removed, and listed with its offsets in the original
 text and the document that keeps the unit. What a removed line holds is also held by the line that is kept.
 
-Lines of fewer than ``min_words`` words, and segments of fewer than ``REACH`` + 1, are never removed: they recur by
-chance and as form, not as copied passages.
+Lines of fewer than ``min_words`` words are no units by themselves, and passages of 50 words or fewer need not hold a unit
+other than lines: they recur by chance and as form, not as copied passages.
 
 Defined results: a null text stays null; an empty one stays empty; both have no units. Documents rank by doc_id, nulls
 last, then by the text's hash. Rows that repeat doc_id and text are one document, whose result is given as often
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .shared import hashed_words, mix, table, text_steps
 
 MIN_WORDS = 8
-#: A segment begins at a word whose key is the smallest among so many to either side.
-REACH = 6
+#: Words of a run, and successive runs of which the smallest is a unit. Every passage of RUN + WINDOW - 1 words, 51, holds a unit.
+RUN, WINDOW = 32, 20
 REMOVED = "array<struct<start: bigint, end: bigint, keeper: bigint>>"
 _Q, _QI = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
@@ -53,10 +55,56 @@ def _digests(h: np.ndarray, first: np.ndarray, after: np.ndarray, salt: int) ->
     return out[0], out[1]
 
 
+def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
+    """The least or largest of each size successive values."""
+    pick, out, width = np.minimum if least else np.maximum, x, 1
+    while width < size:
+        step = min(width, size - width)
+        out = pick(out[:-step], out[step:])
+        width += step
+    return out
+
+
+def _apart(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places, in order, without those that begin inside an equal run that stays: of each key's places the first, and then always the next one RUN words on."""
+    order = np.lexsort((at, key))
+    k, p = key[order], at[order]
+    near = (k[1:] == k[:-1]) & (p[1:] - p[:-1] < RUN)
+    if not near.any():
+        return at
+    keep = np.ones(len(p), bool)
+    chain = np.flatnonzero(np.diff(np.concatenate(([False], near, [False])).astype(np.int8)))
+    for a, b in zip(chain[::2], chain[1::2] + 1, strict=True):
+        keep[a:b] = False
+        while a < b:
+            keep[a] = True
+            a += int(np.searchsorted(p[a:b], p[a] + RUN))
+    return np.sort(p[keep])
+
+
+def _runs(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """First words of the runs that are units."""
+    n = len(h)
+    windows = n - RUN - WINDOW + 2
+    if windows <= 0:
+        return np.zeros(0, np.int64)
+    first = np.arange(n - RUN + 1)
+    key = _digests(h, first, first + RUN, 2)[0]
+    least = _sliding(key, WINDOW, True)
+    whole = row[:windows] == row[RUN + WINDOW - 2 :]  # windows inside one row
+    # A run is the least of some window if the largest of its windows' least values is its own.
+    pad = np.zeros(WINDOW - 1, np.uint64)
+    best = _sliding(np.concatenate((pad, np.where(whole, least, np.uint64(0)), pad)), WINDOW, False)
+    covered = np.concatenate(([0], np.cumsum(whole)))
+    some = covered[np.minimum(first + 1, windows)] > covered[np.maximum(first - WINDOW + 1, 0)]
+    at = np.flatnonzero((best == key) & some)
+    return _apart(mix(key[at] + row[at].astype(np.uint64) * _Q), at)
+
+
 def units(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
     """(row, start, end in code points of the row's text, digest 1, digest 2) of every unit that may be removed.
 
-    A line reaches over its newline; a segment from its first word to the next segment's, or to the line's end.
+    A line reaches over its newline; a run from its first word to the next word, or to its last line's end.
     """
     h, row, start, _ = hashed_words(data, offsets)
     n = len(h)
@@ -79,32 +127,18 @@ def units(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.nda
     line_to = np.minimum(stop, offsets[row[a] + 1])
     l1, l2 = _digests(h, a, b, 1)
 
-    key = h.copy()
-    inner = ~new[1:]
-    key[:-1][inner] += np.uint64(3) * h[1:][inner]
-    key = mix(key)
-    least = ~new
-    for d in range(1, REACH + 1):
-        if d >= n:
-            break
-        same = line[d:] == line[:-d]
-        least[d:] &= ~same | (key[d:] < key[:-d])
-        least[:-d] &= ~same | (key[:-d] <= key[d:])
-    cut = np.flatnonzero(new | least)
-    to = np.append(cut[1:], n)
-    pieces = np.bincount(line[cut], minlength=line[-1] + 1)
-    good = (to - cut > REACH) & (pieces[line[cut]] > 1)
-    s, t = cut[good], to[good]
+    s = _runs(h, row)
+    t = s + RUN
     ends_line = (t == n) | new[np.minimum(t, n - 1)]
-    seg_line_stop = np.append(begins, len(data))[line[s] + 1]
-    seg_row_stop = offsets[row[s] + 1]
-    line_stop = np.where(seg_line_stop < seg_row_stop, seg_line_stop - 1, np.where((seg_row_stop > 0) & (data[seg_row_stop - 1] == 10) & (seg_line_stop == seg_row_stop), seg_row_stop - 1, seg_row_stop))
-    seg_to = np.where(ends_line, line_stop, start[np.minimum(t, n - 1)])
+    last = line[t - 1]
+    run_stop = np.minimum(np.append(begins, len(data))[last + 1], offsets[row[s] + 1])
+    run_stop = run_stop - (data[run_stop - 1] == 10)
+    run_to = np.where(ends_line, run_stop, start[np.minimum(t, n - 1)])
     s1, s2 = _digests(h, s, t, 2)
 
     rows = np.concatenate((row[a], row[s]))
     base = points[offsets[rows]]
-    return rows, points[np.concatenate((line_from, start[s]))] - base, points[np.concatenate((line_to, seg_to))] - base, np.concatenate((l1, s1)), np.concatenate((l2, s2))
+    return rows, points[np.concatenate((line_from, start[s]))] - base, points[np.concatenate((line_to, run_to))] - base, np.concatenate((l1, s1)), np.concatenate((l2, s2))
 
 
 def _unit_rows(min_words: int):
@@ -140,7 +174,7 @@ def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
             removed.append([])
             continue
         at, kept, spans = 0, [], []
-        for x in g:  # in order of start; a line and its own segments overlap
+        for x in g:  # in order of start; lines and runs overlap
             if x["end"] <= at:
                 continue
             x["start"] = max(x["start"], at)

@@ -315,6 +315,36 @@ def test_substring_against_brute_force(spark):
     assert got == {d: sorted(g) for d, g in want.items() if g}
 
 
+def _wrapped(words, rng, most):
+    """The words, with a newline after each 1 to ``most`` of them."""
+    out, left = [], 0
+    for w in words:
+        left = left or int(rng.integers(1, most + 1))
+        left -= 1
+        out.append(w + (" " if left else "\n"))
+    return "".join(out).rstrip()
+
+
+@pytest.mark.parametrize("most", [1, 5, 7, 12, 40, 1000])
+def test_substring_no_shared_run_of_over_50_words_remains(spark, most):
+    rng = np.random.default_rng(most)
+    own = lambda n: [f"own{x}" for x in rng.integers(0, 1 << 40, n)]
+    passages = [[f"p{k}x{i}" for i in range(n)] for k, n in enumerate([51, 51, 51, 52, 55, 60, 75, 130, 400])] + [["again"] * 90, ["one", "two", "three"] * 40]
+    texts = [_wrapped(own(int(rng.integers(0, 30))) + p + own(int(rng.integers(0, 30))), rng, most) for p in passages for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in substring.dedup_units(docs).collect()}
+    seen = set()
+    for d in sorted(out):
+        words = spaced(out[d]["text"])
+        runs = {tuple(words[i : i + 51]) for i in range(len(words) - 50)}
+        assert not runs & seen
+        seen |= runs
+        at = [x for s in out[d]["removed"] for x in (s["start"], s["end"])]
+        assert "".join(texts[d][a:b] for a, b in zip([0, *at[1::2]], [*at[::2], len(texts[d])], strict=True)) == out[d]["text"]
+        assert d % 3 or len(words) == len(spaced(texts[d])) or d >= 27  # the first of the three stays whole, but for periods
+    assert all(out[d]["removed"] for d in out if d % 3)
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
