@@ -84,8 +84,11 @@ class Block:
                     keep = s >= -best[k - 1][0]
                     s, fresh_ids = s[keep], fresh_ids[keep]
                 if len(s) > k:
-                    part = np.lexsort((self.ids[fresh_ids], -s))
-                    best = sorted({*best, *((-int(s[j]), int(self.ids[fresh_ids[j]])) for j in part[: 4 * k])})[: 4 * k]
+                    part = np.lexsort((self.ids[fresh_ids], ~s))  # ~s falls as s rises, and unlike -s holds for the least long too
+                    ids, s = self.ids[fresh_ids][part], s[part]
+                    other = np.ones(len(s), bool)  # repeated (score, id) pairs stand side by side
+                    other[1:] = (s[1:] != s[:-1]) | (ids[1:] != ids[:-1])
+                    best = sorted({*best, *((-int(a), int(b)) for a, b in zip(s[other][:k], ids[other][:k], strict=True))})
                 else:
                     best = sorted({*best, *((-int(a), int(b)) for a, b in zip(s, self.ids[fresh_ids], strict=True))})
                 best = best[:k]

@@ -221,6 +221,14 @@ def test_topk_stops_early():
     assert block.search(-1, np.array([1.0, 0.0]), 3, []) == [(-999, 999), (-998, 998), (-997, 997)] and sum(seen) < 100
 
 
+def test_topk_repeated_candidates(spark):
+    one = lambda k, v: [v * (k % 6 == d) for d in range(6)]
+    rows = [(0, [1.0] * 6)] + [(7, one(k, 9.0)) for k in range(30)] + [(i, one(i, float(i))) for i in (1, 2, 3, 4, 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    assert got == [(k + 1, i, x << 16) for k, (i, x) in enumerate([(7, 9), (8, 8), (4, 4), (3, 3), (2, 2)])]
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
