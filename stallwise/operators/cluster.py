@@ -91,25 +91,81 @@ def silhouette(distance: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocked_clusters(df: DataFrame, block: str, item: str, vector: str, threshold: float = 0.24, most: int = 2000) -> DataFrame:
-    """item, block, part, label, silhouette: average linkage by cosine distance inside each block.
+def average_linkage_of_vectors(x: np.ndarray, threshold: float, tile: int = 512) -> np.ndarray:
+    """average_linkage of the distances 1 - dot of the rows, without their matrix: a mean pair distance follows from the clusters' vector sums.
 
-    A block is one task's matrix, so blocks beyond ``most`` rows are split into parts by a hash of the item (the exact result needs blocks of
-    at most that size; the part is part of the answer).
+    Each cluster keeps its nearest one. A merge brings no cluster nearer to another than the nearer of the two was, so what is kept stays a
+    lower bound, and is computed again only when it comes first. Memory is a few copies of x; time grows with the square of the rows.
     """
-    sizes = df.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__parts"))
-    rows = df.join(sizes, block).withColumn("part", F.pmod(F.xxhash64(item), F.col("__parts")).cast("int")).select(F.col(block).alias("block"), "part", F.col(item).alias("item"), F.col(vector).alias("v"))
+    n = len(x)
+    total, size, label = x.astype(float).copy(), np.ones(n), np.arange(n)
+    alive, fresh = np.ones(n, bool), np.ones(n, bool)
+    near, far = np.zeros(n, np.int64), np.full(n, np.inf)
+    for a in range(0, n, tile):
+        d = np.maximum(1 - total[a : a + tile] @ total.T, 0)
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+        near[a : a + tile] = d.argmin(axis=1)
+        far[a : a + tile] = d.min(axis=1)
+
+    def renew(i: int) -> None:
+        d = np.maximum(1 - total @ total[i] / (size * size[i]), 0)
+        d[~alive] = np.inf
+        d[i] = np.inf
+        near[i] = d.argmin()
+        far[i], fresh[i] = d[near[i]], True
+
+    while n > 1:
+        i = int(far.argmin())
+        if far[i] >= threshold:
+            break
+        if not fresh[i]:
+            renew(i)
+            continue
+        i, j = sorted((i, int(near[i])))
+        total[i] += total[j]
+        size[i] += size[j]
+        alive[j], far[j] = False, np.inf
+        label[label == j] = i
+        fresh[(near == i) | (near == j)] = False
+        renew(i)
+    return np.unique(label, return_inverse=True)[1]
+
+
+def silhouette_of_vectors(x: np.ndarray, label: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """silhouette of the distances 1 - dot of the rows, from the clusters' vector sums, some rows at a time."""
+    out, size = np.zeros(len(label)), np.bincount(label)
+    if len(size) < 2:
+        return out
+    total = np.zeros((len(size), x.shape[1]))
+    np.add.at(total, label, x)
+    step = max(1, cells // len(size))
+    for p in range(0, len(x), step):
+        own, at = label[p : p + step], np.arange(len(x[p : p + step]))
+        mean = np.maximum(1 - x[p : p + step] @ total.T / size, 0)
+        a = mean[at, own] * size[own] / np.maximum(size[own] - 1, 1)
+        mean[at, own] = np.inf
+        b = mean.min(axis=1)
+        most = np.maximum(a, b)
+        out[p : p + step] = np.where((size[own] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0)
+    return out
+
+
+def blocked_clusters(df: DataFrame, block: str, item: str, vector: str, threshold: float = 0.24) -> DataFrame:
+    """item, block, part, label, silhouette: average linkage by cosine distance inside each block, which is always clustered whole (part is 0).
+
+    A block is one task, which holds its vectors a few times; its time grows with the square of its rows.
+    """
+    rows = df.select(F.col(block).alias("block"), F.lit(0).alias("part"), F.col(item).alias("item"), F.col(vector).alias("v"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("item", kind="stable")
         x = np.stack([np.asarray(v, float) for v in part["v"]])
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        d = np.maximum(1 - x @ x.T, 0)
-        label = average_linkage(d, threshold)
-        return pd.DataFrame({"block": part["block"], "part": part["part"], "item": part["item"], "label": label, "silhouette": silhouette(d, label)})
+        label = average_linkage_of_vectors(x, threshold)
+        return pd.DataFrame({"block": part["block"], "part": part["part"], "item": part["item"], "label": label, "silhouette": silhouette_of_vectors(x, label)})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy("block", "part").applyInPandas(run, f"block {kinds['block']}, part int, item {kinds['item']}, label long, silhouette double")
+    return rows.filter("block is not null").groupBy("block", "part").applyInPandas(run, f"block {kinds['block']}, part int, item {kinds['item']}, label long, silhouette double")
 
 
 def numbered(df: DataFrame, *keys: str, name: str = "product_id") -> DataFrame:

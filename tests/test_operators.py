@@ -127,6 +127,31 @@ def test_average_linkage(spark):
     assert cluster.average_linkage(d, 2.0).tolist() == [0, 0, 0, 0]
 
 
+def test_large_blocks_are_clustered_whole(spark):
+    # 2,100 rows in pairs that are close to each other only.
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1050, 64))[np.arange(2100) // 2] + rng.normal(size=(2100, 64)) * 0.01
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(x.tolist())], "block string, item long, v array<double>")
+    got = {r["item"]: r for r in cluster.blocked_clusters(df, "block", "item", "v").collect()}
+    assert {r["part"] for r in got.values()} == {0} and [got[i]["label"] for i in range(2100)] == [i // 2 for i in range(2100)]
+    assert min(r["silhouette"] for r in got.values()) > 0.9
+
+
+def test_clusters_of_vectors_are_those_of_the_distance_matrix():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(1, 150))
+        x = rng.normal(size=(9, 8))[rng.integers(0, 9, n)] + rng.normal(size=(n, 8)) * rng.uniform(0.1, 0.9)
+        x[n // 2 :] = x[: n - n // 2] if seed % 3 == 0 else x[n // 2 :]
+        x[0] *= seed % 5 > 0
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        d = np.maximum(1 - x @ x.T, 0)
+        label = cluster.average_linkage(d, 0.24)
+        assert cluster.average_linkage_of_vectors(x, 0.24, 64).tolist() == label.tolist()
+        assert cluster.silhouette_of_vectors(x, label, 100) == pytest.approx(cluster.silhouette(d, label), abs=1e-9)
+
+
+
 def test_statistics():
     assert stats.fisher_exact(8, 2, 1, 5) == pytest.approx(0.03496503, abs=1e-7)
     assert stats.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
