@@ -195,6 +195,26 @@ def test_sources(spark, tmp_path):
     assert {r["SearchName"] for r in tables.read_search_folders(spark, str(tmp_path), "f.csv", tables.LISTING).collect()} == {"run1", "run2"}
 
 
+def test_bootstrap_takes_all_rows(spark):
+    # 240,000 rows a label of few frequent values, beyond any cap and with ranks that are far apart.
+    df = spark.range(480_000).select(F.lit("g").alias("g"), (F.col("id") % 2).alias("y"), F.when(F.col("id") % 2 == 1, F.floor(F.col("id") / 2) % 7 * 10).otherwise(F.floor(F.col("id") / 2) % 5).alias("x"))
+    got = stats.bootstrap_median_difference(df, "g", "x", "y", 100).collect()
+    assert [tuple(r) for r in got] == [("g", 28.0, 28.0, 28.0)]
+
+
+@pytest.mark.parametrize("n", [40, 41])
+def test_bootstrap_agrees_with_resampled_rows(spark, n):
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(3, 2, n), np.round(rng.normal(0, 3, n + 9))
+    rows = [("g", 1, float(v)) for v in a] + [("g", 0, float(v)) for v in b] + [(None, 1, 4.0), (None, 0, 1.0), ("one", 1, 2.0)]
+    got = {r["g"]: tuple(r)[1:] for r in stats.bootstrap_median_difference(spark.createDataFrame(rows, "g string, y int, x double"), "g", "x", "y", 4000).collect()}
+    assert got[None] == (3.0, 3.0, 3.0) and got["one"] == (None, None, None)
+    d = np.median(rng.choice(a, (20_000, len(a))), axis=1) - np.median(rng.choice(b, (20_000, len(b))), axis=1)
+    assert got["g"][0] == pytest.approx(np.median(a) - np.median(b))
+    assert got["g"][1:] == pytest.approx(np.percentile(d, [2.5, 97.5]), abs=0.25)
+
+
+
 def test_image_metrics(spark):
     ppm = b"P5 16 16 255\n" + bytes(range(256))
     df = spark.createDataFrame([("a", bytearray(ppm)), ("b", bytearray(b"junk"))], "path string, content binary")
