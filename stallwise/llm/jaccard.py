@@ -6,23 +6,28 @@ of the set), told apart by nothing that follows, so copies never meet one anothe
 1. Frequencies: one pass counts shingles in a sketch of fixed size (``CELLS`` counters); a shingle's rank is (log2 of its counter,
    hash), rare ones first. Any fixed order gives the same links; this one keeps frequent shingles out of the tiles.
 2. Tiles: two sets with Jaccard j >= threshold t share one of their first n - ceil(t n) + 1 shingles in that order. These
-   go, as packed arrays, to the tile of the shingle. A tile is kept sorted by set size, in bands; only sizes whose ratio
-   allows t are paired. A tile of up to ``SMALL`` classes gives all such pairs; a larger one gives neighbours in size
-   and pairs with the leaders of a class's own and the next smaller band, a number in proportion to its classes.
-3. Bitmaps: each class in a pair has a bitmap of ``BITS`` hashed bits. With x the bits in which two bitmaps differ, the
-   intersection is at most (n1 + n2 - x) / 2; pairs whose bound is too small are gone.
+   go, as packed arrays, to the tile of the shingle, with their place in the order. A tile is kept sorted by set size; only
+   pairs whose sizes allow t, and whose places leave enough shingles behind them, are paired. A tile of up to ``SMALL`` classes gives
+   all such pairs; a larger one gives neighbours in size and pairs with the leaders of a class's own and the next smaller
+   size band, a number in proportion to its classes.
+3. Bitmaps: each class has a bitmap of hashed bits, as wide as its size band asks (four bits and more a shingle); a wide one folds to
+   the width of a narrow one. With x the bits in which two bitmaps differ, the intersection is at most (n1 + n2 - x) / 2; pairs
+   whose bound is too small are gone.
 4. The rest is intersected exactly, as sorted arrays: first each class with its smallest partners, then the pairs that still stand
    between components. Links become components by repeated contraction to minimum neighbours.
-5. In tiles beyond ``SMALL``, pairs of classes that are in different components by now are all joined (an equi-join on the
-   shingle, skew split by Spark, with the bitmaps' bound in its condition) and go through 4; classes in one component
-   need no further proof. So no link is lost.
+5. In tiles beyond ``SMALL``, pairs of classes that are in different components by now are joined: an equi-join on shingle and
+   size band (own and next), skew split by Spark, that gives a pair only at the first tile that its classes share, and only if places
+   and bitmaps allow it. These pairs go through 3 and 4; classes in one component need no further proof. So no link is lost.
 
-Results: one row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links). Intermediate
-tables are written under spark.checkpoint.dir; no list of links or components comes to the driver.
+``jaccard_components`` gives one row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+``jaccard_links`` gives every link, as pairs of classes, and the documents' classes; there nothing is left out for standing in one
+component. Intermediate tables are written under spark.checkpoint.dir, and dropped when nothing reads them any more; no list of
+links or components comes to the driver.
 
 Defined results: A-Z are lower-cased; words are runs of other than ASCII white space; a text of 1 to 4 words is one shingle; null, empty
 and blank texts have none, link with nothing and are their own component; repeated rows are linked copies, given each; null
-doc_ids take part and get the smallest id of their component (null if there is none). Only doc_id and text are read.
+doc_ids take part and get the smallest id of their component (null if there is none); a doc_id on rows of different texts
+belongs to each one's component. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +46,16 @@ WORDS = 5
 #: The threshold as a fraction: 3 / 4.
 NUM, DEN = 3, 4
 CELLS = 1 << 22
-CHUNK = 1 << 18
-BITS = 1024
+#: Bytes of a chunk in which tasks send what they have counted, and groups of tasks that are added up first.
+CHUNK, GROUPS = 1 << 16, 64
+#: Bits of a bitmap, at least and at most.
+BITS, MOST_BITS = 1 << 10, 1 << 20
 SMALL = 16
 #: Postings that one task sorts, on average.
 TASK_POSTINGS = 1_000_000
 BUCKETS = 2048
-BLOOM = 1 << 23
+#: Bits of the filter of classes, at least and at most: it is broadcast.
+BLOOM, MOST_BLOOM = 1 << 16, 1 << 29
 _Q = np.array([pow(0xA0761D6478BD642F, k, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
@@ -91,10 +100,51 @@ def prefix_length(n):
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, node of every row; the bitmap goes along with a class's first row in the task."""
+    seen = np.zeros(0, np.int64)
     for batch in batches:
         for a, b, data, offsets in text_steps(batch.column(1)):
-            n, node, _ = _classes(*shingle_sets(data, offsets), b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(node)], ["doc_id", "n", "node"])
+            rows, keys = shingle_sets(data, offsets)
+            n, node, at = _classes(rows, keys, b - a)
+            fresh = _fresh(node, n, seen)
+            seen = np.union1d(seen, node[fresh])
+            bits = [bitmap(keys[at[r] : at[r + 1]]).tobytes() if fresh[r] else None for r in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(node), pa.array(bits, pa.binary())], ["doc_id", "n", "node", "bits"])
+
+
+def _fresh(node: np.ndarray, n: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their class, with a set, and not among the classes seen."""
+    fresh = np.zeros(len(node), bool)
+    fresh[np.unique(node, return_index=True)[1]] = True
+    return fresh & (n > 0) & ~np.isin(node, seen)
+
+
+def _in_chunks(x: np.ndarray) -> pa.RecordBatch:
+    """An array of bytes as rows (chunk, part, blob); part is one of GROUPS groups of tasks."""
+    chunks = [x[a : a + CHUNK].tobytes() for a in range(0, len(x), CHUNK)]
+    part = np.full(len(chunks), TaskContext.get().partitionId() % GROUPS, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(part), pa.array(chunks, pa.binary())], ["chunk", "part", "blob"])
+
+
+def _merged(made: DataFrame, kind, into, add) -> DataFrame:
+    """(chunk, blob) of all tasks' chunks put together: first within groups of tasks, so that no task receives the chunks of all."""
+
+    def run(read):
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for chunk, part, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    x = np.frombuffer(blob, read)
+                    at = (chunk, part)
+                    held[at] = add(held[at], x) if at in held else x.astype(into)
+            for chunk, part in sorted(held):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([held[chunk, part].tobytes()], pa.binary())], ["chunk", "part", "blob"])
+
+        return merge
+
+    out = "chunk int, part int, blob binary"
+    first = made.repartition("chunk", "part").mapInArrow(run(kind), out)
+    return first.withColumn("part", F.lit(0)).repartition("chunk").mapInArrow(run(into), out).select("chunk", "blob")
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,32 +154,35 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in text_steps(batch.column(0)):
             keys, n = np.unique((shingle_sets(data, offsets)[1] % np.uint64(CELLS)).astype(np.int32), return_counts=True)
             cells[keys] += n.astype(np.int32)
-    held = np.minimum(cells, 255).astype(np.uint8)
-    chunks = [held[a : a + CHUNK].tobytes() for a in range(0, CELLS, CHUNK)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["chunk", "cells"])
-
-
-def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = held.setdefault(chunk, np.zeros(CHUNK, np.float32))
-            x += np.frombuffer(blob, np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "cells"])
+    yield _in_chunks(np.minimum(cells, 255).astype(np.uint8))
 
 
 def _ranks(texts: DataFrame) -> np.ndarray:
     """For each counter, the log2 of what it has beyond chance: 0 for counters within 2.5 deviations of the median. CELLS bytes."""
-    parts = texts.mapInArrow(_sketch, "chunk int, cells binary").repartition("chunk").mapInArrow(_add_chunks, "chunk int, cells binary")
     total = np.zeros(CELLS, np.float32)
-    for chunk, blob in parts.toLocalIterator():  # 4 * CELLS bytes in all
+    for chunk, blob in _merged(texts.mapInArrow(_sketch, "chunk int, part int, blob binary"), np.uint8, np.float32, np.add).toLocalIterator():  # 4 * CELLS bytes in all
         total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(bytes(blob), np.float32)
     usual = float(np.median(total))
     return np.log2(np.maximum(total - usual - 2.5 * usual**0.5, 1)).astype(np.uint8)
 
 
+def packed_place(place: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The place of a shingle in its class's prefix in one byte, rounded down."""
+    return (place * 256 // prefix_length(n)).astype(np.uint8)
+
+
+def least_place(packed: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The smallest place that packs to this byte."""
+    return -(-packed.astype(np.int64) * prefix_length(n.astype(np.int64)) // 256)
+
+
+def places_allow(left, n, other):
+    """Whether left shingles from the first common one on, out of n, can be enough for a link with a set of the other size."""
+    return (NUM + DEN) * left >= NUM * (n + other)
+
+
 def _postings(sent, buckets: int):
-    """Packed prefixes: for each bucket a blob of (ranked shingle, class, size)."""
+    """Packed prefixes: for each bucket a blob of (ranked shingle, class, size, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = sent.value, np.zeros(0, np.int64)
@@ -138,10 +191,7 @@ def _postings(sent, buckets: int):
             for a, b, data, offsets in text_steps(batch.column(0)):
                 rows, keys = shingle_sets(data, offsets)
                 n, node, _ = _classes(rows, keys, b - a)
-                _, first = np.unique(node, return_index=True)
-                fresh = np.zeros(b - a, bool)
-                fresh[first] = True
-                fresh &= ~np.isin(node, seen)  # a copy of what this task has had adds nothing
+                fresh = _fresh(node, n, seen)  # a copy of what this task has had adds nothing
                 seen = np.union1d(seen, node[fresh])
                 here = fresh[rows]
                 rows, keys = rows[here], keys[here]
@@ -150,19 +200,19 @@ def _postings(sent, buckets: int):
                 rows, ranked = rows[order], ranked[order]
                 place = np.arange(len(rows)) - np.searchsorted(rows, rows)
                 keep = place < prefix_length(n)[rows]
-                rows = rows[keep]
-                held.append((ranked[keep], node[rows], n[rows].astype(np.int32)))
+                rows, place = rows[keep], place[keep]
+                held.append((ranked[keep], node[rows], n[rows].astype(np.int32), packed_place(place, n[rows])))
             if not held:
                 continue
-            ranked, node, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+            ranked, node, n, place = (np.concatenate([x[k] for x in held]) for k in range(4))
             bucket = (mix(ranked) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            ranked, node, n, bucket = ranked[order], node[order], n[order], bucket[order]
+            ranked, node, n, place, bucket = ranked[order], node[order], n[order], place[order], bucket[order]
             there, at = np.unique(bucket, return_index=True)
             ends = np.append(at[1:], len(bucket))
             for a in range(0, len(there), 512):
-                blobs = [[x[i:j].tobytes() for i, j in zip(at[a : a + 512], ends[a : a + 512], strict=True)] for x in (ranked, node, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(there[a : a + 512].astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "shingles", "nodes", "sizes"])
+                blobs = [[x[i:j].tobytes() for i, j in zip(at[a : a + 512], ends[a : a + 512], strict=True)] for x in (ranked, node, n, place)]
+                yield pa.RecordBatch.from_arrays([pa.array(there[a : a + 512].astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "shingles", "nodes", "sizes", "places"])
 
     return run
 
@@ -172,20 +222,20 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(DEN / NUM)).astype(np.int64)
 
 
-def tile_pairs(shingle: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tile_pairs(shingle: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, second, rows of large tiles): distinct pairs of classes as indices, and indices of postings in tiles beyond SMALL.
 
-    The postings are sorted by shingle, size and class, without repeats.
+    The postings are sorted by shingle, size and class, without repeats; place is the least place of the shingle in its class.
     """
     size = len(shingle)
     new = np.ones(size, bool)
     new[1:] = shingle[1:] != shingle[:-1]
     group = np.cumsum(new) - 1
     members = np.bincount(group)[group] if size else group
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], n.astype(np.int64)
 
     def pair(i, j):
-        fit = DEN * n[i].astype(np.int64) >= NUM * n[j].astype(np.int64)
+        fit = (DEN * n[i] >= NUM * n[j]) & places_allow(n[i] - place[i], n[i], n[j]) & places_allow(n[j] - place[j], n[j], n[i])
         left.append(i[fit])
         right.append(j[fit])
 
@@ -210,24 +260,28 @@ def tile_pairs(shingle: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (kind 0: a < b with their sizes) and postings of large tiles (kind 1: shingle, class, size)."""
-    held = [[np.frombuffer(b"".join(batch.column(k).to_pylist()), t) for k, t in ((1, np.uint64), (2, np.int64), (3, np.int32))] for batch in batches]
+    """Pairs (kind 0: a < b with their sizes) and postings of large tiles (kind 1: shingle, class, size, least place)."""
+    held = [[np.frombuffer(b"".join(batch.column(k).to_pylist()), t) for k, t in ((1, np.uint64), (2, np.int64), (3, np.int32), (4, np.uint8))] for batch in batches]
     if not held:
         return
-    shingle, node, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+    posts = [np.concatenate([x[k] for x in held]) for k in range(4)]
     del held
-    order = np.argsort(shingle, kind="stable")
-    shingle, node, n = shingle[order], node[order], n[order]
+
+    def take(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        posts[:] = [x[rows] for x in posts]
+        return tuple(posts)
+
+    shingle, node, n, place = take(np.argsort(posts[0], kind="stable"))
     alone = np.ones(len(shingle), bool)
     alone[1:] &= shingle[1:] != shingle[:-1]
     alone[:-1] &= shingle[1:] != shingle[:-1]
-    shingle, node, n = shingle[~alone], node[~alone], n[~alone]
-    order = np.lexsort((node, n, shingle))
-    shingle, node, n = shingle[order], node[order], n[order]
+    shingle, node, n, place = take(~alone)
+    shingle, node, n, place = take(np.lexsort((node, n, shingle)))
     new = np.ones(len(shingle), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
-    shingle, node, n = shingle[new], node[new], n[new]
-    i, j, large = tile_pairs(shingle, node, n)
+    shingle, node, n, place = take(new)
+    place = least_place(place, n)
+    i, j, large = tile_pairs(shingle, node, n, place)
     swap = node[i] > node[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     order = np.lexsort((node[j], node[i]))
@@ -241,85 +295,91 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(np.zeros(len(p), np.int64)), pa.array(node[p]), pa.array(node[q]), pa.array(n[p]), pa.array(n[q])], names)
     for s in range(0, len(large), 1 << 16):
         p = large[s : s + (1 << 16)]
-        zero = np.zeros(len(p), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.array(shingle[p].view(np.int64)), pa.array(node[p]), pa.array(zero), pa.array(n[p]), pa.array(zero.astype(np.int32))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.array(shingle[p].view(np.int64)), pa.array(node[p]), pa.array(place[p]), pa.array(n[p]), pa.array(np.zeros(len(p), np.int32))], names)
 
 
 # Proof of pairs --------------------------------------------------------------------------------------------------
 
 
 def bitmap(keys: np.ndarray) -> np.ndarray:
-    """BITS bits, each the parity of the keys hashed to it."""
-    return np.packbits(np.bincount((keys >> np.uint64(54)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1)
+    """Bits, each the parity of the keys hashed to it: a power of two, four times the keys and more, within BITS and MOST_BITS."""
+    width = min(max(BITS, 1 << (4 * len(keys) - 1).bit_length()), MOST_BITS)
+    return np.packbits(np.bincount((keys & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1)
 
 
-def _bloom_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BLOOM, bool)
-    for batch in batches:
-        x = np.asarray(batch.column(0)).view(np.uint64)
-        bits[(mix(x) % np.uint64(BLOOM)).astype(np.int64)] = True
-    packed = np.packbits(bits)
-    chunks = [packed[a : a + CHUNK].tobytes() for a in range(0, len(packed), CHUNK)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["chunk", "bits"])
+def folded(bits: np.ndarray, n_bytes: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) at a smaller width: the parities of the bits that fall together."""
+    while bits.shape[1] > n_bytes:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
 
 
-def _or_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(blob, np.uint8)
-            held[chunk] = held[chunk] | x if chunk in held else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "bits"])
+def _chunked_bits(n_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n_bits // 8, np.uint8)
+        for batch in batches:
+            at = mix(np.asarray(batch.column(0)).view(np.uint64)) % np.uint64(n_bits)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield _in_chunks(bits)
 
+    return run
 
-def _bloom(nodes: DataFrame) -> np.ndarray:
-    """A filter of fixed size for the classes in pairs; what it lets through wrongly, the joins drop."""
-    parts = nodes.mapInArrow(_bloom_bits, "chunk int, bits binary").repartition("chunk").mapInArrow(_or_chunks, "chunk int, bits binary")
-    out = np.zeros(BLOOM // 8, np.uint8)
-    for chunk, blob in parts.collect():  # BLOOM / 8 bytes in all
+
+def _bloom(nodes: DataFrame, count: int) -> np.ndarray:
+    """A filter of the classes in pairs, 16 bits for each up to MOST_BLOOM; what it lets through wrongly, the joins drop."""
+    n_bits = min(max(BLOOM, 1 << (16 * count - 1).bit_length()), MOST_BLOOM)
+    out = np.zeros(n_bits // 8, np.uint8)
+    for chunk, blob in _merged(nodes.mapInArrow(_chunked_bits(n_bits), "chunk int, part int, blob binary"), np.uint8, np.uint8, np.bitwise_or).toLocalIterator():  # n_bits / 8 bytes in all
         out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(bytes(blob), np.uint8)
     return out
 
 
-def _sets(sent, make):
-    """Each class of the filter once for each task, with make of its sorted set."""
+def _passes(bloom: np.ndarray, node: np.ndarray) -> np.ndarray:
+    at = mix(node.view(np.uint64)) % np.uint64(8 * len(bloom))
+    return (bloom[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _sets(sent):
+    """Each class of the filter once for each task, with its sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(sent.value).astype(bool), np.zeros(0, np.int64)
+        bloom, seen = sent.value, np.zeros(0, np.int64)
         for batch in batches:
             for a, b, data, offsets in text_steps(batch.column(0)):
                 rows, keys = shingle_sets(data, offsets)
                 n, node, at = _classes(rows, keys, b - a)
-                good = (n > 0) & bits[(mix(node.view(np.uint64)) % np.uint64(BLOOM)).astype(np.int64)]
-                found = np.flatnonzero(good)
-                _, first = np.unique(node[found], return_index=True)
-                found = found[np.sort(first)]
-                found = found[~np.isin(node[found], seen)]
+                found = np.flatnonzero(_fresh(node, n, seen) & _passes(bloom, node))
                 seen = np.union1d(seen, node[found])
-                made = [make(keys[at[r] : at[r + 1]]).tobytes() for r in found]
+                made = [keys[at[r] : at[r + 1]].tobytes() for r in found]
                 yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(made, pa.binary())], ["node", "made"])
 
     return run
 
 
-def _made(texts: DataFrame, pairs: DataFrame, make) -> DataFrame:
-    """node, made for every class in the pairs (and a few others), once each."""
-    sent = texts.sparkSession.sparkContext.broadcast(_bloom(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
-    return texts.mapInArrow(_sets(sent, make), "node long, made binary").dropDuplicates(["node"])
+def _filtered(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(sent.value, np.asarray(batch.column(0)))))
+
+    return run
 
 
-def _whole(keys: np.ndarray) -> np.ndarray:
-    return keys
+def _ends(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """The classes in written pairs, and how many at most."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * pairs.count()
 
 
 def _with_both(pairs: DataFrame, made: DataFrame, *columns: str) -> DataFrame:
+    made = made.dropDuplicates(["node"])
     side = lambda k: made.select(F.col("node").alias(k), F.col("made").alias(f"made_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *columns, "made_a", "made_b")
 
 
 def bound(bits_a: np.ndarray, bits_b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """The largest intersection that the bitmaps (rows of bytes) allow."""
-    return (na + nb - np.bitwise_count(bits_a ^ bits_b).sum(axis=1).astype(np.int64)) // 2
+    n_bytes = min(bits_a.shape[1], bits_b.shape[1])
+    return (na + nb - np.bitwise_count(folded(bits_a, n_bytes) ^ folded(bits_b, n_bytes)).sum(axis=1).astype(np.int64)) // 2
 
 
 def linked(common: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -328,15 +388,22 @@ def linked(common: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BITS // 8) for k in (4, 5))
         na, nb = np.asarray(batch.column(2)).astype(np.int64), np.asarray(batch.column(3)).astype(np.int64)
-        good = pa.array(linked(bound(x, y, na, nb), na, nb))
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(2)], ["a", "b"])
+        x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        width = np.array([[len(p), len(q)] for p, q in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+        good = np.zeros(len(na), bool)
+        for wx, wy in np.unique(width, axis=0):  # a few widths
+            rows = np.flatnonzero((width == (wx, wy)).all(axis=1))
+            bits = [np.frombuffer(b"".join(z[r] for r in rows), np.uint8).reshape(-1, w) for z, w in ((x, wx), (y, wy))]
+            good[rows] = linked(bound(*bits, na[rows], nb[rows]), na[rows], nb[rows])
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in range(2)], ["a", "b"])
 
 
 def _bit_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of BITS bits as long columns, for Spark's own expressions."""
     for batch in batches:
-        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BITS // 64)
+        x = [folded(np.frombuffer(b, np.uint8)[None], BITS // 8)[0].view(np.int64) for b in batch.column(1).to_pylist()]
+        x = np.array(x, np.int64).reshape(-1, BITS // 64)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k].copy()) for k in range(BITS // 64))], ["node", *(f"b{k}_" for k in range(BITS // 64))])
 
 
@@ -354,30 +421,94 @@ def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(2)], ["a", "b"])
 
 
-def _allowed(texts: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b, na, nb; distinct) whose bitmaps allow a link."""
-    return ws.write(_with_both(pairs, _made(texts, pairs, bitmap), "na", "nb").mapInArrow(_bounded, "a long, b long"), f"bounded{name}")
-
-
-def _prove(texts: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """The links among pairs (a, b). Whole sets are made, in a pass of their own, only for the classes in them."""
-    return ws.write(_with_both(pairs, _made(texts, pairs, _whole)).mapInArrow(_proven, "a long, b long"), f"links{name}")
-
-
-def _proved_labels(texts: DataFrame, pairs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) of the pairs that matter: first each class with its smallest partners, then what still stands between components."""
-    first = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a"))).distinct()
-    first = ws.write(first, "first")
-    links = _prove(texts, first, ws, "1")
-    labels = components(links, ws, "1")
-    side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
-    apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(apart).select("a", "b")
-    rest = ws.write(rest, "rest")
-    if rest.head(1):
-        links = ws.write(links.unionByName(_prove(texts, rest, ws, "2")), "links12")
-        labels = components(links, ws, "2")
-    return links, labels
+class Join:
+    """The tables of one join: docs' texts, and what is written on the way."""
+
+    def __init__(self, docs: DataFrame, ws: Workspace | None):
+        self.spark, self.ws = docs.sparkSession, ws or Workspace(docs.sparkSession, "jaccard")
+        self.texts = docs.select("text")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.nodes = self.ws.write(rows.mapInArrow(_nodes, "doc_id long, n long, node long, bits binary"), "nodes")
+
+    def tiles(self) -> tuple[DataFrame, DataFrame]:
+        """(pairs a, b, na, nb, distinct; shingle, node, n, place of the large tiles)."""
+        postings = self.nodes.filter("bits is not null").agg(F.sum(F.floor(F.col("n") / DEN) + 1)).first()[0] or 0
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(postings) // TASK_POSTINGS))
+        buckets = max(BUCKETS, 8 * tasks)
+        sent = self.spark.sparkContext.broadcast(_ranks(self.texts))
+        packed = self.texts.mapInArrow(_postings(sent, buckets), "bucket int, shingles binary, nodes binary, sizes binary, places binary").repartition(tasks, "bucket")
+        tiles = self.ws.write(packed.mapInArrow(_tiles, "kind int, x long, a long, b long, na int, nb int"), "tiles")
+        self.ws.free()  # the postings' shuffle is the largest of all
+        pairs = self.ws.write(tiles.filter("kind = 0").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb")), "pairs")
+        large = tiles.filter("kind = 1").select(F.col("x").alias("shingle"), F.col("a").alias("node"), F.col("na").alias("n"), F.col("b").alias("place"))
+        return pairs, large
+
+    def bits(self, ends: DataFrame, count: int) -> DataFrame:
+        """node, made: the bitmaps of the classes in ends (and of a few others), once and more."""
+        sent = self.spark.sparkContext.broadcast(_bloom(ends, count))
+        return self.nodes.filter("bits is not null").select("node", F.col("bits").alias("made")).mapInArrow(_filtered(sent), "node long, made binary")
+
+    def allowed(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b, na, nb; written) whose bitmaps allow a link."""
+        return self.ws.write(_with_both(pairs, self.bits(*_ends(pairs)), "na", "nb").mapInArrow(_bounded, "a long, b long"), f"bounded{name}")
+
+    def prove(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The links among written pairs (a, b). Whole sets are made, in a pass of their own, only for the classes in them."""
+        sent = self.spark.sparkContext.broadcast(_bloom(*_ends(pairs)))
+        sets = self.texts.mapInArrow(_sets(sent), "node long, made binary")
+        links = self.ws.write(_with_both(pairs, sets).mapInArrow(_proven, "a long, b long"), f"links{name}")
+        self.ws.free()
+        return links
+
+    def proved_labels(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links, labels) of the pairs that matter: first each class with its smallest partners, then what still stands between components."""
+        first = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a"))).distinct()
+        first = self.ws.write(first, "first")
+        links = self.prove(first, "1")
+        labels = components(links, self.ws, "1")
+        side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+        apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+        rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(apart).select("a", "b")
+        rest = self.ws.write(rest, "rest")
+        if rest.head(1):
+            links = self.ws.write(links.unionByName(self.prove(rest, "2")), "links12")
+            labels = components(links, self.ws, "2")
+        return links, labels
+
+    def large_pairs(self, large: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        """Pairs (a, b, na, nb; written) from the large tiles; with labels (node, label) only those between different ones. None if no tile is open."""
+        ws = self.ws
+        large = large.withColumn("label", F.col("node")) if labels is None else large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        large = ws.write(large, "large")
+        open_tiles = large.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
+        rest = ws.write(large.join(open_tiles, "shingle", "left_semi"), "open")
+        if not rest.head(1):
+            return None
+        words = [f"b{k}_" for k in range(BITS // 64)]
+        bits = self.bits(rest.select("node"), rest.count()).dropDuplicates(["node"]).mapInArrow(_bit_columns, "node long, " + ", ".join(f"{w} long" for w in words))
+        tiles_of = rest.groupBy("node").agg(F.array_sort(F.collect_set("shingle")).alias("own"))  # a part of the class's prefix at most
+        wide = ws.write(rest.join(bits.join(tiles_of, "node"), "node"), "tiles2")
+        size_band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))
+        wide = wide.withColumn("band", size_band.cast("int"))
+        columns = ("node", "n", "label", "place", "own", *words)
+        one = wide.select("shingle", "band", *(F.col(c).alias(f"{c}1") for c in columns))
+        two = wide.select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("band").alias("band2"), *(F.col(c).alias(f"{c}2") for c in columns))
+        apart = sum((F.bit_count(F.col(f"{w}1").bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
+        n1, n2 = F.col("n1").cast("long"), F.col("n2").cast("long")
+        most = F.floor((n1 + n2 - apart) / 2)  # as in bound(); the condition is part of the join, so only pairs that it lets through come out
+        fits = (
+            (F.col("label1") != F.col("label2"))
+            & ((F.col("band2") < F.col("band")) | (F.col("node1") < F.col("node2")))
+            & (DEN * F.least(n1, n2) >= NUM * F.greatest(n1, n2))
+            & places_allow(n1 - F.col("place1"), n1, n2)
+            & places_allow(n2 - F.col("place2"), n2, n1)
+            & (DEN * most >= NUM * (n1 + n2 - most))
+            & (F.element_at(F.array_intersect("own1", "own2"), 1) == F.col("shingle"))
+        )
+        found = one.join(two, ["shingle", "band"]).filter(fits)
+        flip = F.col("node1") > F.col("node2")
+        end = lambda c, k: F.when(flip, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}"))
+        return ws.write(found.select(end("node", 1).alias("a"), end("node", 2).alias("b"), end("n", 1).alias("na"), end("n", 2).alias("nb")), "more")
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -402,58 +533,85 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
         k += 1
 
 
+def _component_labels(join: Join) -> DataFrame:
+    """node, label of every class with a link."""
+    pairs, large = join.tiles()
+    links, labels = join.proved_labels(join.allowed(pairs, "1"))
+    more = join.large_pairs(large, labels)
+    if more is not None:
+        more = join.ws.write(join.allowed(more, "2").join(pairs, ["a", "b"], "left_anti"), "untried")
+        if more.head(1):
+            labels = components(join.ws.write(links.unionByName(join.prove(more, "3")), "links"), join.ws, "3")
+    return labels
+
+
+def _classified(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """doc_id, n, node, label (of the component; null without words), component_id of every row of docs, written.
+
+    Least ids are found class by class and then component by component, both before the shuffle; every join back has one row a key on
+    one side and is read from written tables, so that Spark may split a large class or component over many tasks.
+    """
+    join = Join(docs, ws)
+    ws, labels = join.ws, _component_labels(join)
+    least = ws.write(join.nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "least")
+    labelled = ws.write(labels.join(least, "node"), "labelled")
+    low = ws.write(labelled.groupBy("label").agg(F.min("least").alias("low")), "low")
+    named = ws.write(labelled.join(low, "label").select("node", "label", "low"), "named")
+    classes = ws.write(least.join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("low", "least").alias("component")), "classes")
+    out = join.nodes.select("doc_id", "n", "node").join(classes, "node", "left")
+    out = ws.write(out.select("doc_id", "n", "node", "label", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), "result")
+    ws.drop(*(name for name in list(ws.paths) if name != "result"))
+    return out
+
+
 def jaccard_components(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs; see the module's text."""
-    spark = docs.sparkSession
-    ws = ws or Workspace(spark, "jaccard")
-    texts = docs.select("text")
-    nodes = ws.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_nodes, "doc_id long, n long, node long"), "nodes")
-    postings = nodes.agg(F.sum(F.floor(F.col("n") / DEN) + 1)).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(postings) // TASK_POSTINGS))
-    buckets = max(BUCKETS, 8 * tasks)
-    sent = spark.sparkContext.broadcast(_ranks(texts))
-    packed = texts.mapInArrow(_postings(sent, buckets), "bucket int, shingles binary, nodes binary, sizes binary").repartition(tasks, "bucket")
-    tiles = ws.write(packed.mapInArrow(_tiles, "kind int, x long, a long, b long, na int, nb int"), "tiles")
-    pairs = ws.write(tiles.filter("kind = 0").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb")), "pairs")
-    links, labels = _proved_labels(texts, _allowed(texts, pairs, ws, "1"), ws)
-
-    large = tiles.filter("kind = 1").select(F.col("x").alias("shingle"), F.col("a").alias("node"), F.col("na").alias("n"))
-    large = ws.write(large.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("label", "node").alias("label")), "large")
-    open_tiles = large.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    rest = ws.write(large.join(open_tiles, "shingle", "left_semi"), "open")
-    if not rest.head(1):
-        return _result(nodes, labels)
-    words = [f"b{k}_" for k in range(BITS // 64)]
-    ends = rest.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    bits = _made(texts, ends, bitmap).mapInArrow(_bit_columns, "node long, " + ", ".join(f"{w} long" for w in words))
-    rest = ws.write(rest.join(bits, "node"), "tiles2")
-    one, two = (rest.select("shingle", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "label", *words))) for k in (1, 2))
-    apart = sum((F.bit_count(F.col(f"{w}1").bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
-    n = F.col("n1").cast("long") + F.col("n2")
-    allowed = F.floor((n - apart) / 2)  # as in bound(); the condition is part of the join, so only pairs that it lets through come out
-    fits = (F.col("label1") < F.col("label2")) & (DEN * F.least("n1", "n2").cast("long") >= NUM * F.greatest("n1", "n2").cast("long")) & (DEN * allowed >= NUM * (n - allowed))
-    more = one.join(two, "shingle").filter(fits)
-    flip = F.col("node1") > F.col("node2")
-    more = more.select(*(F.when(flip, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(o) for c, o in (("node", "a"), ("n", "na"))), *(F.when(flip, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(o) for c, o in (("node", "b"), ("n", "nb"))))
-    more = more.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb")).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = ws.write(more, "more")
-    if more.head(1):
-        links = ws.write(links.unionByName(_prove(texts, more.select("a", "b"), ws, "3")), "links")
-        labels = components(links, ws, "3")
-    return _result(nodes, labels)
-
-
-def _result(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    found = nodes.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    least = found.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = found.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _classified(docs, ws).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def jaccard_links(docs: DataFrame, ws: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, members): every link between different sets as classes a < b, each once, and doc_id, n_shingles and class of every row of docs."""
+    join = Join(docs, ws)
+    pairs, large = join.tiles()
+    found = join.allowed(pairs, "1")
+    more = join.large_pairs(large, None)
+    if more is not None:
+        found = join.ws.write(found.unionByName(join.allowed(more, "2")).distinct(), "all")
+    return join.prove(found, "all"), join.nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"))
+
+
+def _class_of(texts: pa.Array) -> pa.Array:
+    """The class of each text, null without words."""
+    found = [np.zeros(0, np.int64)]
+    there = [np.zeros(0, bool)]
+    for a, b, data, offsets in text_steps(texts):
+        n, node, _ = _classes(*shingle_sets(data, offsets), b - a)
+        found.append(node)
+        there.append(n > 0)
+    return pa.array(np.concatenate(found), pa.int64(), mask=~np.concatenate(there))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that are not the smallest doc_id of their component; rows with a null doc_id stay, as do all rows with a kept id."""
-    gone = jaccard_components(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs with one row of every component: that with the smallest doc_id (nulls last), then the smallest class; rows without words all stay.
+
+    Rows are told apart by doc_id and class, so of the texts that share a doc_id only those that have a partner go. Rows of one doc_id and
+    class (repeats) are one document: the one with the least text stays, and any of those with equal texts. All columns are kept.
+    """
+    ws = Workspace(docs.sparkSession, "keep_one")
+    found = _classified(docs, ws).filter("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    stays = ws.write(found.groupBy("label").agg(first), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    gone = ws.write(found.join(stays, "label").filter(~same).select(F.col("doc_id").alias("__gone_id"), F.col("node").alias("__gone")).distinct(), "gone")
+    repeats = found.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("__gone_id"), F.col("node").alias("__gone"))
+    repeats = ws.write(repeats, "repeats")
+    rows = docs.withColumn("__class", F.arrow_udf(_class_of, "long")("text"))
+    key = rows["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__class") == F.col("__gone"))
+    rows = rows.join(gone, key, "left_anti")
+    if not repeats.head(1):
+        return rows.select(*docs.columns)
+    once = rows.join(repeats, key, "left_semi").groupBy("doc_id", "__class").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
+    return rows.join(repeats, key, "left_anti").select(*docs.columns).unionByName(once.select("row.*"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

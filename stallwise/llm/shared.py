@@ -47,6 +47,10 @@ class Workspace:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now: it does so when the driver's memory is collected, else up to half an hour later."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

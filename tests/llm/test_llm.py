@@ -93,11 +93,13 @@ def test_decontaminate_keeps_clean_documents(spark):
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
+def shingles(t):
+    w = spaced(t)
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
 def brute_components(rows):
-    sets = []
-    for _, t in rows:
-        w = spaced(t)
-        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    sets = [shingles(t) for _, t in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
@@ -112,43 +114,86 @@ def brute_components(rows):
     return sorted(((d, len(s), least.get(x) if s else d) for (d, _), s, x in zip(rows, sets, label, strict=True)), key=str)
 
 
-def test_jaccard_components(spark):
-    docs = documents(spark)
+def edited_copies(spark, n=60, most=5, first=100):
+    """One large group whose members differ by edits, so that tiles beyond SMALL occur."""
     rng = np.random.default_rng(5)
-    template = [f"t{i}" for i in range(120)]
-    rows = []
-    for i in range(60):  # one large group whose members differ by edits, so that tiles beyond SMALL occur
+    template, rows = [f"t{i}" for i in range(120)], []
+    for i in range(n):
         w = list(template)
-        for p in rng.choice(120, int(rng.integers(0, 5)), replace=False):
+        for p in rng.choice(120, int(rng.integers(0, most)), replace=False):
             w[p] = f"e{i}_{p}"
-        rows.append((100 + i, " ".join(w)))
-    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+        rows.append((first + i, " ".join(w)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_jaccard_components(spark):
+    docs = documents(spark).select("doc_id", "text").unionByName(edited_copies(spark))
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()), key=str)
     assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_jaccard_components_of_a_loose_group(spark):
+    """Copies with up to 12 edits of 120 words: many pairs lie on either side of the threshold, and many copies stay alone."""
+    docs = edited_copies(spark, 150, 13)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()), key=str)
+    wanted = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert len({w[2] for w in wanted}) > 20 and got == wanted
+
+
+def test_jaccard_links_are_all_links(spark):
+    docs = documents(spark).select("doc_id", "text").unionByName(edited_copies(spark, 80, 9))
+    links, members = jaccard.jaccard_links(docs)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    classes = {shingles(r["text"]): r["class"] for r in members.join(docs, "doc_id").collect() if r["doc_id"] != 3 and shingles(r["text"])}
+    sets = list({shingles(t) for d, t in rows if d is not None and shingles(t)})
+    wanted = {tuple(sorted((classes[x], classes[y]))) for i, x in enumerate(sets) for y in sets[i + 1 :] if 4 * len(x & y) >= 3 * len(x | y)}
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 100
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in kept.collect()} == {2, 3, 8, 10, 13, 14}
     assert jaccard.jaccard_components(empty(spark)).count() == 0
+    assert jaccard.keep_one(empty(spark)).count() == 0
+
+
+def test_keep_one_with_repeated_ids(spark):
+    """Texts that share a doc_id are told apart; repeated rows and null ids leave one row a group."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (5, a + " word"), (5, b), (7, b + " word"), (None, a), (8, ""), (8, ""), (9, "x y z"), (9, "X  y z"), (9, "x y z"), (None, "only here"), (None, "only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("row", F.lit(1)).withColumn("label", F.lit(2))
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (8, ""), (8, ""), (9, "X  y z"), (None, "only here")], key=str)
 
 
 def test_tile_pairs_are_complete_in_small_tiles():
     n = np.array([10, 12, 13, 20, 30, 10, 11], np.int32)
-    shingle, node = np.array([1, 1, 1, 1, 1, 2, 2], np.uint64), np.arange(7)
-    i, j, large = jaccard.tile_pairs(shingle, node, n)
+    shingle, node, place = np.array([1, 1, 1, 1, 1, 2, 2], np.uint64), np.arange(7), np.zeros(7, np.int64)
+    i, j, large = jaccard.tile_pairs(shingle, node, n, place)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(0, 1), (0, 2), (1, 2), (5, 6)} and not len(large)
+    i, j, _ = jaccard.tile_pairs(shingle, node, n, place + 1)  # with one shingle past, the 9 left of 10 are not enough for 12 or 13
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(1, 2), (5, 6)}
+
+
+def test_places_are_rounded_down():
+    for n in (1, 4, 7, 100, 1023, 5000):
+        place = np.arange(jaccard.prefix_length(n))
+        size = np.full(len(place), n)
+        least = jaccard.least_place(jaccard.packed_place(place, size), size)
+        assert (least <= place).all() and (place - least <= jaccard.prefix_length(n) // 256 + 1).all()
 
 
 def test_bitmap_bound_never_undercounts():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        a, b = (np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 400)), dtype=np.uint64)) for _ in range(2))
+    for most in [400] * 200 + [3000] * 40:
+        a, b = (np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, most)), dtype=np.uint64)) for _ in range(2))
         b = np.unique(np.concatenate((b, rng.choice(a, int(rng.integers(0, len(a) + 1)), replace=False))))
-        most = jaccard.bound(jaccard.bitmap(a)[None], jaccard.bitmap(b)[None], np.array([len(a)]), np.array([len(b)]))[0]
-        assert most >= len(np.intersect1d(a, b))
+        bound = jaccard.bound(jaccard.bitmap(a)[None], jaccard.bitmap(b)[None], np.array([len(a)]), np.array([len(b)]))[0]
+        assert bound >= len(np.intersect1d(a, b))
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
