@@ -15,9 +15,10 @@ of the set), told apart by nothing that follows, so copies never meet one anothe
    whose bound is too small are gone.
 4. The rest is intersected exactly, as sorted arrays: first each class with its smallest partners, then the pairs that still stand
    between components. Links become components by repeated contraction to minimum neighbours.
-5. In tiles beyond ``SMALL``, pairs of classes that are in different components by now are joined: an equi-join on shingle and
-   size band (own and next), skew split by Spark, that gives a pair only at the first tile that its classes share, and only if places
-   and bitmaps allow it. These pairs go through 3 and 4; classes in one component need no further proof. So no link is lost.
+5. In tiles beyond ``SMALL``, pairs of classes that are in different components by now are tried as well: such a tile is cut into a
+   grid of cells, by size band (own and next) and by blocks of some ``BLOCK`` classes, so that a hot tile is spread over many tasks. A cell
+   gives a pair only if it is the first tile that its classes share, and only if places and bitmaps allow it. These pairs go
+   through 3 and 4; classes in one component need no further proof. So no link is lost.
 
 ``jaccard_components`` gives one row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 ``jaccard_links`` gives every link, as pairs of classes, and the documents' classes; there nothing is left out for standing in one
@@ -51,6 +52,10 @@ CHUNK, GROUPS = 1 << 16, 64
 #: Bits of a bitmap, at least and at most.
 BITS, MOST_BITS = 1 << 10, 1 << 20
 SMALL = 16
+#: Classes of a block of a large tile, on average.
+BLOCK = 1024
+#: Links between what remains of components that one task unites.
+LAST = 20_000
 #: Postings that one task sorts, on average.
 TASK_POSTINGS = 1_000_000
 BUCKETS = 2048
@@ -160,7 +165,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ranks(texts: DataFrame) -> np.ndarray:
     """For each counter, the log2 of what it has beyond chance: 0 for counters within 2.5 deviations of the median. CELLS bytes."""
     total = np.zeros(CELLS, np.float32)
-    for chunk, blob in _merged(texts.mapInArrow(_sketch, "chunk int, part int, blob binary"), np.uint8, np.float32, np.add).toLocalIterator():  # 4 * CELLS bytes in all
+    for chunk, blob in _merged(texts.mapInArrow(_sketch, "chunk int, part int, blob binary"), np.uint8, np.float32, np.add).collect():  # 4 * CELLS bytes in all
         total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(bytes(blob), np.float32)
     usual = float(np.median(total))
     return np.log2(np.maximum(total - usual - 2.5 * usual**0.5, 1)).astype(np.uint8)
@@ -222,8 +227,8 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(DEN / NUM)).astype(np.int64)
 
 
-def tile_pairs(shingle: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second, rows of large tiles): distinct pairs of classes as indices, and indices of postings in tiles beyond SMALL.
+def tile_pairs(shingle: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, whether one leads, rows of large tiles): pairs of classes as indices, and indices of postings in tiles beyond SMALL.
 
     The postings are sorted by shingle, size and class, without repeats; place is the least place of the shingle in its class.
     """
@@ -232,12 +237,13 @@ def tile_pairs(shingle: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.n
     new[1:] = shingle[1:] != shingle[:-1]
     group = np.cumsum(new) - 1
     members = np.bincount(group)[group] if size else group
-    left, right, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], n.astype(np.int64)
+    left, right, leads, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], n.astype(np.int64)
 
-    def pair(i, j):
+    def pair(i, j, lead=False):
         fit = (DEN * n[i] >= NUM * n[j]) & places_allow(n[i] - place[i], n[i], n[j]) & places_allow(n[j] - place[j], n[j], n[i])
         left.append(i[fit])
         right.append(j[fit])
+        leads.append(np.full(len(left[-1]), lead))
 
     for d in range(1, SMALL):
         i = np.flatnonzero((group[d:] == group[:-d]) & ((members[d:] <= SMALL) | (d <= 2)))
@@ -250,17 +256,17 @@ def tile_pairs(shingle: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.n
         start[1:] = (b[1:] != b[:-1]) | (group[large][1:] != group[large][:-1])
         run = np.cumsum(start) - 1
         leader = large[start]
-        pair(leader[run], large)
+        pair(leader[run], large, True)
         back = run > 0
         same = back & (group[leader[np.maximum(run - 1, 0)]] == group[large])
-        pair(leader[run[same] - 1], large[same])
-    i, j = np.concatenate(left), np.concatenate(right)
+        pair(leader[run[same] - 1], large[same], True)
+    i, j, lead = np.concatenate(left), np.concatenate(right), np.concatenate(leads)
     differ = node[i] != node[j]
-    return i[differ], j[differ], large
+    return i[differ], j[differ], lead[differ], large
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (kind 0: a < b with their sizes) and postings of large tiles (kind 1: shingle, class, size, least place)."""
+    """Pairs (kind 0: whether one leads, a < b with their sizes) and postings of large tiles (kind 1: shingle, class, size, least place)."""
     held = [[np.frombuffer(b"".join(batch.column(k).to_pylist()), t) for k, t in ((1, np.uint64), (2, np.int64), (3, np.int32), (4, np.uint8))] for batch in batches]
     if not held:
         return
@@ -281,18 +287,18 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
     shingle, node, n, place = take(new)
     place = least_place(place, n)
-    i, j, large = tile_pairs(shingle, node, n, place)
+    i, j, lead, large = tile_pairs(shingle, node, n, place)
     swap = node[i] > node[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    order = np.lexsort((node[j], node[i]))
-    i, j = i[order], j[order]
+    order = np.lexsort((~lead, node[j], node[i]))
+    i, j, lead = i[order], j[order], lead[order]
     new = np.ones(len(i), bool)
     new[1:] = (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])
-    i, j = i[new], j[new]
+    i, j, lead = i[new], j[new], lead[new].astype(np.int64)
     names = ["kind", "x", "a", "b", "na", "nb"]
     for s in range(0, len(i), 1 << 16):
         p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(np.zeros(len(p), np.int64)), pa.array(node[p]), pa.array(node[q]), pa.array(n[p]), pa.array(n[q])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(lead[s : s + (1 << 16)]), pa.array(node[p]), pa.array(node[q]), pa.array(n[p]), pa.array(n[q])], names)
     for s in range(0, len(large), 1 << 16):
         p = large[s : s + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.array(shingle[p].view(np.int64)), pa.array(node[p]), pa.array(place[p]), pa.array(n[p]), pa.array(np.zeros(len(p), np.int32))], names)
@@ -315,29 +321,23 @@ def folded(bits: np.ndarray, n_bytes: int) -> np.ndarray:
     return bits
 
 
-def _chunked_bits(n_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n_bits // 8, np.uint8)
-        for batch in batches:
-            at = mix(np.asarray(batch.column(0)).view(np.uint64)) % np.uint64(n_bits)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield _in_chunks(bits)
-
-    return run
-
-
 def _bloom(nodes: DataFrame, count: int) -> np.ndarray:
-    """A filter of the classes in pairs, 16 bits for each up to MOST_BLOOM; what it lets through wrongly, the joins drop."""
+    """A filter of the classes in pairs, 16 bits for each up to MOST_BLOOM; what it lets through wrongly, the joins drop.
+
+    A class, a hash, has the bit of its last digits. Spark's bitmap aggregate makes the filter in pieces, each once for all tasks.
+    """
     n_bits = min(max(BLOOM, 1 << (16 * count - 1).bit_length()), MOST_BLOOM)
+    at = F.col("node").bitwiseAND(F.lit(n_bits - 1)) + 1  # the aggregate counts from 1
+    pieces = nodes.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(n_bits // 8, np.uint8)
-    for chunk, blob in _merged(nodes.mapInArrow(_chunked_bits(n_bits), "chunk int, part int, blob binary"), np.uint8, np.uint8, np.bitwise_or).toLocalIterator():  # n_bits / 8 bytes in all
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(bytes(blob), np.uint8)
+    for piece, bits in pieces.collect():  # n_bits / 8 bytes in all
+        out[(piece - 1) * len(bits) : piece * len(bits)] = np.frombuffer(bytes(bits), np.uint8)
     return out
 
 
 def _passes(bloom: np.ndarray, node: np.ndarray) -> np.ndarray:
-    at = mix(node.view(np.uint64)) % np.uint64(8 * len(bloom))
-    return (bloom[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    at = node & np.int64(8 * len(bloom) - 1)
+    return (bloom[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def _sets(sent):
@@ -388,37 +388,53 @@ def linked(common: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        na, nb = np.asarray(batch.column(2)).astype(np.int64), np.asarray(batch.column(3)).astype(np.int64)
-        x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        na, nb = np.asarray(batch.column("na")).astype(np.int64), np.asarray(batch.column("nb")).astype(np.int64)
+        x, y = batch.column("made_a").to_pylist(), batch.column("made_b").to_pylist()
         width = np.array([[len(p), len(q)] for p, q in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
         good = np.zeros(len(na), bool)
         for wx, wy in np.unique(width, axis=0):  # a few widths
             rows = np.flatnonzero((width == (wx, wy)).all(axis=1))
             bits = [np.frombuffer(b"".join(z[r] for r in rows), np.uint8).reshape(-1, w) for z, w in ((x, wx), (y, wy))]
             good[rows] = linked(bound(*bits, na[rows], nb[rows]), na[rows], nb[rows])
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in range(2)], ["a", "b"])
+        yield batch.select(["a", "b", "lead"]).filter(pa.array(good))
 
 
-def _bit_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of BITS bits as long columns, for Spark's own expressions."""
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps folded to BITS bits."""
     for batch in batches:
-        x = [folded(np.frombuffer(b, np.uint8)[None], BITS // 8)[0].view(np.int64) for b in batch.column(1).to_pylist()]
-        x = np.array(x, np.int64).reshape(-1, BITS // 64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k].copy()) for k in range(BITS // 64))], ["node", *(f"b{k}_" for k in range(BITS // 64))])
+        x = [folded(np.frombuffer(b, np.uint8)[None], BITS // 8).tobytes() for b in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["node", "bits"])
+
+
+def _cell(key: tuple, rows: pa.Table) -> pa.Table:
+    """The pairs of one cell of a large tile: classes of side 0 with classes of side 1, in the same band or the next."""
+    shingle = key[0].as_py()
+    side, band_, node, n, place, label = (rows.column(k).to_numpy() for k in ("side", "band", "node", "n", "place", "label"))
+    n = n.astype(np.int64)
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    earlier = [{x for x in own if x < shingle} for own in rows.column("own").to_pylist()]
+    left, right, found = np.flatnonzero(side == 0), np.flatnonzero(side == 1), []
+    for i in left if len(right) else ():
+        j = right[(label[right] != label[i]) & ((band_[right] > band_[i]) | (node[right] > node[i]))]
+        j = j[(DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & places_allow(n[i] - place[i], n[i], n[j]) & places_allow(n[j] - place[j], n[j], n[i])]
+        most = (n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)) // 2
+        found += [(i, k) for k in j[linked(most, n[i], n[j])].tolist() if earlier[i].isdisjoint(earlier[k])]
+    i, j = np.array(found, np.int64).reshape(-1, 2).T
+    i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+    return pa.table({"a": node[i], "b": node[j], "lead": np.zeros(len(i), np.int64), "na": n[i].astype(np.int32), "nb": n[j].astype(np.int32)})
 
 
 def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+        for x, y in zip(batch.column("made_a"), batch.column("made_b"), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             if len(p) > len(q):
                 p, q = q, p
             at = np.minimum(np.searchsorted(q, p), len(q) - 1)
             common = int((q[at] == p).sum())
             good.append(bool(linked(np.int64(common), np.int64(len(p)), np.int64(len(q)))))
-        keep = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(2)], ["a", "b"])
+        yield batch.select(batch.schema.names[:-2]).filter(pa.array(good, pa.bool_()))
 
 
 class Join:
@@ -431,7 +447,7 @@ class Join:
         self.nodes = self.ws.write(rows.mapInArrow(_nodes, "doc_id long, n long, node long, bits binary"), "nodes")
 
     def tiles(self) -> tuple[DataFrame, DataFrame]:
-        """(pairs a, b, na, nb, distinct; shingle, node, n, place of the large tiles)."""
+        """(pairs a, b, lead, na, nb, distinct; shingle, node, n, place of the large tiles)."""
         postings = self.nodes.filter("bits is not null").agg(F.sum(F.floor(F.col("n") / DEN) + 1)).first()[0] or 0
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(postings) // TASK_POSTINGS))
         buckets = max(BUCKETS, 8 * tasks)
@@ -439,7 +455,7 @@ class Join:
         packed = self.texts.mapInArrow(_postings(sent, buckets), "bucket int, shingles binary, nodes binary, sizes binary, places binary").repartition(tasks, "bucket")
         tiles = self.ws.write(packed.mapInArrow(_tiles, "kind int, x long, a long, b long, na int, nb int"), "tiles")
         self.ws.free()  # the postings' shuffle is the largest of all
-        pairs = self.ws.write(tiles.filter("kind = 0").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb")), "pairs")
+        pairs = self.ws.write(tiles.filter("kind = 0").groupBy("a", "b").agg(F.max("x").alias("lead"), F.min("na").alias("na"), F.min("nb").alias("nb")), "pairs")
         large = tiles.filter("kind = 1").select(F.col("x").alias("shingle"), F.col("a").alias("node"), F.col("na").alias("n"), F.col("b").alias("place"))
         return pairs, large
 
@@ -449,100 +465,110 @@ class Join:
         return self.nodes.filter("bits is not null").select("node", F.col("bits").alias("made")).mapInArrow(_filtered(sent), "node long, made binary")
 
     def allowed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b, na, nb; written) whose bitmaps allow a link."""
-        return self.ws.write(_with_both(pairs, self.bits(*_ends(pairs)), "na", "nb").mapInArrow(_bounded, "a long, b long"), f"bounded{name}")
+        """The pairs (a, b, lead, na, nb; written) whose bitmaps allow a link."""
+        made = _with_both(pairs, self.bits(*_ends(pairs)), "lead", "na", "nb")
+        return self.ws.write(made.mapInArrow(_bounded, "a long, b long, lead long"), f"bounded{name}")
 
     def prove(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links among written pairs (a, b). Whole sets are made, in a pass of their own, only for the classes in them."""
-        sent = self.spark.sparkContext.broadcast(_bloom(*_ends(pairs)))
+        """The links among written pairs (a, b and more columns). Whole sets are made, in a pass of their own, only for the classes in them."""
+        sent, more = self.spark.sparkContext.broadcast(_bloom(*_ends(pairs))), pairs.columns[2:]
         sets = self.texts.mapInArrow(_sets(sent), "node long, made binary")
-        links = self.ws.write(_with_both(pairs, sets).mapInArrow(_proven, "a long, b long"), f"links{name}")
+        links = self.ws.write(_with_both(pairs, sets, *more).mapInArrow(_proven, pairs.schema), f"links{name}")
         self.ws.free()
         return links
 
-    def proved_labels(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(links, labels) of the pairs that matter: first each class with its smallest partners, then what still stands between components."""
-        first = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a"))).distinct()
-        first = self.ws.write(first, "first")
-        links = self.prove(first, "1")
-        labels = components(links, self.ws, "1")
+    def first_links(self, pairs: DataFrame) -> DataFrame:
+        """Labels (node, label) from one partner each way of every class, leaders before others: they settle most of what stands in one component."""
+        pick = lambda x, y: pairs.groupBy(x).agg(F.min(F.struct(-F.col("lead"), y))[y].alias(y)).select("a", "b")
+        first = self.ws.write(pick("a", "b").unionByName(pick("b", "a")).distinct(), "first")
+        return components(self.prove(first, "1"), self.ws, "1")
+
+    def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose classes are in different components, with these: la, lb."""
         side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
-        apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
-        rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(apart).select("a", "b")
-        rest = self.ws.write(rest, "rest")
-        if rest.head(1):
-            links = self.ws.write(links.unionByName(self.prove(rest, "2")), "links12")
-            labels = components(links, self.ws, "2")
-        return links, labels
+        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return both.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la != lb")
 
     def large_pairs(self, large: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-        """Pairs (a, b, na, nb; written) from the large tiles; with labels (node, label) only those between different ones. None if no tile is open."""
+        """Pairs (a, b, lead, na, nb; written) from the large tiles; with labels (node, label) only those between different ones. None if no tile is open."""
         ws = self.ws
         large = large.withColumn("label", F.col("node")) if labels is None else large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         large = ws.write(large, "large")
-        open_tiles = large.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-        rest = ws.write(large.join(open_tiles, "shingle", "left_semi"), "open")
+        open_tiles = large.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
+        rest = ws.write(large.join(open_tiles.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "shingle"), "open")
         if not rest.head(1):
             return None
-        words = [f"b{k}_" for k in range(BITS // 64)]
-        bits = self.bits(rest.select("node"), rest.count()).dropDuplicates(["node"]).mapInArrow(_bit_columns, "node long, " + ", ".join(f"{w} long" for w in words))
-        tiles_of = rest.groupBy("node").agg(F.array_sort(F.collect_set("shingle")).alias("own"))  # a part of the class's prefix at most
-        wide = ws.write(rest.join(bits.join(tiles_of, "node"), "node"), "tiles2")
-        size_band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))
-        wide = wide.withColumn("band", size_band.cast("int"))
-        columns = ("node", "n", "label", "place", "own", *words)
-        one = wide.select("shingle", "band", *(F.col(c).alias(f"{c}1") for c in columns))
-        two = wide.select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("band").alias("band2"), *(F.col(c).alias(f"{c}2") for c in columns))
-        apart = sum((F.bit_count(F.col(f"{w}1").bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
-        n1, n2 = F.col("n1").cast("long"), F.col("n2").cast("long")
-        most = F.floor((n1 + n2 - apart) / 2)  # as in bound(); the condition is part of the join, so only pairs that it lets through come out
-        fits = (
-            (F.col("label1") != F.col("label2"))
-            & ((F.col("band2") < F.col("band")) | (F.col("node1") < F.col("node2")))
-            & (DEN * F.least(n1, n2) >= NUM * F.greatest(n1, n2))
-            & places_allow(n1 - F.col("place1"), n1, n2)
-            & places_allow(n2 - F.col("place2"), n2, n1)
-            & (DEN * most >= NUM * (n1 + n2 - most))
-            & (F.element_at(F.array_intersect("own1", "own2"), 1) == F.col("shingle"))
-        )
-        found = one.join(two, ["shingle", "band"]).filter(fits)
-        flip = F.col("node1") > F.col("node2")
-        end = lambda c, k: F.when(flip, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}"))
-        return ws.write(found.select(end("node", 1).alias("a"), end("node", 2).alias("b"), end("n", 1).alias("na"), end("n", 2).alias("nb")), "more")
+        bits = self.bits(rest.select("node"), rest.count()).dropDuplicates(["node"]).mapInArrow(_narrow, "node long, bits binary")
+        own = rest.groupBy("node").agg(F.collect_set("shingle").alias("own"))  # a part of the class's prefix at most
+        wide = ws.write(rest.join(bits.join(own, "node"), "node"), "tiles2")
+        wide = wide.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int"))
+        mine, all_blocks = F.pmod("node", "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+        cell = lambda lower, side: F.transform(all_blocks, lambda x: F.struct((F.col("band") - lower).alias("cell"), (x if side else mine).alias("i"), (mine if side else x).alias("j"), F.lit(side).alias("side")))
+        wide = wide.select("shingle", "band", "node", "n", "place", "label", "own", "bits", F.inline(F.concat(cell(0, 0), cell(0, 1), cell(1, 1))))
+        return ws.write(wide.groupBy("shingle", "cell", "i", "j").applyInArrow(_cell, "a long, b long, lead long, na int, nb int"), "more")
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, to) of one task's links, to being the smallest node of the component."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], ["a", "to"])
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """node, label for every node of the links (a, b): the smallest node of its component.
+    """node, label for every node of the links (a, b): some node of its component, the same for all.
 
-    Each round sends every node to its smallest neighbour (or itself), shortens these ways twice, and keeps the links
-    between what remains; the ways of all rounds put together give the label.
+    Each round sends every node to that neighbour, or itself, which comes first in an order drawn for the round (so that chains
+    of any kind fall into short pieces), shortens these ways twice, and keeps the links between what remains. The last LAST links
+    at most are united in one task. The ways of all rounds put together give the label.
     """
-    edges, ways, k = links, None, 0
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        way = ws.write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), f"way{name}{k}")
+    edges, ways, k = ws.write(links.select("a", "b"), f"edges{name}"), None, 0
+
+    def further(way: DataFrame) -> DataFrame:
+        if ways is None:
+            return way
+        return ws.write(ways.join(way.select(F.col("a").alias("to"), F.col("to").alias("next")), "to", "left").select("a", F.coalesce("next", "to").alias("to")), f"ways{name}{k}")
+
+    while (left := edges.count()) > LAST:
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("order"), F.col(c).alias("to"))  # noqa: B023, E731
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        way = ws.write(both.groupBy("a").agg(F.min(drawn("b")).alias("first")).select("a", F.least(drawn("a"), "first")["to"].alias("to")), f"way{name}{k}")
         for j in range(2):
             step = way.select(F.col("a").alias("to"), F.col("to").alias("further"))
-            way = ws.write(way.join(step, "to").select("a", F.col("further").alias("to")), f"way{name}{k}.{j}")
-        ways = way if ways is None else ws.write(ways.join(way.select(F.col("a").alias("to"), F.col("to").alias("next")), "to", "left").select("a", F.coalesce("next", "to").alias("to")), f"ways{name}{k}")
+            way = ws.write(way.join(step, "to").select("a", F.col("further").alias("to")), f"short{name}{k}.{j}")
+        ways = further(way)
         ends = edges.join(way.withColumnRenamed("to", "ta"), "a").join(way.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b")
-        left = ends.filter("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        edges = ws.write(left, f"edges{name}{k}")
-        if not edges.head(1):
-            return ways.select(F.col("a").alias("node"), F.col("to").alias("label"))
+        edges = ws.write(ends.filter("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"edges{name}{k}")
         k += 1
+    if left or ways is None:
+        ways = further(ws.write(edges.coalesce(1).mapInArrow(_united, "a long, to long"), f"last{name}"))
+    return ways.select(F.col("a").alias("node"), F.col("to").alias("label"))
 
 
 def _component_labels(join: Join) -> DataFrame:
     """node, label of every class with a link."""
     pairs, large = join.tiles()
-    links, labels = join.proved_labels(join.allowed(pairs, "1"))
+    allowed = join.allowed(pairs, "1")
+    labels = join.first_links(allowed)
     more = join.large_pairs(large, labels)
     if more is not None:
-        more = join.ws.write(join.allowed(more, "2").join(pairs, ["a", "b"], "left_anti"), "untried")
-        if more.head(1):
-            labels = components(join.ws.write(links.unionByName(join.prove(more, "3")), "links"), join.ws, "3")
-    return labels
+        allowed = allowed.unionByName(join.allowed(more, "2"))
+    rest = join.ws.write(join.apart(allowed, labels).distinct(), "rest")
+    if not rest.head(1):
+        return labels
+    links = join.prove(rest, "2").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    merged = components(links, join.ws, "2").select(F.col("node").alias("label"), F.col("label").alias("into"))
+    every = labels.unionByName(merged.select(F.col("label").alias("node"), "label")).distinct()  # a class without a link before is its own component
+    return join.ws.write(every.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
 
 
 def _classified(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -554,9 +580,8 @@ def _classified(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     join = Join(docs, ws)
     ws, labels = join.ws, _component_labels(join)
     least = ws.write(join.nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "least")
-    labelled = ws.write(labels.join(least, "node"), "labelled")
-    low = ws.write(labelled.groupBy("label").agg(F.min("least").alias("low")), "low")
-    named = ws.write(labelled.join(low, "label").select("node", "label", "low"), "named")
+    low = ws.write(labels.join(least, "node").groupBy("label").agg(F.min("least").alias("low")), "low")
+    named = ws.write(labels.join(low, "label").select("node", "label", "low"), "named")
     classes = ws.write(least.join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("low", "least").alias("component")), "classes")
     out = join.nodes.select("doc_id", "n", "node").join(classes, "node", "left")
     out = ws.write(out.select("doc_id", "n", "node", "label", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), "result")
@@ -576,8 +601,8 @@ def jaccard_links(docs: DataFrame, ws: Workspace | None = None) -> tuple[DataFra
     found = join.allowed(pairs, "1")
     more = join.large_pairs(large, None)
     if more is not None:
-        found = join.ws.write(found.unionByName(join.allowed(more, "2")).distinct(), "all")
-    return join.prove(found, "all"), join.nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"))
+        found = join.ws.write(found.unionByName(join.allowed(more, "2")).select("a", "b").distinct(), "all")
+    return join.prove(found, "all").select("a", "b"), join.nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"))
 
 
 def _class_of(texts: pa.Array) -> pa.Array:

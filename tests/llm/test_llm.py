@@ -140,6 +140,21 @@ def test_jaccard_components_of_a_loose_group(spark):
     assert len({w[2] for w in wanted}) > 20 and got == wanted
 
 
+def test_components_round_by_round(spark, tmp_path, monkeypatch):
+    """Chains, stars and random links, all by distributed rounds."""
+    monkeypatch.setattr(jaccard, "LAST", 0)
+    rng = np.random.default_rng(3)
+    links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 130)] + [tuple(sorted(map(int, rng.choice(np.arange(200, 260), 2, replace=False)))) for _ in range(45)]
+    label = {x: x for link in links for x in link}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r["node"]: r["label"] for r in jaccard.components(df, shared.Workspace(spark, "t"), "t").collect()}
+    assert set(got) == set(label) and len({(got[x], label[x]) for x in got}) == len(set(got.values())) == len(set(label.values()))
+    assert jaccard.components(df.limit(0), shared.Workspace(spark, "t"), "e").count() == 0
+
+
 def test_jaccard_links_are_all_links(spark):
     docs = documents(spark).select("doc_id", "text").unionByName(edited_copies(spark, 80, 9))
     links, members = jaccard.jaccard_links(docs)
@@ -173,9 +188,9 @@ def test_keep_one_with_repeated_ids(spark):
 def test_tile_pairs_are_complete_in_small_tiles():
     n = np.array([10, 12, 13, 20, 30, 10, 11], np.int32)
     shingle, node, place = np.array([1, 1, 1, 1, 1, 2, 2], np.uint64), np.arange(7), np.zeros(7, np.int64)
-    i, j, large = jaccard.tile_pairs(shingle, node, n, place)
+    i, j, _, large = jaccard.tile_pairs(shingle, node, n, place)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(0, 1), (0, 2), (1, 2), (5, 6)} and not len(large)
-    i, j, _ = jaccard.tile_pairs(shingle, node, n, place + 1)  # with one shingle past, the 9 left of 10 are not enough for 12 or 13
+    i, j, _, _ = jaccard.tile_pairs(shingle, node, n, place + 1)  # with one shingle past, the 9 left of 10 are not enough for 12 or 13
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(1, 2), (5, 6)}
 
 
