@@ -18,7 +18,8 @@ of the set), told apart by nothing that follows, so copies never meet one anothe
 5. In tiles beyond ``SMALL``, pairs of classes that are in different components by now are tried as well: such a tile is cut into a
    grid of cells, by size band (own and next) and by blocks of some ``BLOCK`` classes, so that a hot tile is spread over many tasks. A cell
    gives a pair only if it is the first tile that its classes share, and only if places and bitmaps allow it. These pairs go
-   through 3 and 4; classes in one component need no further proof. So no link is lost.
+   through 3 and 4; classes in one component need no further proof. First one pair for each two components of a cell is tried, then
+   all that are left between components. So no link is lost.
 
 ``jaccard_components`` gives one row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 ``jaccard_links`` gives every link, as pairs of classes, and the documents' classes; there nothing is left out for standing in one
@@ -406,22 +407,33 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["node", "bits"])
 
 
-def _cell(key: tuple, rows: pa.Table) -> pa.Table:
-    """The pairs of one cell of a large tile: classes of side 0 with classes of side 1, in the same band or the next."""
-    shingle = key[0].as_py()
-    side, band_, node, n, place, label = (rows.column(k).to_numpy() for k in ("side", "band", "node", "n", "place", "label"))
-    n = n.astype(np.int64)
-    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-    earlier = [{x for x in own if x < shingle} for own in rows.column("own").to_pylist()]
-    left, right, found = np.flatnonzero(side == 0), np.flatnonzero(side == 1), []
-    for i in left if len(right) else ():
-        j = right[(label[right] != label[i]) & ((band_[right] > band_[i]) | (node[right] > node[i]))]
-        j = j[(DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & places_allow(n[i] - place[i], n[i], n[j]) & places_allow(n[j] - place[j], n[j], n[i])]
-        most = (n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)) // 2
-        found += [(i, k) for k in j[linked(most, n[i], n[j])].tolist() if earlier[i].isdisjoint(earlier[k])]
-    i, j = np.array(found, np.int64).reshape(-1, 2).T
-    i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-    return pa.table({"a": node[i], "b": node[j], "lead": np.zeros(len(i), np.int64), "na": n[i].astype(np.int32), "nb": n[j].astype(np.int32)})
+def _cells(once: bool):
+    """The pairs of one cell of a large tile: classes of side 0 with classes of side 1, in the same band or the next.
+
+    once: of all pairs between the same two components, only the one whose bitmaps allow the most.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        shingle = key[0].as_py()
+        side, band_, node, n, place, label = (rows.column(k).to_numpy() for k in ("side", "band", "node", "n", "place", "label"))
+        n = n.astype(np.int64)
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        earlier = [{x for x in own if x < shingle} for own in rows.column("own").to_pylist()]
+        left, right, found = np.flatnonzero(side == 0), np.flatnonzero(side == 1), {}
+        for i in left if len(right) else ():
+            j = right[(label[right] != label[i]) & ((band_[right] > band_[i]) | (node[right] > node[i]))]
+            j = j[(DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & places_allow(n[i] - place[i], n[i], n[j]) & places_allow(n[j] - place[j], n[j], n[i])]
+            most = (n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)) // 2
+            fit = linked(most, n[i], n[j])
+            for k, m in zip(j[fit].tolist(), most[fit].tolist(), strict=True):
+                at = (min(label[i], label[k]), max(label[i], label[k])) if once else (i, k)
+                if (at not in found or found[at] < (m, i, k)) and earlier[i].isdisjoint(earlier[k]):
+                    found[at] = (m, i, k)
+        i, j = np.array([(i, k) for _, i, k in found.values()], np.int64).reshape(-1, 2).T
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        return pa.table({"a": node[i], "b": node[j], "lead": np.zeros(len(i), np.int64), "na": n[i].astype(np.int32), "nb": n[j].astype(np.int32)})
+
+    return run
 
 
 def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,23 +501,31 @@ class Join:
         both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
         return both.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la != lb")
 
-    def large_pairs(self, large: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-        """Pairs (a, b, lead, na, nb; written) from the large tiles; with labels (node, label) only those between different ones. None if no tile is open."""
+    def large_tiles(self, large: DataFrame, labels: DataFrame) -> DataFrame:
+        """Postings of the large tiles whose classes are not all of one component, with blocks, bits and own (the class's such tiles); written."""
         ws = self.ws
-        large = large.withColumn("label", F.col("node")) if labels is None else large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        large = ws.write(large, "large")
-        open_tiles = large.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
-        rest = ws.write(large.join(open_tiles.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "shingle"), "open")
-        if not rest.head(1):
-            return None
+        named = ws.write(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
+        members = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
+        rest = ws.write(named.drop("label").join(members.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "shingle"), "open")
         bits = self.bits(rest.select("node"), rest.count()).dropDuplicates(["node"]).mapInArrow(_narrow, "node long, bits binary")
         own = rest.groupBy("node").agg(F.collect_set("shingle").alias("own"))  # a part of the class's prefix at most
-        wide = ws.write(rest.join(bits.join(own, "node"), "node"), "tiles2")
+        return ws.write(rest.join(bits.join(own, "node"), "node"), "tiles2")
+
+    def large_pairs(self, wide: DataFrame, labels: DataFrame, once: bool, name: str) -> DataFrame:
+        """Pairs (a, b, lead, na, nb; written) of different components from large_tiles; once: see _cells."""
+        wide = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         wide = wide.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int"))
         mine, all_blocks = F.pmod("node", "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
         cell = lambda lower, side: F.transform(all_blocks, lambda x: F.struct((F.col("band") - lower).alias("cell"), (x if side else mine).alias("i"), (mine if side else x).alias("j"), F.lit(side).alias("side")))
         wide = wide.select("shingle", "band", "node", "n", "place", "label", "own", "bits", F.inline(F.concat(cell(0, 0), cell(0, 1), cell(1, 1))))
-        return ws.write(wide.groupBy("shingle", "cell", "i", "j").applyInArrow(_cell, "a long, b long, lead long, na int, nb int"), "more")
+        return self.ws.write(wide.groupBy("shingle", "cell", "i", "j").applyInArrow(_cells(once), "a long, b long, lead long, na int, nb int"), f"more{name}")
+
+    def merged(self, rest: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """The labels after the links among written pairs (a, b, la, lb)."""
+        links = self.prove(rest, name).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        into = components(links, self.ws, name).select(F.col("node").alias("label"), F.col("label").alias("into"))
+        every = labels.unionByName(into.select(F.col("label").alias("node"), "label")).distinct()  # a class without a link before is its own component
+        return self.ws.write(every.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), f"labels{name}")
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -556,19 +576,22 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
 
 def _component_labels(join: Join) -> DataFrame:
     """node, label of every class with a link."""
-    pairs, large = join.tiles()
+    ws, (pairs, large) = join.ws, join.tiles()
     allowed = join.allowed(pairs, "1")
     labels = join.first_links(allowed)
-    more = join.large_pairs(large, labels)
-    if more is not None:
-        allowed = allowed.unionByName(join.allowed(more, "2"))
-    rest = join.ws.write(join.apart(allowed, labels).distinct(), "rest")
-    if not rest.head(1):
-        return labels
-    links = join.prove(rest, "2").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    merged = components(links, join.ws, "2").select(F.col("node").alias("label"), F.col("label").alias("into"))
-    every = labels.unionByName(merged.select(F.col("label").alias("node"), "label")).distinct()  # a class without a link before is its own component
-    return join.ws.write(every.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+    wide = join.large_tiles(large, labels)
+    some = bool(wide.head(1))
+    # One pair for each two components of a cell unites most of them, so that few are left for the round of all pairs.
+    tried = allowed.unionByName(join.allowed(join.large_pairs(wide, labels, True, "2"), "2")) if some else allowed
+    rest = ws.write(join.apart(tried, labels).distinct(), "rest2")
+    if rest.head(1):
+        labels = join.merged(rest, labels, "2")
+    if some:
+        more = ws.write(join.large_pairs(wide, labels, False, "3").join(rest, ["a", "b"], "left_anti"), "untried")
+        rest = ws.write(join.apart(join.allowed(more, "3"), labels), "rest3") if more.head(1) else more
+        if rest.head(1):
+            labels = join.merged(rest, labels, "3")
+    return labels
 
 
 def _classified(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -599,8 +622,10 @@ def jaccard_links(docs: DataFrame, ws: Workspace | None = None) -> tuple[DataFra
     join = Join(docs, ws)
     pairs, large = join.tiles()
     found = join.allowed(pairs, "1")
-    more = join.large_pairs(large, None)
-    if more is not None:
+    own = large.select("node", F.col("node").alias("label")).distinct()  # no two classes count as one component
+    wide = join.large_tiles(large, own)
+    if wide.head(1):
+        more = join.large_pairs(wide, own, False, "2")
         found = join.ws.write(found.unionByName(join.allowed(more, "2")).select("a", "b").distinct(), "all")
     return join.prove(found, "all").select("a", "b"), join.nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"))
 
