@@ -61,11 +61,20 @@ class Block:
         self.top = float(np.abs(x).max(initial=0))
 
     def scores(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        if self.top * float(np.abs(q).max(initial=0)) * len(q) < 2.0**53:
+        if self.exact(q):
             return (self.x[rows] @ q).astype(np.int64)
         exact = [sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in self.x[rows]]
         return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact], np.int64).reshape(-1)
 
+    def exact(self, q: np.ndarray) -> bool:
+        """Whether every sum of products is a whole number that float64 holds."""
+        return self.top * float(np.abs(q).max(initial=0)) * len(q) < 2.0**53
+
+    def bound(self, q: np.ndarray, at: np.ndarray) -> float:
+        """What no row that stands beyond these list values can exceed: exact where scores are, else raised by more than float64 can err."""
+        bound = float(q @ at)
+        return bound if self.exact(q) else bound + float(np.abs(q) @ np.abs(at)) * len(q) * 2.0**-50 + 1
+
     def search(self, own: int, q: np.ndarray, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """best: (-score, id) pairs in order, k at most, from earlier blocks; returns them with this block's."""
         n, seen, depth, reached = len(self.ids), np.zeros(len(self.ids), bool), FIRST_DEPTH, 0
@@ -94,8 +103,7 @@ class Block:
                 best = best[:k]
             reached, depth = depth, depth * 2
             if reached < n and len(best) >= k:
-                bound = float(q[up] @ self.lists[reached - 1, up]) + float(q[down] @ self.lists[n - reached, down])
-                if bound * (1 - 1e-12 * math.copysign(1, bound)) + 1e-6 < -best[k - 1][0]:
+                if self.bound(q, np.where(q < 0, self.lists[reached - 1], self.lists[n - reached])) < -best[k - 1][0]:
                     break
             if seen.all():
                 break
