@@ -13,7 +13,8 @@ so that no text holds a control string and ``unescape`` restores it exactly. A n
 Defined results: rows come in order of turn (nulls first), ties in order of role and text, so repeated rows stand one after
 the other and are all kept; a null text is empty, a null role is the empty role; turns whose conv_id is null form one
 conversation; an empty table gives no row. Only the four named columns are read. A conversation is one value of the
-output, so all its turns meet in one task; its bytes are the bound of that task's memory.
+output, so all its turns meet in one task; its bytes are the bound of that task's memory, and Arrow and Spark hold no value of
+2 GiB or more. Conversations are assembled in batches bounded by turns and by bytes.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .shared import table
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 ESC = b"\x1b"
 LEARNED_ROLE = "assistant"
-#: Turns assembled at once, at least one conversation.
-TURNS_A_BATCH = 4096
+#: Turns and bytes of text assembled at once, at most, but for a single conversation.
+TURNS_A_BATCH, BYTES_A_BATCH = 4096, 16 << 20
 OUTPUT = "conv_id long, n_turns long, formatted binary, loss_spans array<struct<start: long, length: long>>"
 
 
@@ -106,14 +107,19 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["conv_id", "n_turns", "formatted", "loss_spans"],
         )
 
+    whole = size = 0  # turns of finished conversations, bytes of all
     for batch in batches:
-        held += zip(batch.column(0).to_pylist(), _escaped(batch.column(1), role=True), _escaped(batch.column(2)), strict=True)
-        if len(held) >= TURNS_A_BATCH and held[0][0] != held[-1][0]:
-            cut = len(held) - 1
-            while held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            yield done(held[:cut])
-            held = held[cut:]
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            for row in zip(part.column(0).to_pylist(), _escaped(part.column(1), role=True), _escaped(part.column(2)), strict=True):
+                if held and row[0] != held[-1][0]:
+                    whole = len(held)
+                held.append(row)
+                size += len(row[1]) + len(row[2])
+                if whole and (size > BYTES_A_BATCH or len(held) > TURNS_A_BATCH):
+                    yield done(held[:whole])
+                    held, whole = held[whole:], 0
+                    size = sum(len(r[1]) + len(r[2]) for r in held)
     if held:
         yield done(held)
 
