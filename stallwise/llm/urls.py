@@ -2,7 +2,8 @@
 
 A list is a log of dated entries: (kind, pattern, dated, listed), where listed tells whether the pattern is entered or struck. For each pattern the log
 becomes validity intervals: an entry holds from its date to the next strike. Every capture (url, fetched_at) has a bounded number of keys, the
-patterns that could name it: its URL, its host, its host's parent domains, and its path's prefixes. An as-of join, an equi-join on (kind, key) with
+patterns that could name it: its URL, its host, its host's parent domains, and its path's prefixes, of those two only at the depths (numbers
+of labels, of segments) that the list has; these few numbers come to the driver first. An as-of join, an equi-join on (kind, key) with
 the fetch time inside the interval, finds the entries that were active then; Spark splits a hot host's rows and broadcasts the intervals only if they are
 small by its own check. A marker row for each capture goes along, so captures without entries come out too, and one aggregation
 by capture ends it.
@@ -41,14 +42,22 @@ def parts(url):
     return host, F.regexp_extract(bare, r"^[^/?]*(.*)$", 1)
 
 
-def keys(url):
-    """array of (kind, key) of a URL."""
+def depths(held: DataFrame) -> dict[str, list[int]]:
+    """The numbers of labels and of segments that the intervals' patterns of kind domain and prefix have: at most the length of the longest pattern."""
+    depth = F.when(F.col("kind") == "domain", F.size(F.split("pattern", "[.]"))).otherwise(F.size(F.split("pattern", "/")) - 1)
+    rows = held.filter(F.col("kind").isin("domain", "prefix")).select("kind", depth.alias("depth")).distinct().collect()
+    return {kind: sorted(r["depth"] for r in rows if r["kind"] == kind and r["depth"] > 0) for kind in ("domain", "prefix")}
+
+
+def keys(url, at: dict[str, list[int]]):
+    """array of (kind, key) of a URL; domains and prefixes at the given depths."""
     host, rest = parts(url)
     labels = F.split(host, "[.]")
     segments = F.filter(F.split(F.regexp_extract(rest, r"^([^?]*)", 1), "/"), lambda s: s != "")
     pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: pair("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.transform(segments, lambda _, i: pair("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i + 1), "/"))))
+    there = lambda kind, parts_: F.filter(F.array(*map(F.lit, at[kind])).cast("array<int>"), lambda d: d <= F.size(parts_))
+    domains = F.transform(there("domain", labels), lambda d: pair("domain", F.array_join(F.slice(labels, F.size(labels) - d + 1, d), ".")))
+    prefixes = F.transform(there("prefix", segments), lambda d: pair("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), d), "/"))))
     found = F.array_distinct(F.concat(F.array(pair("url", F.concat(host, rest)), pair("host", host)), domains, prefixes))
     return F.when(host == "", F.array().cast("array<struct<kind:string,key:string>>")).otherwise(found)
 
@@ -57,8 +66,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """key, url, fetched_at, rules (sorted kind:pattern of the entries active at the fetch) and blocked, for each row of captures (key, url, fetched_at)."""
     rows = captures.select(F.col(key).alias("c_key"), F.col("url").alias("c_url"), F.col("fetched_at").alias("c_at"))
     none = F.struct(F.lit("").alias("kind"), F.lit("").alias("key"))
-    each = rows.select("*", F.explode(F.concat(F.array(none), keys(F.col("c_url")))).alias("k")).select("c_key", "c_url", "c_at", "k.kind", "k.key")
-    held = intervals(entries).select(F.col("kind").alias("i_kind"), F.col("pattern").alias("i_pattern"), "since", "until")
+    held = intervals(entries)
+    each = rows.select("*", F.explode(F.concat(F.array(none), keys(F.col("c_url"), depths(held)))).alias("k")).select("c_key", "c_url", "c_at", "k.kind", "k.key")
+    held = held.select(F.col("kind").alias("i_kind"), F.col("pattern").alias("i_pattern"), "since", "until")
     active = (F.col("kind") == F.col("i_kind")) & (F.col("key") == F.col("i_pattern")) & (F.col("c_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("c_at") < F.col("until")))
     met = each.join(held, active, "left").filter((F.col("kind") == "") | F.col("i_kind").isNotNull())
     rule = F.when(F.col("i_kind").isNotNull(), F.concat_ws(":", "i_kind", "i_pattern"))
