@@ -1,8 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The benchmark's normalised windows (13 consecutive words; a shorter item is one window) become a table keyed by the
-hash of each window's first, middle and last word. It is broadcast as a hash set, a block of proven size at a time
-(``block_bytes``); a larger benchmark is swept in several blocks, never broadcast whole. Documents are scanned once a
+hash of each window's first, middle and last word. It is broadcast as a hash set, a block of measured size at a time
+(``block_bytes``, of the distinct windows, so neither a huge item nor copies of one make a larger block); a larger benchmark
+is swept in several blocks, never broadcast whole. Documents are scanned once a
 block: their words are generated position by position, probed against the set, and each probe that hits is verified
 word by word. Clean positions end there, in the scan's own stage; only hits and one marker row for each document are
 shuffled.
@@ -20,11 +21,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, table
+from .shared import Workspace, ascii_lower, table
 
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast block at most; its window table takes about 40 times that.
-BLOCK_BYTES = 1 << 20
+#: Bytes of windows in one broadcast block at most: some 40 bytes a byte of benchmark text.
+BLOCK_BYTES = 128 << 20
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -53,12 +54,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
     A document is contaminated if n_hit > 0 and 20 * n_hit >= n_words.
     """
-    n_bytes = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(n_bytes / block_bytes))
+    grams = windows(benchmark)
+    held = F.aggregate("w_words", F.lit(0).cast("long"), lambda n, w: n + 16 + F.octet_length(w))
+    n_bytes = grams.agg(F.sum(64 + held + 24 * F.size("w_items"))).first()[0] or 0
+    blocks = math.ceil(2 * n_bytes / block_bytes) if n_bytes > block_bytes else 1  # dealt by hash, so none is twice the mean
+    if blocks > 1:
+        grams = Workspace(docs.sparkSession, "decontaminate").write(grams, "windows")
     hits = None
     for k in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(blocks)) == k)
-        found = _scan(docs, windows(part), marker=k == 0)
+        part = grams if blocks == 1 else grams.filter(F.pmod(F.xxhash64("w_words"), F.lit(blocks)) == k)
+        found = _scan(docs, part, marker=k == 0)
         hits = found if hits is None else hits.unionByName(found)
     per = hits.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),

@@ -1,11 +1,12 @@
 """Helpers that all operators of this subpackage use: tables, written intermediate results, hashed words.
 
 Everything that must outlive an executor is written as Parquet under the folder that ``spark.checkpoint.dir`` names;
-only where that setting is absent (tests, a laptop) a temporary folder is used in its place.
+only where that setting is absent and Spark runs on one machine (tests, a laptop) a temporary folder is used in its place.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one, remembered in the session, only if the cluster names none."""
+    """The cluster's shared folder; a temporary one, remembered in the session, only where Spark runs on one machine and none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("stallwise.shared.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="stallwise-")
         spark.conf.set("stallwise.shared.dir", folder)
     return folder.rstrip("/")

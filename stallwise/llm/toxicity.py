@@ -35,9 +35,10 @@ from .shared import NOT_WORD, Workspace, hashed_words, table, text_steps, word_h
 
 #: Words that make a text toxic in themselves. Fixed values.
 LEXICON = (
-    "idiot idiots moron morons stupid loser losers trash scum worthless pathetic disgusting clown clowns dumb dumbass imbecile cretin "
-    "filth filthy vermin garbage jerk bastard freak creep ugly fool foolish hate kill hurt shutup retard retarded pig pigs rat rats"
-).split()
+    "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "trash", "scum", "worthless", "pathetic", "disgusting", "clown", "clowns",
+    "dumb", "dumbass", "imbecile", "cretin", "filth", "filthy", "vermin", "garbage", "jerk", "bastard", "freak", "creep", "ugly", "fool", "foolish",
+    "hate", "kill", "hurt", "shutup", "retard", "retarded", "pig", "pigs", "rat", "rats",
+)
 #: Words that address someone: a weak sign.
 SECOND_PERSON = ("you", "your", "youre", "yourself")
 PREFIXES = (3, 4, 5, 6)

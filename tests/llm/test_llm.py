@@ -69,7 +69,7 @@ def brute_contamination(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 64])
+@pytest.mark.parametrize("block_bytes", [1 << 27, 16_000])
 def test_contamination(spark, block_bytes):
     items = [(1, PASSAGE), (2, "one two"), (3, None), (4, "!!"), (5, "É vero, éanon? éanon"), (6, PASSAGE), (None, "idiot loser")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
@@ -271,6 +271,31 @@ def test_topk(spark, group_bytes):
     assert got == want
 
 
+@pytest.mark.parametrize("scale", [2.0, 1e3, 1e5, 3e6, 1e9, 1e17])
+def test_topk_ties_at_any_size(spark, scale):
+    """Equal scores from 10^5 to beyond 2^53 and beyond a long go to the smallest ids."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [scale, scale]) for i in range(400)] + [(400 + i, [scale * float(x) for x in rng.integers(-1, 2, 2)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 97 == 0, 5).orderBy("query_id", "rank").collect()]
+    good, want = {i: [math.floor(256 * x) for x in v] for i, v in rows}, []
+    held = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    for q in [i for i in good if i % 97 == 0]:
+        s = sorted((-held(sum(a * b for a, b in zip(good[q], v, strict=True))), i) for i, v in good.items() if i != q)
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s[:5])]
+    assert got == want
+
+
+def test_topk_bound_is_no_lower_than_any_score():
+    rng = np.random.default_rng(4)
+    for size in (1e2, 1e7, 1e12):
+        x = np.floor(rng.normal(0, size, (64, 8)))
+        block = topk.Block(np.arange(64), x)
+        for q in np.floor(rng.normal(0, size, (20, 8))):
+            at = np.where(q < 0, x.min(axis=0), x.max(axis=0))
+            assert block.bound(q, at) >= sum(int(a) * int(b) for a, b in zip(q, at, strict=True))
+
+
 def test_topk_stops_early():
     x = np.zeros((1000, 2))
     x[:, 0] = np.arange(1000)
@@ -439,6 +464,16 @@ def test_chat_batches_cut_between_conversations():
     assert chat.read_back(out[0].column(2)[1].as_py()) == [(b"user", b"t3"), (b"user", b"t4"), (b"user", b"t5")]
 
 
+def test_chat_long_turns():
+    """Turns of 1 MB: batches close by bytes, and every text comes back."""
+    rows = [(k // 2, "assistant", f"<|{k}" + "x" * 1_000_000 + "\x1b<|" * 50) for k in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + 20]]) for c in range(3)], ["conv_id", "role", "text"]) for a in range(0, 60, 20)]
+    out = list(chat._format(iter(batches)))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(30)) and max(b.num_rows for b in out) <= 12
+    turns = [t for b in out for x in b.column(2).to_pylist() for t in chat.read_back(x)]
+    assert turns == [(r.encode(), t.encode()) for _, r, t in rows]
+
+
 def test_chat_hash_of_the_probe(spark):
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
@@ -546,3 +581,37 @@ def test_pipeline(spark):
     assert kept == sorted(kept, reverse=True) and kept[3] == kept[2] and kept[1] > 0.8 * kept[0]
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, DATA).count() == out.count()
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Nulls, repeated rows and ids, empty texts, clashing columns; what stays is worked out by hand."""
+    import corpus_pipeline
+
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [
+        (1, words("a", 60)), (2, words("a", 60) + " more"), (1, words("a", 60)), (3, None), (4, ""), (4, ""), (5, words("b", 60)), (5, words("c", 60) + " idiot moron scum vermin"), (None, words("d", 60)),
+        (6, words("e", 60) + " " + PASSAGE), (7, words("f", 400)), (7, words("a", 61)), (None, None), (8, PASSAGE + " tail"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("label", F.lit(1)).withColumn("removed", F.lit(2)).withColumn("n_chars", F.length("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, words("f", 13)), (2, words("b", 60)), (3, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out, kept = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns
+        out = shared.Workspace(spark, "awkward").write(out, "t")
+        kept.append(sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str))
+    toxic = [r for r in rows if r[1] and "idiot" in r[1]]
+    assert kept[0] == sorted([r for r in rows if r not in toxic], key=str)
+    left = [(1, words("a", 60)), (3, None), (4, ""), (4, ""), (5, words("b", 60)), (None, words("d", 60)), (6, words("e", 60) + " " + PASSAGE), (7, words("f", 400)), (None, None), (8, PASSAGE + " tail")]
+    assert kept[1] == sorted(left, key=str)
+    assert len(kept[2]) == len(left) and [r for r in kept[2] if r[0] not in (6, 8)] == sorted([r for r in left if r[0] not in (6, 8)], key=str)
+    assert all("passage40" not in (t or "") for d, t in kept[2] if d == 8) and all("passage40" in t for d, t in kept[2] if d == 6)
+    assert kept[3] == [r for r in kept[2] if r[0] != 5]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path))
+    assert pieces.select("doc_id").distinct().count() == len({d for d, _ in kept[3]})
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "none" / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).write.parquet(str(tmp_path / "none" / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -36,6 +36,17 @@ def test_evaluate(spark):
     assert not urls.evaluate(captures, entries.limit(0), "page_id").filter("blocked").count()
 
 
+def test_very_long_urls(spark):
+    """100,000 segments and 50,000 labels: only the depths that the list has are made."""
+    long = "/".join(f"s{k}" for k in range(100_000))
+    log = [("prefix", "q.org/s0/s1", day(0), True), ("prefix", "q.org/" + long, day(0), True), ("domain", "a.b", day(0), True)]
+    entries = spark.createDataFrame(log, "kind string, pattern string, dated timestamp, listed boolean")
+    rows = [(1, "https://q.org/" + long, day(1)), (2, "https://" + "x." * 50_000 + "a.b/" + long, day(1)), (3, "https://r.org/" + long, day(1)), (4, "q.org/s0/s1/", day(1)), (5, "q.org/s0", day(1))]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp")
+    got = {r["page_id"]: list(r["rules"]) for r in urls.evaluate(captures, entries, "page_id").collect()}
+    assert got == {1: ["prefix:q.org/" + long[:5], "prefix:q.org/" + long], 2: ["domain:a.b"], 3: [], 4: ["prefix:q.org/s0/s1"], 5: []}
+
+
 def brute(pieces, text):
     """(count, bytes, score) by trying all edges start by start, as the tokenizer does."""
     table, n = dict(pieces), len(text)
