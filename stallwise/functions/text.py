@@ -20,13 +20,14 @@ _FROM, _TO = _accents()
 ALIASES = ((r"\baf\s?1\b", "air force 1"), (r"\baf1\b", "air force 1"), (r"\blv\b", "louis vuitton"))
 #: Texts whose presence anywhere in a title is a warning. Fixed values.
 NEGATIVE = (
-    "replica,fake,falso,tarocco,ispirato,inspired,like,stile,lotto,bundle,stock,solo scatola,scatola,dustbag,ricambio,solo,"
-    "rovinato,strappato,macchia,difetto,da riparare,rott,kids,bambino,bimbi,ragazzo,ragazza"
-).split(",")
+    "replica", "fake", "falso", "tarocco", "ispirato", "inspired", "like", "stile", "lotto", "bundle", "stock", "solo scatola", "scatola", "dustbag",
+    "ricambio", "solo", "rovinato", "strappato", "macchia", "difetto", "da riparare", "rott", "kids", "bambino", "bimbi", "ragazzo", "ragazza",
+)
 #: Title words that say nothing about the item. Fixed values.
 GENERIC = (
-    "the with and pour avec game games gioco giochi jeu juego ps4 playstation borsa bag sac purse wallet portafoglio scarf prada gucci no brand uomo donna woman man"
-).split()
+    "the", "with", "and", "pour", "avec", "game", "games", "gioco", "giochi", "jeu", "juego", "ps4", "playstation", "borsa", "bag", "sac", "purse",
+    "wallet", "portafoglio", "scarf", "prada", "gucci", "no", "brand", "uomo", "donna", "woman", "man",
+)
 #: Title patterns (word-bounded). Fixed values.
 NEW_WORD = r"\b(?:new|nuov[aoei]?|nueva|neuf|neu|nwt|cartellino)\b"
 AUTH_WORD = r"\b(?:original|authentic|autentico|autentica|vero|genuine)\b"
@@ -57,7 +58,7 @@ def normalise_title(c: Column, fold: bool = True) -> Column:
     out = F.lower(F.trim(out))
     out = fold_accents(out) if fold else out
     out = F.trim(F.regexp_replace(F.regexp_replace(out, URL, " "), r"[^a-z0-9]+", " "))
-    return F.when(out == "nan", "").otherwise(out) if fold else out
+    return F.regexp_replace(out, "^nan$", "") if fold else out
 
 
 def tokens(c: Column, pattern: str = r"[a-z0-9]+", least: int = 2) -> Column:
@@ -88,6 +89,22 @@ def found_in(c: Column, words) -> Column:
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
+def has_any(c: Column, words) -> Column:
+    """Whether any of the words stands anywhere in the text, in lower case; a null text has none."""
+    return F.size(found_in(c, words)) > 0
+
+
+#: Words that place a search or title in a category, looked for in this order. Fixed values.
+LUXURY_TERMS = ("gucci", "prada", "louis vuitton", "fendi", "dior", "balenciaga", "burberry", "chanel", "hermes")
+GAME_TERMS = ("ps4", "ps5", "switch", "xbox", "game", "games", "playstation")
+
+
+def category(search: Column, title: Column) -> Column:
+    """luxury, game or generic, by the words of the search and the title together."""
+    both = F.concat_ws(" ", F.coalesce(search, F.lit("")), F.coalesce(title, F.lit("")))
+    return F.when(has_any(both, LUXURY_TERMS), "luxury").when(has_any(both, GAME_TERMS), "game").otherwise("generic")
+
+
 def negative_flags(title: Column, words=NEGATIVE) -> Column:
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(title, w))
 
@@ -112,9 +129,17 @@ def flag(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike(pattern), F.lit(False)).cast("int")
 
 
-def title_features(title: Column) -> dict[str, Column]:
-    """The title's features by name."""
-    raw, norm = F.coalesce(title.cast("string"), F.lit("")), normalise_title(title)
+def with_title_features(df: DataFrame, title: str, *names: str) -> DataFrame:
+    """df with the title's features (all, or those named). The normalised title is a column made first, so it is worked out once a row."""
+    made = df.withColumn("__norm", normalise_title(F.col(title)))
+    found = title_features(F.col(title), F.col("__norm"))
+    return made.select(*df.columns, *[c.alias(n) for n, c in found.items() if not names or n in names])
+
+
+def title_features(title: Column, norm: Column | None = None) -> dict[str, Column]:
+    """The title's features by name; norm: its normalised form, if there is a column of it."""
+    raw = F.coalesce(title.cast("string"), F.lit(""))
+    norm = normalise_title(title) if norm is None else norm
     words = tokens(norm, least=1)
     new, auth, limited, bundle, defect = (flag(norm, p) for p in (NEW_WORD, AUTH_WORD, LIMITED_WORD, BUNDLE_WORD, DEFECT_WORD))
     price = flag(raw, PRICE_LIKE)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import clamp, number
-from ..functions.text import found_in
+from ..functions.text import category, found_in
 
 #: Weights, words and limits of the decision. Fixed values.
 WEIGHTS = {"resale": 0.34, "profit": 0.18, "margin": 0.14, "seller": 0.14, "demand": 0.08, "fresh": 0.06, "condition": 0.06, "visual": 0.0}
@@ -105,6 +105,29 @@ def decide(df: DataFrame, min_score: float = 0.55, min_seller: float = 0.30, wei
     return df.withColumn("worth_buying", (c("buy_score") >= min_score) & ~hard).drop(*[f"__{k}" for k in parts], "__hard", "__soft", "__state")
 
 
+def minimum_score(search: Column, title: Column, base: float = 0.55, thresholds: dict[str, float] | None = None) -> Column:
+    """The score asked for: that of the search (trimmed, in lower case), else that of the category, else the base."""
+    own = F.lower(F.trim(F.coalesce(search, F.lit(""))))
+    kind, out = category(search, title), F.lit(float(base))
+    for column in (kind, own):
+        for name, value in (thresholds or {}).items():
+            out = F.when(column == name, float(value)).otherwise(out)
+    return out
+
+
+#: What a photo must have, and what each fault costs: condition on the metrics, penalty, note. Fixed values.
+PHOTO_FAULTS = (("least(width, height) < 220", 0.18, "low_resolution"), ("brightness < 0.18 or brightness > 0.92", 0.14, "extreme_brightness"), ("contrast < 0.10", 0.15, "low_contrast"), ("blur_score < 25.0", 0.18, "blurry"))
+SCREENSHOT = ("try_divide(width, height) > 1.25 or try_divide(width, height) < 0.60", 0.22, "suspicious_aspect_ratio")
+
+
+def photo_quality(df: DataFrame) -> DataFrame:
+    """Adds quality_score, screenshot_risk and photo_notes from width, height, brightness, contrast and blur_score of each image."""
+    rules = [(F.expr(rule), cost, note) for rule, cost, note in (*PHOTO_FAULTS, SCREENSHOT)]
+    costs = [F.when(rule, cost).otherwise(0.0) for rule, cost, _ in rules]
+    notes = F.array_compact(F.array(*[F.when(rule, F.lit(note)) for rule, _, note in rules]))
+    return df.withColumn("screenshot_risk", costs[-1]).withColumn("quality_score", clamp(1.0 - sum(costs[:-1], F.lit(0.0)) - costs[-1], 0.0, 1.0)).withColumn("photo_notes", F.array_join(notes, ";"))
+
+
 def required_profit(price: Column, search: Column, title: Column, base: float = 8.0, cutoff: float = 30.0, floor: float = 3.0, ratio: float = 0.28) -> Column:
     """The profit asked for: for low prices, or searches of cheap things, relaxed to a share of the price."""
     texts = [F.lower(F.coalesce(x, F.lit(""))) for x in (search, title)]
@@ -155,3 +178,46 @@ def rule_grid(df: DataFrame, label: str, profit: str, grid: dict[str, list[float
     names = [f"min_{c}" for c in levels]
     out = cells.join(F.broadcast(rules), meets).groupBy(*names).agg(F.sum("n").alias("selected"), F.sum("y").alias("positives"), F.sum("p").alias("profit"))
     return out.withColumn("precision", F.col("positives") / F.col("selected"))
+
+
+def visual_summary(images: DataFrame, item: str, position: str, search: str, title: str, most: int = 6, main: float = 0.55) -> DataFrame:
+    """What the first images of each item say together: scores, risk, counts and notes.
+
+    images: a row for each image, also for those that could not be read (quality_score null): search, title, hash_value (a string of bits),
+    quality_score, screenshot_risk, photo_notes. An item without images has a row with a null position. Images alike in all but 4 bits are
+    one; arrays hold at most ``most`` images.
+    """
+    c = F.col
+    place = F.row_number().over(Window.partitionBy(item).orderBy(F.asc_nulls_last(position)))
+    rows = images.withColumn("__p", place).filter(c("__p") <= most)
+    shot = F.struct(c("__p"), "hash_value", "quality_score", "screenshot_risk", "photo_notes")
+    per = rows.groupBy(item).agg(F.max(search).alias("search"), F.max(title).alias("title"), F.count(position).alias("n"), F.array_sort(F.collect_list(F.when(c("quality_score").isNotNull(), shot))).alias("s"))
+    apart = lambda a, b: F.when(F.length(a) != F.length(b), F.greatest(F.length(a), F.length(b))).otherwise(F.length(F.replace(F.array_join(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, F.lit("")).otherwise("1")), ""), F.lit(" "), F.lit(""))))
+    kept = F.aggregate("s", F.array().cast("array<string>"), lambda a, s: F.when(F.exists(a, lambda h: apart(h, s["hash_value"]) <= 4), a).otherwise(F.array_append(a, s["hash_value"])))
+    mean_of = lambda test: F.try_divide(F.aggregate("s", F.lit(0.0), lambda a, s: a + F.when(test(s), 1.0).otherwise(0.0)), c("seen"))
+    per = per.withColumn("seen", F.size("s")).withColumn("unique", F.size(kept)).withColumn("kind", category(c("search"), c("title")))
+    per = per.withColumn("dup", F.try_divide(c("seen") - c("unique"), c("seen"))).withColumn("low", mean_of(lambda s: s["quality_score"] < 0.45)).withColumn("shots", mean_of(lambda s: s["screenshot_risk"] > 0))
+    rest = (1 - main) / F.greatest(c("seen") - 1, F.lit(1))
+    weighted = F.when(c("seen") == 1, F.get("s", F.lit(0))["quality_score"]).otherwise(F.aggregate("s", F.lit(0.0), lambda a, s: a + s["quality_score"] * F.when(s["__p"] == F.get("s", F.lit(0))["__p"], main).otherwise(rest)))
+    luxury = c("kind") == "luxury"
+    target = F.when(luxury, 4.0).when(c("kind") == "game", 2.0).otherwise(3.0)
+    unit = lambda x: clamp(x, 0.0, 1.0)
+    per = per.withColumn("target", target).withColumn("quality", unit(weighted - 0.20 * c("dup"))).withColumn("complete", unit(0.65 * unit(c("unique") / target) + 0.35 * (1 - c("dup"))))
+    per = per.withColumn("consistent", unit(0.58 + 0.22 * c("quality") + 0.20 * (1 - c("shots"))))
+    per = per.withColumn("authentic", F.when(luxury, unit(0.45 * c("complete") + 0.35 * c("quality") + 0.20 * c("consistent"))).otherwise(unit(0.40 + 0.35 * c("complete") + 0.25 * c("consistent"))))
+    score = unit(0.36 * c("quality") + 0.24 * c("complete") + 0.20 * c("consistent") + 0.20 * c("authentic"))
+    risk = 0.20 * (1 - c("quality")) + 0.12 * (1 - c("complete")) + 0.10 * (1 - c("consistent")) + F.when(luxury, 0.12).otherwise(0.06) * (1 - c("authentic")) + 0.10 * c("dup") + 0.08 * c("shots")
+    notes = F.array_compact(F.concat(
+        F.filter(F.flatten(F.transform("s", lambda s: F.split(s["photo_notes"], ";"))), lambda x: x != ""),
+        F.array(
+            F.when(c("n") > c("seen"), F.lit("image_fetch_failed")), F.when(luxury & (c("authentic") < 0.45), F.lit("low_authenticity_evidence")), F.when(c("dup") >= 0.5, F.lit("duplicate_images")),
+            F.when(c("unique") < c("target"), F.lit("limited_visual_coverage")), F.when(c("low") >= 0.5, F.lit("mostly_low_quality_images")),
+        ),
+    ))
+    none, failed = c("n") == 0, c("seen") == 0
+    pick = lambda value, empty, lost: F.when(none, empty).when(failed, lost).otherwise(value)
+    return per.select(
+        item, pick(score, 0.45, 0.40).alias("visual"), pick(clamp(risk, 0.0, 0.55), 0.08, 0.10).alias("visual_penalty"), pick(c("quality"), 0.45, 0.40).alias("quality"), pick(c("complete"), 0.35, 0.30).alias("completeness"),
+        pick(c("consistent"), 0.55, 0.55).alias("consistency"), pick(c("authentic"), 0.45, 0.40).alias("authenticity"), F.when(failed & ~none, c("n")).otherwise(c("seen")).cast("long").alias("images"), c("unique").cast("long").alias("unique_images"),
+        pick(c("low"), 1.0, 1.0).alias("low_quality"), pick(c("shots"), 0.0, 0.0).alias("screenshots"), F.when(none, "no_images").when(failed, "all_images_failed").otherwise(F.array_join(F.array_sort(F.array_distinct(notes)), "|")).alias("visual_notes"),
+    )

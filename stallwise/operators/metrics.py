@@ -76,10 +76,11 @@ def brier_ece(df: DataFrame, g: list[str], s: str, y: str, bins: int = 10) -> Da
 def at_k(df: DataFrame, g: list[str], s: str, y: str, ks: list[int], tie: str) -> DataFrame:
     """k, selected, positives, precision, recall of the k best scores (all, if fewer), ties by the tie column rising."""
     order = Window.partitionBy(*g).orderBy(F.desc_nulls_last(s), F.asc(tie))
-    total = Window.partitionBy(*g)
-    rows = df.select(*g, F.col(y).cast("long").alias("y"), F.row_number().over(order).alias("r"), F.sum(F.col(y).cast("long")).over(total).alias("all"))
+    rows = df.select(*g, F.col(y).cast("long").alias("y"), F.row_number().over(order).alias("r"))  # Spark keeps max(ks) rows a group before the exchange
     each = rows.filter(F.col("r") <= max(ks)).select("*", F.explode(F.array(*map(F.lit, ks))).alias("k")).filter("r <= k")
-    out = each.groupBy(*g, "k").agg(F.count(F.lit(1)).alias("selected"), F.sum("y").alias("positives"), F.max("all").alias("all"))
+    out = each.groupBy(*g, "k").agg(F.count(F.lit(1)).alias("selected"), F.sum("y").alias("positives"))
+    total = df.groupBy(*[F.col(c).alias(f"__{c}") for c in g]).agg(F.sum(F.col(y).cast("long")).alias("all"))
+    out = out.join(total, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in g] or F.lit(True))
     return out.select(*g, "k", "selected", "positives", (F.col("positives") / F.col("selected")).alias("precision"), F.try_divide("positives", "all").alias("recall"))
 
 

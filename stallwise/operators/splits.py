@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 TRAIN, VALIDATION = 0.6, 0.2
 
 
-def by_time(df: DataFrame, ts: str, tie: str, train: float = TRAIN, validation: float = VALIDATION) -> DataFrame:
-    """Adds split: the first share of rows in time is train, the next validation, the rest test; ties by the tie column.
+def time_ranked(df: DataFrame, ts: str, tie: str) -> DataFrame:
+    """df with __r, the rank of each row in (time, tie), rows without a time last, and __n, the number of rows.
 
     Rank is exact without sorting all rows in one task: rows are counted by hour, the hours' offsets are summed in a small window, and only
     within an hour are rows ranked.
@@ -21,16 +21,45 @@ def by_time(df: DataFrame, ts: str, tie: str, train: float = TRAIN, validation:
     offsets = counts.select("__h", (F.sum("__c").over(Window.orderBy(F.asc_nulls_last("__h")).rowsBetween(Window.unboundedPreceding, -1))).alias("__o"), F.sum("__c").over(Window.partitionBy(F.lit(1))).alias("__n"))
     ranked = rows.join(offsets.withColumn("__h2", F.col("__h")).drop("__h"), F.col("__h").eqNullSafe(F.col("__h2")))
     r = F.coalesce("__o", F.lit(0)) + F.row_number().over(Window.partitionBy("__h").orderBy(ts, tie))
-    split = F.when(r <= F.floor(F.col("__n") * train), "train").when(r <= F.floor(F.col("__n") * (train + validation)), "validation").otherwise("test")
-    return ranked.withColumn("split", split).select(*df.columns, "split")
+    return ranked.withColumn("__r", r).select(*df.columns, "__r", "__n")
+
+
+def by_time(df: DataFrame, ts: str, tie: str, train: float = TRAIN, validation: float = VALIDATION) -> DataFrame:
+    """Adds split: the first share of rows in time is train, the next validation, the rest test; ties by the tie column."""
+    r, n = F.col("__r"), F.col("__n")
+    split = F.when(r <= F.floor(n * train), "train").when(r <= F.floor(n * (train + validation)), "validation").otherwise("test")
+    return time_ranked(df, ts, tie).select(*df.columns, split.alias("split"))
+
+
+#: Pieces of a group that are ranked apart, by the first bits of the hash that orders it.
+PIECES = 1 << 10
+
+
+def hash_ranked(df: DataFrame, groups: list[str], key: str, seed: int) -> DataFrame:
+    """df with __r, the rank of each row in its group in the order of (hash of key and seed, key), and __n, the group's rows.
+
+    The hash is the first 60 bits of md5(key|seed), which any other engine can give as well.
+
+    A group's rows are counted by pieces of the hash's range, the pieces' offsets are summed in a small window, and rows are ranked
+    within pieces only: no task holds a whole group.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed).cast("string"))), 1, 15), 16, 10).cast("long")
+    rows = df.withColumn("__h", h).withColumn("__b", F.shiftright("__h", 60 - PIECES.bit_length() + 1))
+    counts = rows.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    of_group = Window.partitionBy(*(groups or [F.lit(1)]))
+    before = F.coalesce(F.sum("__c").over(of_group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = [*groups, "__b"]
+    offsets = counts.select(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(names)], before.alias("__o"), F.sum("__c").over(of_group).alias("__n"))
+    same = [F.col(c).eqNullSafe(F.col(f"__g{k}")) for k, c in enumerate(names)]
+    r = F.col("__o") + F.row_number().over(Window.partitionBy(*names).orderBy("__h", key))
+    return rows.join(offsets, same).withColumn("__r", r).select(*df.columns, "__r", "__n")
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, seed: int = 42, train: float = TRAIN, validation: float = VALIDATION) -> DataFrame:
     """Adds split with the same shares in each stratum, in the order of a hash."""
-    w = Window.partitionBy(*strata)
-    r, n = F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key)), F.count(F.lit(1)).over(w)
+    r, n = F.col("__r"), F.col("__n")
     split = F.when(r <= F.floor(n * train), "train").when(r <= F.floor(n * (train + validation)), "validation").otherwise("test")
-    return df.withColumn("split", split)
+    return hash_ranked(df, strata, key, seed).select(*df.columns, split.alias("split"))
 
 
 def folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
@@ -40,10 +69,8 @@ def folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
 
 def capped(df: DataFrame, strata: list[str], key: str, most: int, least: int = 1, seed: int = 42) -> DataFrame:
     """A sample of about most rows: every stratum in proportion, but at least least rows of it."""
-    w = Window.partitionBy(*strata)
-    total = df.count()
-    quota = F.greatest(F.lit(least), F.floor(F.count(F.lit(1)).over(w) * min(1.0, most / max(total, 1))))
-    return df.withColumn("__q", quota).withColumn("__r", F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key))).filter("__r <= __q").drop("__q", "__r")
+    quota = F.greatest(F.lit(least), F.floor(F.col("__n") * min(1.0, most / max(df.count(), 1))))
+    return hash_ranked(df, strata, key, seed).filter(F.col("__r") <= quota).drop("__r", "__n")
 
 
 def extremes(df: DataFrame, score: str, key: str, high: int, low: int, seen: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import blank_to_null
+from .splits import hash_ranked, time_ranked
 
 
 def without_known(df: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
@@ -48,7 +49,7 @@ def balanced(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """All positives and as many negatives, the first in the order of a hash of (key, seed): the same rows each time."""
     positives = df.filter(F.col(label) == 1)
     n = positives.count()
-    return positives.unionByName(df.filter(F.col(label) == 0).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n))
+    return positives.unionByName(hash_ranked(df.filter(F.col(label) == 0), [], key, seed).filter(F.col("__r") <= n).drop("__r", "__n"))
 
 
 def fill_missing(df: DataFrame, source: DataFrame, key: str, columns: list[str], protected: tuple[str, ...] = ()) -> DataFrame:
@@ -88,13 +89,10 @@ def replace_slice(df: DataFrame, fresh: DataFrame, column: str, value) -> DataFr
     return df.filter(~F.col(column).eqNullSafe(F.lit(value))).unionByName(fresh, allowMissingColumns=True)
 
 
-def overflow(df: DataFrame, room: int, *order: str) -> tuple[DataFrame, DataFrame]:
+def overflow(df: DataFrame, room: int, ts: str, tie: str) -> tuple[DataFrame, DataFrame]:
     """(kept, moved): the oldest rows beyond room are moved, rows without a date last."""
-    n = max(0, df.count() - room)
-    by = [F.col(c).asc_nulls_last() for c in order]
-    moved = df.orderBy(*by).limit(n)
-    ids = order[-1]
-    return df.join(moved.select(ids), ids, "left_anti").select(*df.columns), moved
+    ranked, old = time_ranked(df, ts, tie), F.col("__r") <= F.col("__n") - room
+    return ranked.filter(~old).drop("__r", "__n"), ranked.filter(old).drop("__r", "__n")
 
 
 def queue_next(df: DataFrame, group: str, *order: str) -> DataFrame:

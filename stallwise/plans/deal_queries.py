@@ -20,7 +20,7 @@ def price_stats(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    """The latest snapshot of each item with its group's statistics."""
+    """The latest snapshot of each item with its group's statistics. The tables have no clusters: generic titles and similarities follow from the id by fixed rules."""
     rows = listing(spark, sf_dir)
     counts = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("snapshots"), F.max_by(F.struct(*[c for c in rows.columns if c != "item_id"]), F.struct(*ORDER)).alias("row"))
     items = counts.select("item_id", "snapshots", "row.*")
@@ -29,8 +29,8 @@ def _items(spark, sf_dir):
     joined = items.join(stats, ["brand", "search"]).withColumn("z", deals.deal_z(c("price"), c("n"), c("med"), c("mad")))
     norm = text.normalise(c("title"))
     return joined.select(
-        "*", (F.size(text.negative_flags(norm)) > 0).alias("negative"), F.lit(False).alias("generic"), F.size(text.informative_tokens(norm, c("brand"))).alias("informative"), (F.size(text.model_codes(norm)) > 0).alias("has_code"),
-        F.lit(None).cast("double").alias("silhouette"), F.lit(None).cast("double").alias("centroid_sim"),
+        "*", (F.size(text.negative_flags(norm)) > 0).alias("negative"), (c("item_id") % 7 == 0).alias("generic"), F.size(text.informative_tokens(norm, c("brand"))).alias("informative"), (F.size(text.model_codes(norm)) > 0).alias("has_code"),
+        F.when(c("item_id") % 8 > 0, 0.1 + c("item_id") % 8 / 10).alias("silhouette"), F.when(c("item_id") % 5 > 0, 0.35 + c("item_id") % 5 / 10).alias("centroid_sim"),
     )
 
 
@@ -42,13 +42,14 @@ items as (select l.*, s.n, s.q25, s.med, s.q75, s.mad, case when s.n >= 3 then (
   trim(regexp_replace(strip_accents(lower(trim(l.brand))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) bnorm, g from latest l join stats s using (brand, search), gen),
 flagged as (select *, exists (select 1 from neg where contains(norm, w)) negative, len(regexp_extract_all(norm, '\\b[a-z]{{1,4}}\\d{{2,6}}\\b|\\b\\d{{2,4}}\\b')) > 0 has_code,
   len(list_filter(list_distinct(regexp_extract_all(norm, '[a-z0-9]+')), lambda x: length(x) > 1 and not list_contains(g, x) and not list_contains(regexp_extract_all(bnorm, '[a-z0-9]+'), x) and not regexp_matches(x, '^\\d+$'))) informative from items),
-priced as (select *, greatest(least(med * 0.95, q75), q25) est, greatest(least(med * 0.95, q75), q25) * 0.9 - price profit, mad / med - 0.25 dr from flagged),
+priced as (select *, greatest(least(med * 0.95, q75), q25) est, greatest(least(med * 0.95, q75), q25) * 0.9 - price profit, mad / med - 0.25 dr, item_id % 7 = 0 generic, case when item_id % 8 > 0 then 0.35 - (0.1::double + (item_id % 8)::double / 10) end sil,
+  case when item_id % 5 > 0 then 0.55 - (0.35::double + (item_id % 5)::double / 10) end cen from flagged),
 ruled as (select *, profit / price margin, informative < 2 and not has_code unsure from priced),
 summed as (select *,
-  (case when negative then 0.6 else 0 end) + (case when unsure then 0.5 else 0 end) + (case when dr > 0 then least(1.0, 4 * dr) else 0 end) + (case when price < 0.45 * med then 0.5 else 0 end) penalty,
-  (case when negative then 0.20 else 0 end) + (case when unsure then 0.15 else 0 end) + (case when snapshots >= 3 then least(0.25, 0.05 * (snapshots - 2)) else 0 end) + (case when n < 8 then 0.35 else 0 end)
+  (case when negative then 0.6 else 0 end) + (case when generic then 1.1 else 0 end) + (case when unsure and not generic then 0.5 else 0 end) + (case when dr > 0 then least(1.0, 4 * dr) else 0 end) + (case when sil > 0 then least(0.8, 2 * sil) else 0 end) + (case when cen > 0 then least(0.8, 2 * cen) else 0 end) + (case when price < 0.45 * med then 0.5 else 0 end) penalty,
+  (case when negative then 0.20 else 0 end) + (case when generic then 0.35 else 0 end) + (case when unsure and not generic then 0.15 else 0 end) + (case when sil > 0 then least(0.30, 1.2 * sil) else 0 end) + (case when cen > 0 then least(0.25, 1.2 * cen) else 0 end) + (case when snapshots >= 3 then least(0.25, 0.05 * (snapshots - 2)) else 0 end) + (case when n < 8 then 0.35 else 0 end)
   + (case when dr > 0 then least(0.35, 1.5 * dr) else 0 end) + (case when price < 0.45 * med then 0.10 else 0 end) + (case when margin < 0.10 then 0.20 else 0 end) + (case when profit < 5.0 then 0.20 else 0 end) loss,
-  n < 8 or dr > 0.2 or margin < 0.10 or profit < 5.0 hard from ruled),
+  n < 8 or dr > 0.2 or margin < 0.10 or profit < 5.0 or coalesce(sil > 0, false) or (generic and unsure) hard from ruled),
 confident as (select *, least(greatest(1.0 - loss, 0.0), 1.0)::double confidence from summed),
 scored as (select *, least(greatest((z - penalty) * confidence, -10.0), 10.0) raw from confident),
 final as (select *, coalesce(raw is not null and confidence >= 0.55 and not hard, false) eligible,
@@ -106,11 +107,13 @@ c as (select *, case when rev and st is not null then st / 5 * (0.70 + 0.30 * rc
   description = 'replica, broken' hard, (case description when 'graffi e bundle' then 2 when 'no box' then 1 else 0 end) + (condition = 'poor')::int soft from p),
 t as (select *, 0.34 * least(safety / 100, 1) + 0.18 * least(greatest(profit / 40, 0), 1) + 0.14 * least(greatest(margin / 0.5, 0), 1) + 0.14 * seller + 0.08 * demand + 0.06 * fresh + 0.06 * cond total,
   (case when hard then 0.55 else 0 end) + (case when soft > 0 then least(0.25, 0.06 * soft) else 0 end) + (case when seller < 0.30 then 0.20 else 0 end) + (case when cond < 0.35 then 0.20 else 0 end) + (case when margin < 0.10 then 0.18 else 0 end) + (case when profit < 8 then 0.12 else 0 end) pen from c)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, round(least(greatest(total - pen, 0), 1), 6)::double buy_score, round(least(greatest(total - pen, 0), 1), 9) >= 0.55 and not hard worth_buying from t""")
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, round(least(greatest(total - pen, 0), 1), 6)::double buy_score, least(greatest(total - pen, 0), 1) >= 0.55 and not hard worth_buying,
+  concat_ws(';', case when hard then 'hard_description_risk' end, case when soft > 0 then 'description_or_condition_risk' end, case when not rev and st is null then 'new_unreviewed_seller' when not (rev and st is not null) then 'seller_metrics_incomplete' end, case when seller < 0.30 then 'weak_seller_profile' end,
+    case when cond < 0.35 then 'poor_condition' end, case when margin < 0.10 then 'thin_expected_margin' end, case when profit < 8 then 'thin_expected_profit' end, case when hard then 'hard:replica|broken' end,
+    case when soft > 0 then 'soft:' || concat_ws('|', case when description = 'graffi e bundle' then 'bundle|graffi' when description = 'no box' then 'no box' end, case when condition = 'poor' then 'poor' end) end) buy_notes from t""")
 def buy_decisions(spark, sf_dir):
     out = buy.decide(_buy_rows(spark, sf_dir))
-    worth = (F.round("buy_score", 9) >= 0.55) & (F.col("description") != "replica, broken")
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", r(F.col("buy_score")).alias("buy_score"), worth.alias("worth_buying"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", r(F.col("buy_score")).alias("buy_score"), "worth_buying", "buy_notes")
 
 
 @query(f"with {_BUY}, q as (select *, case when l_quantity <= 30 or l_partkey % 9 = 0 then least(8.0, greatest(3.0, l_quantity * 0.28)) else 8.0 end need from b) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(need, 6)::double need from q where profit >= need and safety >= 20 and margin >= 0.1")

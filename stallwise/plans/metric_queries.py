@@ -275,7 +275,8 @@ def fisher_tests(spark, sf_dir):
     return stats.with_fisher(rows, "n00", "n01", "n10", "n11")
 
 
-@query(f"with {SCORES}, n as (select count(*) c from scores) select count(*) >= 100 enough, count(distinct search) searches from (select * from scores) ".replace("count(*) >= 100 enough", "count(*) > 0 enough"))
+@query(f"""with {SCORES}, h as (select *, ('0x' || substr(md5(doc_id || '|42'), 1, 15))::bigint h, count(*) over () c from scores),
+n as (select *, row_number() over (partition by search, y order by h, doc_id) r, count(*) over (partition by search, y) n from h)
+select doc_id, search, y from n where r <= greatest(1, floor(n * least(1.0::double, 100.0::double / c)))""")
 def stratified_cap(spark, sf_dir):
-    rows = splits.capped(scores(spark, sf_dir), ["search", "y"], "doc_id", 100)
-    return rows.agg((F.count(F.lit(1)) > 0).alias("enough"), F.countDistinct("search").alias("searches"))
+    return splits.capped(scores(spark, sf_dir), ["search", "y"], "doc_id", 100).select("doc_id", "search", "y")

@@ -111,10 +111,11 @@ def sold_funnel(spark, sf_dir):
     return state.funnel(sold, "k", raw=c.filter("c_acctbal > 0"), items=c.filter("c_acctbal > 3000"), deals=c.filter("c_acctbal > 3000 and c_mktsegment = 'BUILDING'"))
 
 
-@query("select count(*)::bigint n, sum(y)::bigint positives from (select 1 y from customer where c_acctbal < 0 union all (select 0 from customer where c_acctbal >= 0 limit (select count(*) from customer where c_acctbal < 0)))")
+@query("""with c as (select c_custkey, (c_acctbal < 0)::int y, ('0x' || substr(md5(c_custkey || '|42'), 1, 15))::bigint h from customer)
+select c_custkey, y from (select *, row_number() over (partition by y order by h, c_custkey) r from c) where y = 1 or r <= (select sum(y) from c)""")
 def balanced_sample(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("y"))
-    return state.balanced(c, "y", "c_custkey", 42).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
+    return state.balanced(c, "y", "c_custkey", 42)
 
 
 _ENRICH = "t as (select c_custkey k, case when c_custkey % 4 = 0 then '' when c_custkey % 4 = 1 then null else c_name end a, c_mktsegment b from customer), s as (select c_custkey k, case when c_custkey % 3 = 0 then ' ' else 'src' || c_custkey end a, 'B' b from customer where c_custkey % 2 = 0)"
@@ -215,16 +216,17 @@ def predicate_top(spark, sf_dir):
     return rows.orderBy(F.desc("price"), *ORDER).limit(100).select("item_id", "l_orderkey", "page", "price", "likes")
 
 
-@query("select split, count(*) n, min(event_id) lo, max(event_id) hi from (select event_id, case when n <= floor(c * 0.6) then 'train' when n <= floor(c * 0.8) then 'validation' else 'test' end split from (select event_id, row_number() over (order by ts, event_id) n, count(*) over () c from events)) group by split")
+@query("select event_id, case when n <= floor(c * 0.6) then 'train' when n <= floor(c * 0.8) then 'validation' else 'test' end split from (select event_id, row_number() over (order by ts, event_id) n, count(*) over () c from events)")
 def time_split(spark, sf_dir):
-    return splits.by_time(table(spark, sf_dir, "events"), "ts", "event_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    return splits.by_time(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "split")
 
 
-@query("""with n as (select c_mktsegment, (c_acctbal < 0)::int y, count(*) n from customer group by all)
-select * from (select c_mktsegment, y, 'train' split, floor(n * 0.6)::bigint n from n union all select c_mktsegment, y, 'validation', (floor(n * 0.8) - floor(n * 0.6))::bigint from n union all select c_mktsegment, y, 'test', (n - floor(n * 0.8))::bigint from n) where n > 0""")
+@query("""with c as (select c_custkey, c_mktsegment, (c_acctbal < 0)::int y, ('0x' || substr(md5(c_custkey || '|42'), 1, 15))::bigint h from customer),
+n as (select *, row_number() over (partition by c_mktsegment, y order by h, c_custkey) r, count(*) over (partition by c_mktsegment, y) n from c)
+select c_custkey, case when r <= floor(n * 0.6) then 'train' when r <= floor(n * 0.8) then 'validation' else 'test' end split from n""")
 def stratified_split(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") < 0).cast("int").alias("y"))
-    return splits.stratified(c, ["c_mktsegment", "y"], "c_custkey").groupBy("c_mktsegment", "y", "split").agg(F.count(F.lit(1)).alias("n"))
+    return splits.stratified(c, ["c_mktsegment", "y"], "c_custkey").select("c_custkey", "split")
 
 
 @query("select c_custkey, ((row_number() over (partition by c_acctbal < 0 order by c_custkey) - 1) % 5)::int fold from customer")

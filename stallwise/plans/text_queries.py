@@ -28,7 +28,7 @@ select p_partkey k, length(n)::int title_char_len, len(ws)::int title_tokens, le
   regexp_matches(n, '\d')::int title_has_digit, nw title_has_new, au title_has_auth, li title_has_limited, bu title_has_bundle, de title_has_defect, pr title_has_price, (nw + au + li)::int title_positive, (bu + de + pr)::int title_caution from f""")
 def title_features(spark, sf_dir):
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("t")).unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000000).alias("k"), F.col("html").alias("t")))
-    return t.select("k", *[c.alias(n) for n, c in text.title_features(F.col("t")).items() if n != "title_norm"])
+    return text.with_title_features(t, "t").drop("t", "title_norm")
 
 
 @query(rf"""with t as (select p_partkey, p_name t, p_brand b, p_size s, p_retailprice p, {_NORM.format(x="lower(trim(p_name))")} n from part), w as (select *, case when n = '' then [] else string_split(n, ' ') end ws from t)
