@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, Imputer, NGram, OneHotEncoder, PCA, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, Imputer, NGram, Normalizer, OneHotEncoder, PCA, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,15 @@ CLASSIFIERS = {
     "hist_gb": lambda: GBTClassifier(maxIter=30, maxDepth=4, stepSize=0.1, seed=SEED),
     "xgboost": lambda: GBTClassifier(maxIter=40, maxDepth=5, stepSize=0.08, subsamplingRate=0.9, seed=SEED),
     "naive_bayes": lambda: NaiveBayes(),
+    "lightgbm": lambda: GBTClassifier(maxIter=60, maxDepth=5, stepSize=0.05, subsamplingRate=0.9, featureSubsetStrategy="0.8", seed=SEED),
+    "catboost": lambda: GBTClassifier(maxIter=50, maxDepth=6, stepSize=0.06, seed=SEED),
+    "extra_trees_tuned": lambda: RandomForestClassifier(numTrees=FOREST, maxDepth=14, minInstancesPerNode=3, featureSubsetStrategy="sqrt", subsamplingRate=1.0, seed=SEED),
+    "hist_gb_tuned": lambda: GBTClassifier(maxIter=80, maxDepth=4, stepSize=0.05, minInstancesPerNode=20, validationTol=0.005, seed=SEED),
 }
+#: Models that learn with class weights, and those without texts. Fixed values.
+WEIGHTED = ("logistic", "sgd", "svm", "tree", "forest", "extra_trees", "extra_trees_tuned", "hist_gb_tuned")
+WITHOUT_TEXT = ("extra_trees", "extra_trees_tuned", "hist_gb", "hist_gb_tuned", "catboost")
+STACKED = ("forest", "xgboost", "lightgbm")
 
 
 def preparation(numbers: list[str], texts: list[str] = (), categories: list[str] = (), scale: bool = True, terms: int = TERMS, min_df: int = 2, components: int = 0) -> list:
@@ -52,8 +61,56 @@ def preparation(numbers: list[str], texts: list[str] = (), categories: list[str]
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
 
 
-def pipeline(name: str, label: str, **columns) -> Pipeline:
-    return Pipeline(stages=[*preparation(**columns), CLASSIFIERS[name]().setLabelCol(label).setFeaturesCol("features")])
+def pipeline(name: str, label: str, weight: str | None = None, **columns) -> Pipeline:
+    """The model's stages; weight: a column of row weights, e.g. balanced_weights, for the models that take class weights."""
+    if name in WITHOUT_TEXT:
+        columns["texts"] = ()
+    learner = CLASSIFIERS[name]().setLabelCol(label).setFeaturesCol("features")
+    return Pipeline(stages=[*preparation(**columns), learner.setWeightCol(weight) if weight and name in WEIGHTED else learner])
+
+
+def stacked_scores(train: DataFrame, df: DataFrame, label: str, key: str, base: tuple[str, ...] = STACKED, name: str = "score", **columns) -> DataFrame:
+    """df with the score of a logistic regression over the base models' scores.
+
+    The stacker learns from scores that each half of train gets from models of the other half (by a hash of the key), so none has seen its label.
+    """
+    half = lambda k: train.filter(F.pmod(F.xxhash64(key), F.lit(2)) == k)
+
+    def scored(fit_on: DataFrame, rows: DataFrame) -> DataFrame:
+        for b in base:
+            rows = with_scores(pipeline(b, label, **columns).fit(fit_on), rows, f"__{b}")
+        return rows
+
+    meta = stacker(scored(half(0), half(1)).unionByName(scored(half(1), half(0))), [f"__{b}" for b in base], label)
+    return with_scores(meta, scored(train, df), name).drop(*[f"__{b}" for b in base])
+
+
+def student(train: DataFrame, df: DataFrame, teacher: str, cutoff: float | None = None, name: str = "score", **columns) -> DataFrame:
+    """df with the score of a student of the teacher's scores: a linear regression held to 0 and 1, or with a cutoff a classifier of who passes it.
+
+    Rows of train without a teacher's score are left out.
+    """
+    known = train.filter(F.col(teacher).isNotNull() & ~F.isnan(teacher))
+    if cutoff is not None:
+        known = balanced_weights(known.withColumn("__passes", (F.col(teacher) >= cutoff).cast("double")), "__passes", "__w")
+        return with_scores(pipeline("logistic", "__passes", "__w", **columns).fit(known), df, name)
+    model = Pipeline(stages=[*preparation(**columns), LinearRegression(labelCol=teacher, featuresCol="features", predictionCol="__p", regParam=0.01)]).fit(known)
+    return model.transform(df).select(*df.columns, F.least(F.greatest("__p", F.lit(0.0)), F.lit(1.0)).alias(name))
+
+
+def text_vectors(df: DataFrame, text: str, name: str = "vector", terms: int = 1 << 14, min_df: int = 2):
+    """(df with the text's unit TF-IDF vector over one- and two-word terms that min_df rows have, the fitted stages)."""
+    model = Pipeline(stages=[*preparation([], [text], terms=terms, min_df=min_df)[:-1], Normalizer(p=2.0, inputCol=f"{text}__tfidf", outputCol=name)]).fit(df)
+    return model.transform(df).select(*df.columns, name), model
+
+
+def save(model, path: str) -> None:
+    """Spark's own writer: the stages and their data as files under path."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:

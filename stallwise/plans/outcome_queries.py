@@ -176,17 +176,34 @@ def blocked_clusters(spark, sf_dir):
     return cluster.blocked_clusters(e, "label", "vec_id", "embedding").select("block", "part", "item", "label", r(F.col("silhouette")).alias("silhouette"))
 
 
+@query()
+def variant_clusters(spark, sf_dir):
+    """Variants of each label's vectors with a made-up price; not expressible in SQL."""
+    e = table(spark, sf_dir, "embeddings").withColumn("price", (10 + F.col("vec_id") % 37).cast("double"))
+    out = cluster.variant_clusters(e, "label", "vec_id", "embedding", "price")
+    return out.select("product", "item", "variant", r(F.col("similarity")).alias("similarity"), r(F.col("silhouette")).alias("silhouette"))
+
+
+@query(f"""with {LISTING}, q as (select brand, state, count(*) n, round(avg((likes > 30)::int), 6) sold_rate, quantile_cont(price, 0.25) q25, quantile_cont(price, 0.5) med, quantile_cont(price, 0.75) q75 from listing group by all)
+select brand, state, any_value(n) n, any_value(sold_rate) sold_rate, round(any_value(q25), 6) q25, round(any_value(med), 6) med, round(any_value(q75), 6) q75, round(quantile_cont(abs(price - med), 0.5), 6) mad from listing join q using (brand, state) group by all""")
+def variant_summary(spark, sf_dir):
+    rows = listing(spark, sf_dir).withColumn("sold", F.col("likes") > 30).withColumn("sold", F.col("sold").cast("int"))
+    out = cluster.variant_summary(rows, ["brand", "state"], "price", "sold")
+    return out.select("brand", "state", "n", *[r(F.col(c)).alias(c) for c in ("sold_rate", "q25", "med", "q75", "mad")])
+
+
 def _model(name):
     def run(spark, sf_dir):
         rows = scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("n"), "s", "text", "search", F.col("y").cast("double").alias("label"))
-        train = rows.filter("doc_id % 5 > 0")
-        model = ml.pipeline(name, "label", numbers=["n", "s"], texts=["text"], categories=["search"]).fit(train)
-        return ml.with_scores(model, rows.filter("doc_id % 5 = 0")).select("doc_id", "score")
+        rows = rows.withColumn("fold", F.when(F.col("doc_id") % 5 > 0, "train").otherwise("test"))
+        train = ml.balanced_weights(rows.filter("fold = 'train'"), "label")
+        model = ml.pipeline(name, "label", "weight", numbers=["n", "s"], texts=["text"], categories=["search"]).fit(train)
+        return ml.with_scores(model, rows).select("doc_id", "fold", "score")
 
     run.__name__ = f"model_{name}"
     return run
 
 
-for _name in ("logistic", "svm", "tree"):
+for _name in ("logistic", "svm", "tree", "extra_trees_tuned", "hist_gb_tuned", "lightgbm"):
     query()(_model(_name))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import price
 from ..operators import ml, tracking
-from .adapters import query, r, scores, table
+from .adapters import SCORES, query, r, scores, table
 
 _RUNS = """runs as (select o_orderkey run_id, o_orderpriority family, o_orderdate created_at from orders), mets as (select l_orderkey run_id, l_shipmode_ search_name, l_returnflag approach, l_discount test_precision, case when l_linestatus = 'F' then 'trained' else 'skipped' end status, l_quantity >= 45 qualified, l_linenumber, l_suppkey, l_extendedprice from (select *, 's' || (l_suppkey % 4) l_shipmode_ from lineitem))"""
 
@@ -114,7 +114,16 @@ def wald_intervals(spark, sf_dir):
     return ml.wald(rows, ["s", "n"], "y")
 
 
-@query()
+@query(f"""with {SCORES}, r as (select doc_id, y, s, ln(1 + n_chars) n from scores), m as (select avg(s) filter (y = 0) s0, avg(s) filter (y = 1) s1, avg(n) filter (y = 0) n0, avg(n) filter (y = 1) n1 from r where doc_id % 5 > 0),
+d as (select doc_id, sqrt((s - s0) ** 2 + (n - n0) ** 2) a, sqrt((s - s1) ** 2 + (n - n1) ** 2) b from r, m) select doc_id, round(case when a + b > 0 then a / (a + b) else 0.5 end, 6)::double score from d""")
 def centroid_model(spark, sf_dir):
     rows = scores(spark, sf_dir).withColumn("n", F.log1p("n_chars"))
-    return ml.centroid_scores(rows.filter("doc_id % 5 > 0"), rows.filter("doc_id % 5 = 0"), ["s", "n"], "y").select("doc_id", r(F.col("score")).alias("score"))
+    return ml.centroid_scores(rows.filter("doc_id % 5 > 0"), rows, ["s", "n"], "y").select("doc_id", r(F.col("score")).alias("score"))
+
+
+@query()
+def student_scores(spark, sf_dir):
+    """A student of one model's scores, from the text's length and label; every row is scored."""
+    rows = scores(spark, sf_dir).select("doc_id", F.log1p("n_chars").alias("n"), F.col("y").cast("double").alias("y"), F.col("s").alias("teacher"), "search")
+    out = ml.student(rows, rows, "teacher", numbers=["n", "y"], categories=["search"])
+    return ml.student(rows, out, "teacher", 0.5, "passes", numbers=["n", "y"], categories=["search"]).select("doc_id", r(F.col("score")).alias("score"), r(F.col("passes")).alias("passes"))

@@ -19,8 +19,10 @@ def source(spark: SparkSession, path: str, schema: StructType, kind: str = "parq
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)
 
 
-def first_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str = "30 days") -> DataFrame:
-    """Each key's first row, once; keys are forgotten when the watermark has passed them by the horizon."""
+def first_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str | None = None) -> DataFrame:
+    """Each key's first row, once. Without a horizon keys are never forgotten, and the state grows with them; with one they are when the watermark has passed them by it."""
+    if horizon is None:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
 
 
@@ -31,6 +33,8 @@ def sold_by_hour(stream: DataFrame, ts: str, key: str, hit: Column, late: str =
 def outcome_fold(stream: DataFrame, key: str, at: str, status: str, grace: float = 0.25, horizons=HORIZONS) -> DataFrame:
     """key, hours, sold, evaluated_at: each horizon's first decision, as checks come in; a key's first row is its start.
 
+    A sale that is first seen beyond a horizon and its grace evaluates it as unknown (a row with a null); a later unsold check may still decide it.
+
     The state of a key is its start and the horizons decided; late checks inside a batch are taken in the order of time.
     """
 
@@ -47,9 +51,10 @@ def outcome_fold(stream: DataFrame, key: str, at: str, status: str, grace: float
                 verdict = True if is_sold and age <= h + grace else False if age >= h and not is_sold else None
                 if verdict is not None:
                     decided |= 1 << i
+                if verdict is not None or age >= h:
                     out.append((k[0], h, verdict, at_))
         state.update((start, decided))
-        yield pd.DataFrame(out, columns=["key", "hours", "sold", "evaluated_at"])
+        yield pd.DataFrame(out, columns=["key", "hours", "sold", "evaluated_at"]).astype({"sold": object})
 
     kind = stream.schema[key].dataType.simpleString()
     rows = stream.select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(status).alias("status"))
@@ -116,17 +121,25 @@ class IncrementalClusters:
         )
 
 
-def upserting(path: str, keys: list[str], ts: str):
-    """A foreachBatch function that keeps a Parquet table of the latest row of each key, in two alternating folders so that readers always find a whole one."""
+def upserting(path: str, keys: list[str], ts: str, buckets: int = 64):
+    """A foreachBatch function that keeps a Parquet table of the latest row of each key, in buckets of the keys' hash (column __bucket).
+
+    A batch reads and rewrites only the buckets that it has keys of; each is replaced as a whole when the batch commits. A batch that
+    runs again gives the same table.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         from ..operators.identity import latest
-        from ..sources.tables import exists
-
-        spark = batch.sparkSession
-        old, new = f"{path}/{(number + 1) % 2}", f"{path}/{number % 2}"
-        rows = spark.read.parquet(old).unionByName(batch, allowMissingColumns=True) if exists(spark, f"{old}/_SUCCESS") else batch
-        latest(rows, keys, ts).write.mode("overwrite").parquet(new)
+        from ..sources.tables import exists, write_table
+
+        spark, fresh = batch.sparkSession, batch.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in fresh.select("__bucket").distinct().collect()]  # buckets at most
+        if not touched:
+            return
+        rows = fresh
+        if exists(spark, f"{path}/__bucket=*"):
+            rows = spark.read.parquet(path).filter(F.col("__bucket").isin(touched)).unionByName(fresh, allowMissingColumns=True)
+        write_table(latest(rows, keys, ts).repartition("__bucket"), path, "__bucket")
 
     return run
 

@@ -17,12 +17,13 @@ def drained(spark, stream, name, mode="append"):
 def test_outcome_fold_matches_batch(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(k, t0 + dt.timedelta(hours=h), s) for k in (1, 2) for h, s in ((0, "active"), (1.1 * k, "active"), (3.0, "sold"))]
+    rows += [(3, t0, "active"), (3, t0 + dt.timedelta(hours=1.5), "sold")]  # too late for the first horizon, in time for the others
     df = spark.createDataFrame(rows, "k int, at timestamp, status string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = streams.source(spark, str(tmp_path / "in"), df.schema)
     got = {(r["key"], r["hours"]): r["sold"] for r in drained(spark, streams.outcome_fold(stream, "k", "at", "status", horizons=(1, 2, 12)), "fold")}
     batch = outcomes.fold(df.withColumn("first", F.lit(t0)), "k", "first", "at", F.col("status") == "sold", (1, 2, 12))
-    assert got == {(r["k"], r["hours"]): r["sold"] for r in batch.filter("sold is not null").collect()}
+    assert got == {(r["k"], r["hours"]): r["sold"] for r in batch.filter("evaluated_at is not null").collect()} and got[3, 1] is None
 
 
 def test_first_seen_and_upsert(spark, tmp_path):
@@ -33,7 +34,7 @@ def test_first_seen_and_upsert(spark, tmp_path):
     assert sorted(r["k"] for r in drained(spark, streams.first_seen(stream, ["k"], "ts"), "seen")) == ["a", "b"]
     q = streams.source(spark, str(tmp_path / "in"), df.schema).writeStream.foreachBatch(streams.upserting(str(tmp_path / "state"), ["k"], "ts")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
-    assert {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / "state" / "0")).collect()} == {"a": 2, "b": 3}
+    assert {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / "state")).collect()} == {"a": 2, "b": 3}
 
 
 def test_incremental_clusters(spark, tmp_path):
@@ -43,3 +44,17 @@ def test_incremental_clusters(spark, tmp_path):
     stream = streams.source(spark, str(tmp_path / "in"), df.schema)
     got = {r["item"]: (r["product"], r["n"]) for r in drained(spark, streams.IncrementalClusters().apply(stream, "block", "item", "v", "price"), "inc")}
     assert got == {1: (0, 1), 2: (0, 2), 3: (1, 1), 4: (0, 3)}
+
+
+def test_upserting_rewrites_only_its_buckets(spark, tmp_path):
+    t0, path = dt.datetime(2024, 1, 1), str(tmp_path / "table")
+    run = streams.upserting(path, ["k"], "ts", 8)
+    make = lambda rows: spark.createDataFrame([(k, t0 + dt.timedelta(hours=h), v) for k, h, v in rows], "k string, ts timestamp, v int")
+    run(make([(f"k{i}", 0, i) for i in range(40)]), 0)
+    before = {f.name for f in tmp_path.glob("table/*/*.parquet")}
+    for _ in range(2):  # again, as after a failure
+        run(make([("k3", 1, 99), ("k4", -1, 98), ("new", 0, 1)]), 1)
+    after = {f.name for f in tmp_path.glob("table/*/*.parquet")}
+    got = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert got == {f"k{i}": i for i in range(40)} | {"k3": 99, "new": 1} and before & after
+    run(make([]), 2)
