@@ -210,8 +210,17 @@ def blocked_clusters(df: DataFrame, block: str, item: str, vector: str, threshol
 
 
 def numbered(df: DataFrame, *keys: str, name: str = "product_id") -> DataFrame:
-    """Ids from 0 of the distinct keys, in their order; the keys alone are ranked (one row each), and joined back."""
-    ids = df.select(*keys).distinct().withColumn(name, F.row_number().over(Window.orderBy(*keys)) - 1)
+    """Ids from 0 of the distinct keys, in their order; rows with a null key have none and are left out.
+
+    Distinct keys are counted by the first key; these counts give offsets in a window of one row for each first key, and only within a first
+    key are the others ranked. So the first key should be the coarse one, as a brand is.
+    """
+    first = keys[0]
+    ids = df.select(*keys).na.drop(subset=list(keys)).distinct()
+    counts = ids.groupBy(first).agg(F.count(F.lit(1)).alias("__c"))
+    below = F.coalesce(F.sum("__c").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(first).orderBy(*keys))
+    ids = ids.join(counts.select(first, below.alias("__o")), first).select(*keys, (F.col("__o") + inside - 1).cast("int").alias(name))
     return df.join(ids, list(keys))
 
 
