@@ -13,10 +13,10 @@ def time_ranked(df: DataFrame, ts: str, tie: str) -> DataFrame:
     """df with __r, the rank of each row in (time, tie), rows without a time last, and __n, the number of rows.
 
     Rank is exact without sorting all rows in one task: rows are counted by hour, the hours' offsets are summed in a small window, and only
-    within an hour are rows ranked.
+    within an hour are rows ranked. A column of another type than time is counted by its values.
     """
-    hour = F.date_trunc("hour", ts)
-    rows = df.withColumn("__h", hour)
+    timed = df.schema[ts].dataType.simpleString() in ("timestamp", "timestamp_ntz", "date")
+    rows = df.withColumn("__h", F.date_trunc("hour", ts) if timed else F.col(ts))
     counts = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
     offsets = counts.select("__h", (F.sum("__c").over(Window.orderBy(F.asc_nulls_last("__h")).rowsBetween(Window.unboundedPreceding, -1))).alias("__o"), F.sum("__c").over(Window.partitionBy(F.lit(1))).alias("__n"))
     ranked = rows.join(offsets.withColumn("__h2", F.col("__h")).drop("__h"), F.col("__h").eqNullSafe(F.col("__h2")))
