@@ -166,7 +166,16 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.groupBy("r_id", "r_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("first.id").alias("keeper")))).alias("gone"))
 
 
+#: Rows whose spans are Python objects at one time: a copied document has dozens of them.
+CUT_ROWS = 256
+
+
 def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
+    parts = [_cut_rows(text.slice(a, CUT_ROWS), gone.slice(a, CUT_ROWS)) for a in range(0, max(len(text), 1), CUT_ROWS)]
+    return pa.concat_arrays(parts)
+
+
+def _cut_rows(text: pa.Array, gone: pa.Array) -> pa.Array:
     texts, removed = [], []
     for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True):
         if g is None or t is None:
