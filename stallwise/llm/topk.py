@@ -5,80 +5,57 @@ are walked in parallel, downwards where the query's component is positive and up
 depth at a time. A row that is met for the first time is scored exactly. The walk ends when the bound, the score of a
 row that would stand at the current depth in every list, is below the k-th best score so far (an equal bound could
 still hide a tie with a smaller id), or when every row has been met. The k-th best score carries over from block to
-block of a task, so later blocks stop earlier. Each task passes on k rows a query, which a window ranks.
+block of a cell, so later blocks stop earlier. Each cell passes on k rows a query, which a window ranks.
 
-Queries are a stated set. They are broadcast in groups of ``group_bytes`` at most, each scanned against all candidates,
-so memory stays bounded whatever their number.
+Queries are a stated set, dealt with the candidates over the cells of a grid (``grid.meet``): nothing goes through the driver.
 
 Defined results: components are floor(256 * x) of x as double; vectors that are null, empty or hold null or non-finite
 components take no part, neither as queries nor as candidates; only vectors of equal length are compared; rows with the query's own id aren't
 candidates; a repeated candidate id counts once for each distinct score, a repeated query once for each distinct vector;
-null ids take no part. Scores are exact integers: float64 products while they stay below 2^53, Python integers beyond,
-held to the range of a long.
+null ids take no part. Scores are exact integers, held to the range of a long, also where 256 * x exceeds a double.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import grid
 from .shared import table
 
-SCALE = 256
-#: Rows of a block; its sorted lists take 4 bytes a row and dimension.
+#: Rows of a block; its sorted lists take 12 bytes a row and dimension.
 BLOCK_ROWS = 8192
-#: Bytes of query components that are broadcast at once.
-GROUP_BYTES = 8 << 20
 FIRST_DEPTH = 8
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and the components floor(256 * x) as doubles, of the vectors that take part."""
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite
-    whole = F.transform("embedding", lambda v: _floored(v))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding")).filter(good).select("vec_id", whole.alias("x"))
-
-
-def _floored(v):
-    """floor(256 * v) as a double; values of 2^52 and more are whole already."""
-    scaled = v.cast("double") * SCALE
-    return F.when(F.abs(scaled) < float(1 << 52), F.floor(scaled).cast("double")).otherwise(scaled)
-
-
 class Block:
-    """Candidates of one length with their sorted lists."""
+    """Candidates of one length with their sorted lists; v holds the raw components."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable").astype(np.int32)  # column d: rows by rising x[:, d]
-        self.lists = np.take_along_axis(x, self.order, axis=0)
-        self.top = float(np.abs(x).max(initial=0))
+    def __init__(self, ids: np.ndarray, v: np.ndarray):
+        self.ids, self.v, self.x = ids, v, grid.scaled(v)
+        self.order = np.argsort(self.x, axis=0, kind="stable").astype(np.int32)  # column d: rows by rising x[:, d]
+        self.lists = np.take_along_axis(self.x, self.order, axis=0)
+        self.tops = np.abs(self.x).max(axis=1, initial=0)
+        self.top = float(self.tops.max(initial=0))
 
     def scores(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        if self.exact(q):
-            return (self.x[rows] @ q).astype(np.int64)
-        exact = [sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in self.x[rows]]
-        return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact], np.int64).reshape(-1)
+        return grid.scores(self.v[rows], self.x[rows], self.tops[rows], q, grid.scaled(q))
 
-    def exact(self, q: np.ndarray) -> bool:
-        """Whether every sum of products is a whole number that float64 holds."""
-        return self.top * float(np.abs(q).max(initial=0)) * len(q) < 2.0**53
-
-    def bound(self, q: np.ndarray, at: np.ndarray) -> float:
+    def bound(self, qx: np.ndarray, at: np.ndarray) -> float:
         """What no row that stands beyond these list values can exceed: exact where scores are, else raised by more than float64 can err."""
-        bound = float(q @ at)
-        return bound if self.exact(q) else bound + float(np.abs(q) @ np.abs(at)) * len(q) * 2.0**-50 + 1
+        with np.errstate(all="ignore"):
+            if self.top * float(np.abs(qx).max(initial=0)) * len(qx) < 2.0**53:
+                return float(qx @ at)
+            bound = float(qx @ at) + float(np.abs(qx) @ np.abs(at)) * len(qx) * 2.0**-50 + 1
+        return bound if np.isfinite(bound) else float("inf")
 
     def search(self, own: int, q: np.ndarray, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """best: (-score, id) pairs in order, k at most, from earlier blocks; returns them with this block's."""
+        """q: raw components. best: (-score, id) pairs in order, k at most, from earlier blocks; returns them with this block's."""
         n, seen, depth, reached = len(self.ids), np.zeros(len(self.ids), bool), FIRST_DEPTH, 0
-        up, down = np.flatnonzero(q < 0), np.flatnonzero(q >= 0)
+        qx = grid.scaled(q)
+        up, down = np.flatnonzero(qx < 0), np.flatnonzero(qx >= 0)
         while reached < n:
             depth = min(depth, n)
             met = np.zeros(n, bool)
@@ -103,68 +80,38 @@ class Block:
                 best = best[:k]
             reached, depth = depth, depth * 2
             if reached < n and len(best) >= k:
-                if self.bound(q, np.where(q < 0, self.lists[reached - 1], self.lists[n - reached])) < -best[k - 1][0]:
+                if self.bound(qx, np.where(qx < 0, self.lists[reached - 1], self.lists[n - reached])) < -best[k - 1][0]:
                     break
             if seen.all():
                 break
         return best
 
 
-def _searcher(queries, k: int):
-    """queries: broadcast (ids, list of vectors)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = queries.value
-        best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def search(dim: int) -> None:
-            parts = held.pop(dim)
-            block = Block(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            for j, q in enumerate(vectors):
-                if len(q) == dim:
-                    best[j] = block.search(ids[j], q, k, best[j])
-
-        for batch in batches:
-            lists = batch.column(1)
-            at = np.asarray(lists.offsets)
-            values = np.asarray(lists.values)
-            sizes = np.diff(at)
-            own = np.asarray(batch.column(0))
-            for dim in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dim)
-                x = values[(at[:-1][rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
-                held.setdefault(int(dim), []).append((own[rows], x))
-                if sum(len(p[0]) for p in held[int(dim)]) >= BLOCK_ROWS:
-                    search(int(dim))
-        for dim in list(held):
-            search(dim)
-        rows = [(ids[j], j, b, -s) for j, found in enumerate(best) for s, b in found]
-        for a in range(0, len(rows), 65536):
-            cut = rows[a : a + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in cut], pa.int64()) for c in range(4)], ["query_id", "query_no", "vec_id", "score"])
-
-    return run
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 5, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """The k best candidates of every query: query_id, rank from 1, vec_id, score; ties go to the smaller vec_id.
-
-    is_query is a condition on vec_id. Each group of queries is collected to the driver and broadcast, group_bytes at most.
-    """
-    spark, all_rows = vectors.sparkSession, quantised(vectors)
-    queries = all_rows.filter(is_query).dropDuplicates(["vec_id", "x"])
-    n_bytes = queries.agg(F.sum(F.size("x") * 8)).first()[0] or 0
-    groups = max(1, math.ceil(n_bytes / group_bytes))
-    found = None
-    for g in range(groups):
-        part = queries if groups == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g)
-        rows = part.orderBy("vec_id", "x").collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [np.array(r[1], np.float64) for r in rows]))
-        here = all_rows.mapInArrow(_searcher(sent, k), "query_id long, query_no long, vec_id long, score long")
-        here = here.withColumn("group_no", F.lit(g))
-        found = here if found is None else found.unionByName(here)
-    order = Window.partitionBy("query_id", "group_no", "query_no").orderBy(F.desc("score"), "vec_id")
+def _cell(k: int):
+    """The k best rows of a cell for each of its queries."""
+
+    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, int, int]] = []
+        candidates = {m.shape[1]: (ids, m) for _, ids, m in grid.by_length(rows["vec_id"], rows["v"])}
+        for at, ids, q in grid.by_length(queries["query_id"], queries["v"]):
+            best: list[list[tuple[int, int]]] = [[] for _ in ids]
+            own, m = candidates.get(q.shape[1], (np.zeros(0, np.int64), q[:0]))
+            for a in range(0, len(own), BLOCK_ROWS):
+                block = Block(own[a : a + BLOCK_ROWS], m[a : a + BLOCK_ROWS])
+                best = [block.search(int(i), x, k, b) for i, x, b in zip(ids, q, best, strict=True)]
+            keys = queries["query_key"].to_numpy()[at]
+            found += [(int(i), int(key), b, -s) for i, key, pairs in zip(ids, keys, best, strict=True) for s, b in pairs]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 4)], ["query_id", "query_key", "vec_id", "score"])
+
+    return search
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 5, block_bytes: int = grid.BLOCK_BYTES) -> DataFrame:
+    """The k best candidates of every query: query_id, rank from 1, vec_id, score; ties go to the smaller vec_id. is_query is a condition on vec_id."""
+    rows = grid.taking_part(vectors).distinct()
+    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query_key"), "v").dropDuplicates(["query_id", "query_key"])
+    found = grid.meet(queries, rows, _cell(k), "query_id long, query_key long, vec_id long, score long", block_bytes)
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     best = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
