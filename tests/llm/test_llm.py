@@ -256,13 +256,13 @@ def test_toxicity_without_labels(spark):
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 20, 64])
-def test_topk(spark, group_bytes):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 4096])
+def test_topk(spark, block_bytes):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 7]) for i in range(300)]
     rows += [(400, None), (401, []), (402, [float("nan")] * 6), (403, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6), (404, [float("inf")] + [0.0] * 5), (450, [0.5, 0.25]), (451, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit(1))
-    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, group_bytes).orderBy("query_id", "rank").collect()]
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, block_bytes).orderBy("query_id", "rank").collect()]
     good = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     want = []
     for q in sorted(i for i in good if i % 50 == 0):
@@ -289,8 +289,8 @@ def test_topk_ties_at_any_size(spark, scale):
 def test_topk_bound_is_no_lower_than_any_score():
     rng = np.random.default_rng(4)
     for size in (1e2, 1e7, 1e12):
-        x = np.floor(rng.normal(0, size, (64, 8)))
-        block = topk.Block(np.arange(64), x)
+        block = topk.Block(np.arange(64), rng.normal(0, size, (64, 8)))
+        x = block.x
         for q in np.floor(rng.normal(0, size, (20, 8))):
             at = np.where(q < 0, x.min(axis=0), x.max(axis=0))
             assert block.bound(q, at) >= sum(int(a) * int(b) for a, b in zip(q, at, strict=True))
@@ -303,7 +303,7 @@ def test_topk_stops_early():
     seen = []
     scores = block.scores
     block.scores = lambda q, rows: seen.append(len(rows)) or scores(q, rows)
-    assert block.search(-1, np.array([1.0, 0.0]), 3, []) == [(-999, 999), (-998, 998), (-997, 997)] and sum(seen) < 100
+    assert block.search(-1, np.array([1.0, 0.0]), 3, []) == [(-999 << 16, 999), (-998 << 16, 998), (-997 << 16, 997)] and sum(seen) < 100
 
 
 def test_topk_repeated_candidates(spark):
