@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import clamp, number
 from ..functions.text import category, found_in
+from .ordered import quantiles
 
 #: Weights, words and limits of the decision. Fixed values.
 WEIGHTS = {"resale": 0.34, "profit": 0.18, "margin": 0.14, "seller": 0.14, "demand": 0.08, "fresh": 0.06, "condition": 0.06, "visual": 0.0}
@@ -151,7 +152,8 @@ def rule_score(df: DataFrame, price: str, likes: str, page: str) -> DataFrame:
 
     The quantiles are one row, joined by broadcast.
     """
-    q = df.agg(F.percentile(price, F.array(F.lit(0.1), F.lit(0.5))).alias("__p"), F.percentile(likes, 0.9).alias("__l"))
+    prices, demands = quantiles(df, [], F.col(price), [0.1, 0.5], "__p"), quantiles(df, [], F.col(likes), [0.9], "__q")
+    q = prices.join(F.broadcast(demands), F.lit(True)).select("__p", F.col("__q")[0].alias("__l"))
     low, mid = F.col("__p")[0], F.col("__p")[1]
     cheap = clamp(1.0 - F.try_divide(F.col(price) - low, F.greatest(mid - low, F.lit(1e-9))), 0.0, 1.0)
     demand = clamp(F.col(likes) / F.greatest(F.col("__l"), F.lit(1.0)), 0.0, 1.0)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import quantiles, ranked
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -212,21 +214,15 @@ def blocked_clusters(df: DataFrame, block: str, item: str, vector: str, threshol
 def numbered(df: DataFrame, *keys: str, name: str = "product_id") -> DataFrame:
     """Ids from 0 of the distinct keys, in their order; rows with a null key have none and are left out.
 
-    Distinct keys are counted by the first key; these counts give offsets in a window of one row for each first key, and only within a first
-    key are the others ranked. So the first key should be the coarse one, as a brand is.
+    The distinct keys are ranked by pieces of their order, so neither a hot first key nor many first keys meet in one task.
     """
-    first = keys[0]
-    ids = df.select(*keys).na.drop(subset=list(keys)).distinct()
-    counts = ids.groupBy(first).agg(F.count(F.lit(1)).alias("__c"))
-    below = F.coalesce(F.sum("__c").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy(first).orderBy(*keys))
-    ids = ids.join(counts.select(first, below.alias("__o")), first).select(*keys, (F.col("__o") + inside - 1).cast("int").alias(name))
-    return df.join(ids, list(keys))
+    ids = ranked(df.select(*keys).na.drop(subset=list(keys)).distinct(), [], list(keys))
+    return df.join(ids.select(*keys, (F.col("__r") - 1).cast("int").alias(name)), list(keys))
 
 
 def outlier_scores(df: DataFrame, vector: str) -> DataFrame:
     """Adds outlier: distance to the component-wise median vector, scaled from least to greatest; 0 if all are equal."""
-    medians = df.select(F.posexplode(vector).alias("p", "v")).groupBy("p").agg(F.percentile(F.col("v").cast("double"), 0.5).alias("m"))
+    medians = quantiles(df.select(F.posexplode(vector).alias("p", "v")), ["p"], F.col("v"), [0.5]).select("p", F.col("q")[0].alias("m"))
     center = medians.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("__c"))
     far = F.sqrt(F.aggregate(F.zip_with(vector, "__c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     rows = df.join(F.broadcast(center), F.lit(True)).withColumn("__d", far)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
+
 
 def average_rank(x: Column, *partition) -> Column:
     """Rank from 1 with ties averaged, over all rows of a partition; nulls rank last among themselves."""
@@ -150,9 +152,9 @@ def agreement(votes: DataFrame, g: list[str], item: str, model: str, vote: str)
 def quantile_bins(df: DataFrame, x: str, bins: int, name: str = "bin") -> DataFrame:
     """Adds the number (from 0) of the quantile bin of x; equal edges are merged, bins are closed on the right, the first on both sides.
 
-    The edges are a one-row aggregate, joined by broadcast.
+    The edges are exact quantiles in one row, joined by broadcast.
     """
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("__e"))
+    edges = quantiles(df, [], F.col(x), [k / bins for k in range(bins + 1)]).select(F.array_distinct("q").alias("__e"))
     below = F.size(F.filter("__e", lambda e: e < F.col(x)))
     return df.join(F.broadcast(edges), F.lit(True)).withColumn(name, F.when(F.col(x).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("__e")
 

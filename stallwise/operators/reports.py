@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.coerce import number, truth
+from .ordered import quantiles
 
 
 def collector_summary(df: DataFrame, search: str, cohort: str, sold_at: str, status: str, cohorts: tuple[str, ...] = ("high_score_candidate", "low_score_control")) -> DataFrame:
@@ -29,8 +30,9 @@ def label_summary(df: DataFrame, label: str, score: str) -> DataFrame:
     """count, mean, median, std, min and max of a score by label, with its name; a null label is kept."""
     s = F.col(score)
     name = F.when(F.col(label) == 1, "sold").when(F.col(label) == 0, "unsold")
-    out = df.groupBy(label).agg(F.count(s).alias("count"), F.avg(s).alias("mean"), F.percentile(s, 0.5).alias("median"), F.stddev_samp(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"))
-    return out.select(label, name.alias("label_name"), "count", "mean", "median", "std", "min", "max")
+    medians = quantiles(df, [label], s, [0.5]).select(F.col(label).alias("__label"), F.col("q")[0].alias("median"))
+    out = df.groupBy(label).agg(F.count(s).alias("count"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"))
+    return out.join(medians, F.col(label).eqNullSafe(F.col("__label"))).select(label, name.alias("label_name"), "count", "mean", "median", "std", "min", "max")
 
 
 def upload_distribution(df: DataFrame, search: str, phrase: str, label: str, price: str, likes: str) -> DataFrame:

@@ -5,23 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 #: Shares of training and validation; the rest is test. Fixed values.
 TRAIN, VALIDATION = 0.6, 0.2
 
 
 def time_ranked(df: DataFrame, ts: str, tie: str) -> DataFrame:
-    """df with __r, the rank of each row in (time, tie), rows without a time last, and __n, the number of rows.
-
-    Rank is exact without sorting all rows in one task: rows are counted by hour, the hours' offsets are summed in a small window, and only
-    within an hour are rows ranked. A column of another type than time is counted by its values.
-    """
-    timed = df.schema[ts].dataType.simpleString() in ("timestamp", "timestamp_ntz", "date")
-    rows = df.withColumn("__h", F.date_trunc("hour", ts) if timed else F.col(ts))
-    counts = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
-    offsets = counts.select("__h", (F.sum("__c").over(Window.orderBy(F.asc_nulls_last("__h")).rowsBetween(Window.unboundedPreceding, -1))).alias("__o"), F.sum("__c").over(Window.partitionBy(F.lit(1))).alias("__n"))
-    ranked = rows.join(offsets.withColumn("__h2", F.col("__h")).drop("__h"), F.col("__h").eqNullSafe(F.col("__h2")))
-    r = F.coalesce("__o", F.lit(0)) + F.row_number().over(Window.partitionBy("__h").orderBy(ts, tie))
-    return ranked.withColumn("__r", r).select(*df.columns, "__r", "__n")
+    """df with __r, the rank of each row in (ts, tie), rows without a time last, and __n, the number of rows; ranked by pieces of that order, of any type."""
+    return ranked(df, [], [ts, tie])
 
 
 def by_time(df: DataFrame, ts: str, tie: str, train: float = TRAIN, validation: float = VALIDATION) -> DataFrame:
@@ -64,7 +56,7 @@ def stratified(df: DataFrame, strata: list[str], key: str, seed: int = 42, train
 
 def folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
     """Adds fold: round robin inside each class, in the order of the key."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % k)
+    return ranked(df, [label], [key]).select(*df.columns, ((F.col("__r") - 1) % k).alias("fold"))
 
 
 def capped(df: DataFrame, strata: list[str], key: str, most: int, least: int = 1, seed: int = 42) -> DataFrame:

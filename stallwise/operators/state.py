@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import blank_to_null
+from .ordered import ranked
 from .splits import hash_ranked, time_ranked
 
 
@@ -115,8 +116,7 @@ def fresh(df: DataFrame, now: Column, days: int, *ts: str, keep_missing: bool =
 
 def at_cursor(df: DataFrame, cursor: int, order: str) -> DataFrame:
     """The row at cursor modulo the number of rows, in order."""
-    n = df.count()
-    return df.orderBy(order).offset(cursor % n).limit(1) if n else df.limit(0)
+    return ranked(df, [], [order]).filter(F.col("__r") == F.pmod(F.lit(cursor), F.col("__n")) + 1).drop("__r", "__n")
 
 
 def image_accounting(df: DataFrame, search: str, count: str, url: str) -> DataFrame:

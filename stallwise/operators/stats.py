@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import average_rank
+from .ordered import quantiles
 
 
 def normal_tail(z: float) -> float:
@@ -117,9 +118,13 @@ def false_discovery(df: DataFrame, p: str, tie: str, name: str = "q") -> DataFra
 def mean_difference(df: DataFrame, g: list[str], x: str, y: str) -> DataFrame:
     """Means by label, the standardised mean difference, and the pooled median distance from the median."""
     c = F.col
-    stats = df.groupBy(*g).agg(*[f(F.when(c(y) == k, c(x))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("var", F.var_samp))], *[F.percentile(F.when(c(y) == k, c(x).cast("double")), 0.5).alias(f"med{k}") for k in (0, 1)])
-    away = (df.join(stats.select(*g, "med0", "med1"), g) if g else df.join(F.broadcast(stats.select("med0", "med1")), F.lit(True))).groupBy(*g).agg(*[F.percentile(F.when(c(y) == k, F.abs(c(x) - c(f"med{k}"))), 0.5).alias(f"mad{k}") for k in (0, 1)])
-    out = stats.join(away, g) if g else stats.join(F.broadcast(away), F.lit(True))
+    rows = df.filter(c(y).isin(0, 1))
+    medians = quantiles(rows, [*g, y], c(x), [0.5], "__med").select(*[c(k).alias(f"__g{i}") for i, k in enumerate(g)], c(y).alias("__y"), c("__med")[0].alias("__med"))
+    away = rows.join(medians, [(c(y) == c("__y")), *[c(k) == c(f"__g{i}") for i, k in enumerate(g)]])
+    mads = quantiles(away, [*g, y], F.abs(c(x) - c("__med")), [0.5], "__mad")
+    mads = mads.groupBy(*g).agg(*[F.max(F.when(c(y) == k, c("__mad")[0])).alias(f"mad{k}") for k in (0, 1)])
+    stats = df.groupBy(*g).agg(*[f(F.when(c(y) == k, c(x))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("var", F.var_samp))])
+    out = stats.na.drop(subset=g).join(mads, g, "left") if g else stats.join(F.broadcast(mads), F.lit(True))
     smd = F.try_divide(c("mean1") - c("mean0"), F.sqrt((c("var0") + c("var1")) / 2))
     return out.select(*g, "mean0", "mean1", smd.alias("smd"), F.sqrt((c("mad0") * c("mad0") + c("mad1") * c("mad1")) / 2).alias("pooled_mad"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import by_score
+from .ordered import running
 
 
 def candidates(df: DataFrame, g: list[str], s: str, y: str, digits: int | None, extra: tuple[float, ...] = ()) -> DataFrame:
@@ -89,9 +90,8 @@ def choose_for_pass_rate(df: DataFrame, g: list[str], s: str, y: str, rate: floa
 def choose_live(df: DataFrame, g: list[str], s: str, y: str, tie: str, min_precision: float, min_count: int) -> DataFrame:
     """By rows, ties split in the order of tie: the deepest rank with enough rows and precision, else the first rank of best precision."""
     c = F.col
-    down = Window.partitionBy(*g).orderBy(F.desc(s), F.asc(tie)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.filter(c(s).isNotNull()).select(*g, c(s).alias("t"), F.count(F.lit(1)).over(down).alias("n"), F.sum(c(y).cast("long")).over(down).alias("pos"))
-    rows = rows.withColumn("precision", c("pos") / c("n"))
+    rows = running(df.filter(c(s).isNotNull()).select(*g, c(s).alias("t"), c(tie).alias("__tie"), c(y).cast("long").alias("__y")), g, [("t", False), "__tie"], {"n": F.lit(1).cast("long"), "pos": c("__y")})
+    rows = rows.drop("__tie", "__y").withColumn("precision", c("pos") / c("n"))
     ok = (c("n") >= min_count) & (c("precision") >= min_precision)
     best = _best(rows, g, ok, F.when(ok, c("n").cast("double")).otherwise(c("precision")), -c("n"))
     return best.select(*g, c("t").alias("threshold"), "precision", c("n").alias("selected"))
