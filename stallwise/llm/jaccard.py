@@ -16,7 +16,8 @@ of the set), told apart by nothing that follows, so copies never meet one anothe
 4. The rest is intersected exactly, as sorted arrays: first each class with its smallest partners, then the pairs that still stand
    between components. Links become components by repeated contraction to minimum neighbours.
 5. In tiles beyond ``SMALL``, pairs of classes that are in different components by now are tried as well: such a tile is cut into a
-   grid of cells, by size band (own and next) and by blocks of some ``BLOCK`` classes, so that a hot tile is spread over many tasks. A cell
+   grid of cells, by size band (own and next) and by blocks, so that a hot tile is spread over many tasks. Classes travel packed, some
+   ``BLOCK`` in a row, three times for each block of the tile, of which there are ``STRIPS`` until blocks hold ``WIDE`` classes. A cell
    gives a pair only if it is the first tile that its classes share, and only if places and bitmaps allow it. These pairs go
    through 3 and 4; classes in one component need no further proof. First one pair for each two components of a cell is tried, then
    all that are left between components. So no link is lost.
@@ -53,8 +54,10 @@ CHUNK, GROUPS = 1 << 16, 64
 #: Bits of a bitmap, at least and at most.
 BITS, MOST_BITS = 1 << 10, 1 << 20
 SMALL = 16
-#: Classes of a block of a large tile, on average.
-BLOCK = 1024
+#: Classes of a block of a large tile, on average; up to STRIPS blocks a tile, beyond which blocks grow to WIDE classes before they grow in number.
+BLOCK, STRIPS, WIDE = 1024, 8, 16384
+#: Bits of a bitmap in a cell at most: enough for four a shingle in texts of 2,000 words.
+CELL_BITS = 1 << 13
 #: Links between what remains of components that one task unites.
 LAST = 20_000
 #: Postings that one task sorts, on average.
@@ -401,33 +404,71 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps folded to BITS bits."""
+    """Bitmaps folded to CELL_BITS bits at most."""
     for batch in batches:
-        x = [folded(np.frombuffer(b, np.uint8)[None], BITS // 8).tobytes() for b in batch.column(1).to_pylist()]
+        x = [folded(np.frombuffer(b, np.uint8)[None], CELL_BITS // 8).tobytes() for b in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["node", "bits"])
 
 
+class Bitmaps:
+    """Bitmaps of several widths, each also folded to the smaller widths that occur."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.width = np.array([len(b) for b in blobs], np.int64)
+        self.rows, self.bits = np.zeros((0, 0), np.int64), {}
+        widths = np.unique(self.width)
+        self.rows = np.zeros((len(widths), len(blobs)), np.int64)
+        self.kind = np.searchsorted(widths, self.width)
+        for k, w in enumerate(widths):
+            wide = np.flatnonzero(self.width >= w)
+            self.rows[k, wide] = np.arange(len(wide))
+            x = np.empty((len(wide), w), np.uint8)
+            for v in widths[k:]:
+                own = np.flatnonzero(self.width[wide] == v)
+                x[own] = folded(np.frombuffer(b"".join(blobs[r] for r in wide[own]), np.uint8).reshape(-1, v), w)
+            self.bits[k] = x.view(np.uint64)
+
+    def differing(self, i: int, j: np.ndarray) -> np.ndarray:
+        """In how many bits row i differs from each of the rows j, at the smaller of two widths."""
+        out, kind = np.empty(len(j), np.int64), np.minimum(self.kind[i], self.kind[j])
+        for k in np.unique(kind):
+            at = np.flatnonzero(kind == k)
+            x = self.bits[k]
+            out[at] = np.bitwise_count(x[self.rows[k, i]] ^ x[self.rows[k, j[at]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _cells(once: bool):
-    """The pairs of one cell of a large tile: classes of side 0 with classes of side 1, in the same band or the next.
+    """The pairs of one cell of a large tile: classes of side 0 with classes of side 1, in the same band or the next. A row holds a block's classes, or a part of them.
 
     once: of all pairs between the same two components, only the one whose bitmaps allow the most.
     """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        shingle = key[0].as_py()
-        side, band_, node, n, place, label = (rows.column(k).to_numpy() for k in ("side", "band", "node", "n", "place", "label"))
-        n = n.astype(np.int64)
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        earlier = [{x for x in own if x < shingle} for own in rows.column("own").to_pylist()]
+        shingle, packed = key[0].as_py(), rows.column("classes").combine_chunks()
+        each, per = packed.flatten(), packed.value_lengths().to_numpy()
+        side, band_ = (np.repeat(rows.column(k).to_numpy(), per) for k in ("side", "band"))
+        node, n, place, label = (each.field(k).to_numpy() for k in ("node", "n", "place", "label"))
+        n, own, earlier = n.astype(np.int64), each.field("own"), {}
         left, right, found = np.flatnonzero(side == 0), np.flatnonzero(side == 1), {}
-        for i in left if len(right) else ():
+        bits = Bitmaps(each.field("bits").to_pylist()) if len(left) and len(right) else None
+
+        def before(i: int) -> set[int]:
+            """The class's open tiles that come before this one."""
+            if i not in earlier:
+                earlier[i] = {x for x in own[i].as_py() if x < shingle}
+            return earlier[i]
+
+        for i in left.tolist() if len(right) else ():
             j = right[(label[right] != label[i]) & ((band_[right] > band_[i]) | (node[right] > node[i]))]
             j = j[(DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & places_allow(n[i] - place[i], n[i], n[j]) & places_allow(n[j] - place[j], n[j], n[i])]
-            most = (n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)) // 2
+            if not len(j):
+                continue
+            most = (n[i] + n[j] - bits.differing(i, j)) // 2
             fit = linked(most, n[i], n[j])
             for k, m in zip(j[fit].tolist(), most[fit].tolist(), strict=True):
                 at = (min(label[i], label[k]), max(label[i], label[k])) if once else (i, k)
-                if (at not in found or found[at] < (m, i, k)) and earlier[i].isdisjoint(earlier[k]):
+                if (at not in found or found[at] < (m, i, k)) and before(i).isdisjoint(before(k)):
                     found[at] = (m, i, k)
         i, j = np.array([(i, k) for _, i, k in found.values()], np.int64).reshape(-1, 2).T
         i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
@@ -506,7 +547,10 @@ class Join:
         ws = self.ws
         named = ws.write(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
         members = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
-        rest = ws.write(named.drop("label").join(members.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "shingle"), "open")
+        m = F.col("members")
+        blocks = F.when(m <= STRIPS * BLOCK, F.ceil(m / BLOCK)).otherwise(F.greatest(F.lit(STRIPS), F.ceil(m / WIDE))).cast("int")
+        members = members.select("shingle", blocks.alias("blocks"), m).select("shingle", "blocks", F.ceil(m / F.col("blocks") / BLOCK).cast("int").alias("parts"))
+        rest = ws.write(named.drop("label").join(members, "shingle"), "open")
         bits = self.bits(rest.select("node"), rest.count()).dropDuplicates(["node"]).mapInArrow(_narrow, "node long, bits binary")
         own = rest.groupBy("node").agg(F.collect_set("shingle").alias("own"))  # a part of the class's prefix at most
         return ws.write(rest.join(bits.join(own, "node"), "node"), "tiles2")
@@ -515,10 +559,13 @@ class Join:
         """Pairs (a, b, lead, na, nb; written) of different components from large_tiles; once: see _cells."""
         wide = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         wide = wide.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int"))
-        mine, all_blocks = F.pmod("node", "blocks").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-        cell = lambda lower, side: F.transform(all_blocks, lambda x: F.struct((F.col("band") - lower).alias("cell"), (x if side else mine).alias("i"), (mine if side else x).alias("j"), F.lit(side).alias("side")))
-        wide = wide.select("shingle", "band", "node", "n", "place", "label", "own", "bits", F.inline(F.concat(cell(0, 0), cell(0, 1), cell(1, 1))))
-        return self.ws.write(wide.groupBy("shingle", "cell", "i", "j").applyInArrow(_cells(once), "a long, b long, lead long, na int, nb int"), f"more{name}")
+        wide = wide.withColumn("block", F.pmod("node", "blocks").cast("int")).withColumn("part", F.pmod(F.shiftright("node", 32), F.col("parts")))
+        classes = F.collect_list(F.struct("node", "n", "place", "label", "own", "bits")).alias("classes")  # some BLOCK classes
+        packed = wide.groupBy("shingle", "blocks", "band", "block", "part").agg(classes)
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        cell = lambda lower, side: F.transform(every, lambda x: F.struct((F.col("band") - lower).alias("cell"), (x if side else F.col("block")).alias("i"), (F.col("block") if side else x).alias("j"), F.lit(side).alias("side")))
+        rows = packed.select("shingle", "band", "classes", F.inline(F.concat(cell(0, 0), cell(0, 1), cell(1, 1))))
+        return self.ws.write(rows.groupBy("shingle", "cell", "i", "j").applyInArrow(_cells(once), "a long, b long, lead long, na int, nb int"), f"more{name}")
 
     def merged(self, rest: DataFrame, labels: DataFrame, name: str) -> DataFrame:
         """The labels after the links among written pairs (a, b, la, lb)."""

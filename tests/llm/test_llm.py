@@ -140,6 +140,48 @@ def test_jaccard_components_of_a_loose_group(spark):
     assert len({w[2] for w in wanted}) > 20 and got == wanted
 
 
+def test_cells_of_a_loose_group_grow_in_proportion(spark, tmp_path):
+    """Texts of one template that are similar at some 0.69 and never link: four times the texts make four times the packed classes at most."""
+    made = []
+    for n in (1500, 6000):
+        common = [f"c{k}" for k in range(84)]
+        rows = [(i, " ".join([*common, *(f"o{i}_{k}" for k in range(16))])) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        join = jaccard.Join(docs, shared.Workspace(spark, "loose"))
+        _, large = join.tiles()
+        own = large.select("node", F.col("node").alias("label")).distinct()
+        wide = join.large_tiles(large, own)
+        tiles = wide.select("shingle", "blocks").distinct().collect()
+        assert tiles and all(r["blocks"] <= jaccard.STRIPS for r in tiles)
+        made.append(wide.count() / len(tiles))
+        if n == 1500:
+            got = [tuple(r) for r in jaccard.jaccard_components(docs).collect()]
+            assert sorted(got) == [(i, 96, i) for i in range(n)]
+    assert made[1] <= 4.2 * made[0]
+
+
+@pytest.mark.parametrize(("block", "strips", "wide"), [(8, 2, 16), (8, 4, 64), (4, 8, 8)])
+def test_jaccard_components_by_blocks(spark, monkeypatch, block, strips, wide):
+    """Tiles cut into many blocks and parts give the same links."""
+    for k, v in (("BLOCK", block), ("STRIPS", strips), ("WIDE", wide)):
+        monkeypatch.setattr(jaccard, k, v)
+    docs = edited_copies(spark, 150, 13)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()), key=str)
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_bitmaps_of_several_widths():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (10, 200, 300, 700, 1500, 260, 90)]
+    blobs = [jaccard.bitmap(x).tobytes() for x in sets]
+    bits = jaccard.Bitmaps(blobs)
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            w = min(len(blobs[i]), len(blobs[j]))
+            a, b = (jaccard.folded(np.frombuffer(blobs[k], np.uint8)[None], w) for k in (i, j))
+            assert bits.differing(i, np.array([j]))[0] == np.bitwise_count(a ^ b).sum()
+
+
 def test_components_round_by_round(spark, tmp_path, monkeypatch):
     """Chains, stars and random links, all by distributed rounds."""
     monkeypatch.setattr(jaccard, "LAST", 0)
