@@ -82,10 +82,9 @@ def normalised_price(token: Column) -> Column:
 def separator_recovered(token: Column) -> Column:
     """Reads 1.9852 as 1985.20: a point that grouped thousands, with the decimal point lost; needs three digits after it."""
     whole, part = F.regexp_extract(token, r"^(\d+)\.(\d+)$", 1), F.regexp_extract(token, r"^(\d+)\.(\d+)$", 2)
-    zeros = (5 - F.length(part) % 3) % 3  # two digits beyond a multiple of three are the cents
-    padded = F.rpad(part, F.length(part) + zeros, "0")
-    digits = F.concat(whole, F.expr("''"), padded)
-    return F.when(F.length(part) >= 3, _cents((digits.try_cast("decimal(30,0)") / 100).cast("decimal(30,10)")))
+    missing = F.pmod(2 - F.length(part), F.lit(3))  # after groups of three come two digits of cents; zeros that were lost are put back
+    cents = F.concat(whole, F.rpad(part, F.length(part) + missing, "0")).try_cast("decimal(30,0)")
+    return F.when(F.length(part) >= 3, _cents((cents / 100).cast("decimal(30,10)")))
 
 
 def without_fee(gross: Column) -> Column:
