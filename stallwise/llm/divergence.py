@@ -1,10 +1,10 @@
 """Source divergence audit: smoothed term shares of every source against every other and against its language, all in whole numbers.
 
-Each task counts the terms of its documents in radix tries of bytes, one for each language, whose leaves have the number of documents and a counter for
-each source; a trie that has grown to ``MOST_LEAVES`` leaves is handed on and a new one begun. Leaves are dealt by prefix range (language, term), and each range merges what came
-to it in one trie again, which bounds the leaves of a task by the measured number of ranges. A merged trie is walked in UTF-8 order: terms in enough
-documents are kept. The kept terms are walked once more, in steps, with the sources' totals: each step adds up the distances of all pairs of sources and
-keeps every source's first candidates by (value descending, term). Pairs and candidates are the only things that leave a task.
+Each task counts the terms of its documents in prefix tries, one for each language, with a counter for each source at the leaves. A trie is held flat: its leaves
+in byte order, so that each stands after the one that it shares the longest prefix with, in Arrow and numpy arrays without an object for a node. Steps of text become small tries, which
+are merged into the task's; one of ``MOST_LEAVES`` leaves is handed on. Leaves are dealt by prefix range (language, term), the tries of a range are merged, and
+walking the merged one in UTF-8 order keeps the terms in enough documents. The kept terms are walked once more, in steps, with the sources' totals: each step adds up
+the distances of all pairs of sources and keeps every source's first candidates by (value descending, term). Pairs and candidates are all that leaves a task.
 
 The totals of sources (one row for each language and source) are broadcast in groups of ``GROUP_BYTES`` by a hash of the language. The result itself has the square of a
 language's sources as rows, so these are few beside it.
@@ -17,7 +17,6 @@ text, lang and source are read, so other columns can't clash.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,115 +25,129 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, table
+from .shared import Workspace, table, text_steps
 
-#: A-Z to a-z, and every byte that belongs to no term to a space; bytes from 0x80 on are terms' bytes.
-FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 32 for b in range(256))
-MOST_LEAVES = 100_000
+#: A-Z to a-z, and every byte that belongs to no term to 0; bytes from 0x80 on are terms' bytes.
+FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0 for b in range(256)], np.uint8)
+#: Leaves (a term with a source) of a task's trie, and of a range, in the mean. Bytes of text in a step.
+MOST_LEAVES, STEP_BYTES = 1 << 20, 4 << 20
 GROUP_BYTES = 16 << 20
 #: Counts that one step of the second walk holds, and sums of pairs that a task keeps between steps.
 STEP_CELLS, MOST_PAIRS = 1 << 20, 1 << 22
 SHARES = 1_000_000_000
-LEAF = "lang binary, term binary, n_docs long, sources array<binary>, counts array<long>"
+LEAF, KEPT = "lang binary, term binary, source binary, n long, docs long", "lang binary, term binary, sources array<binary>, counts array<long>"
+
+
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(term, row) of every term of the rows, in order."""
+    folded = FOLD[data]
+    inside = folded > 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    start = np.flatnonzero(inside & (~before | edge[:-1]))
+    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(end - start)))
+    terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(folded[inside])])
+    return terms, np.searchsorted(offsets, start, "right") - 1
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(distinct keys, sums of each of the values)."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    return key[first], *(np.add.reduceat(x[order], first) if len(first) else x[:0] for x in values)
 
 
 class Trie:
-    """A radix trie of byte strings. A node is [edge, leaf or None, children by first byte]; a leaf is [documents, {source: count}]."""
+    """Flat tries of one task: leaves (language, term) with the occurrences and documents in each source."""
 
     def __init__(self):
-        self.root, self.leaves = [b"", None, {}], 0
-
-    def leaf(self, term: bytes) -> list:
-        """The leaf of a term, made if it isn't there: edges are split where terms part."""
-        node, rest = self.root, term
-        while rest:
-            child = node[2].get(rest[0])
-            if child is None:
-                child = node[2][rest[0]] = [rest, None, {}]
-                node, rest = child, b""
-                break
-            edge = child[0]
-            if not rest.startswith(edge):
-                n = next(k for k in range(1, len(edge)) if edge[: k + 1] != rest[: k + 1])
-                upper = node[2][rest[0]] = [edge[:n], None, {edge[n]: child}]
-                child[0] = edge[n:]
-                child = upper
-            node, rest = child, rest[len(child[0]) :]
-        if node[1] is None:
-            node[1] = [0, {}]
-            self.leaves += 1
-        return node[1]
-
-    def add(self, term: bytes, n_docs: int, counts: dict[bytes, int]) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += n_docs
-        own = leaf[1]
-        for source, n in counts.items():
-            own[source] = own.get(source, 0) + n
-
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """(term, leaf) in the order of bytes, which is that of code points."""
-        stack = [(b"", self.root)]
-        while stack:
-            before, (edge, leaf, children) = stack.pop()
-            term = before + edge
-            if leaf is not None:
-                yield term, leaf
-            stack.extend((term, children[b]) for b in sorted(children, reverse=True))
-
-
-def _batches(rows: Iterator[tuple], most: int = 4096) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-    names = ["lang", "term", "n_docs", "sources", "counts"]
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == most:
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], kinds[c]) for c in range(5)], names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], kinds[c]) for c in range(5)], names)
-
-
-def _leaves(tries: dict[bytes, Trie], least: int = 0) -> Iterator[tuple]:
-    """Rows of all leaves in order; with least, those of fewer documents are left out, but for the root's, which names the sources."""
-    for lang in sorted(tries):
-        for term, (n_docs, counts) in tries[lang].walk():
-            if n_docs >= least or not term:
-                yield lang, term, n_docs, list(counts), list(counts.values())
+        self.groups: dict[tuple[bytes, bytes], int] = {}
+        self.parts: list[tuple] = []
+        self.leaves = 0
+
+    def group(self, lang: bytes, source: bytes) -> int:
+        return self.groups.setdefault((lang, source), len(self.groups))
+
+    def add(self, terms: pa.Array, row: np.ndarray, group: np.ndarray) -> None:
+        """One step's terms: row is each term's document, group each document's (language, source)."""
+        coded = terms.dictionary_encode()
+        size = max(len(coded.dictionary), 1)
+        code, n = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        key, n, docs = _summed(code % size * len(self.groups) + group[code // size], n, np.ones(len(code), np.int64))
+        self.parts.append((coded.dictionary, key // len(self.groups), key % len(self.groups), n, docs))
+        self.leaves += len(key)
+
+    def merged(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(terms in byte order, and for each leaf: term number, group, occurrences, documents)."""
+        terms = pa.concat_arrays([p[0] for p in self.parts]) if self.parts else pa.array([], pa.large_binary())
+        first = np.cumsum([0, *(len(p[0]) for p in self.parts)])
+        coded = terms.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        number = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        size = max(len(self.groups), 1)
+        key = np.concatenate([number[p[1] + a] * size + p[2] for p, a in zip(self.parts, first, strict=False)] or [np.zeros(0, np.int64)])
+        key, n, docs = _summed(key, *(np.concatenate([p[k] for p in self.parts] or [np.zeros(0, np.int64)]) for k in (3, 4)))
+        return coded.dictionary.take(pa.array(order)), key // size, key % size, n, docs
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """The leaves by language in byte order, and for every group a row of the empty term, which names it."""
+        terms, number, group, n, docs = self.merged()
+        langs, sources = (pa.array([g[k] for g in self.groups], pa.binary()) for k in (0, 1))
+        place = {lang: k for k, lang in enumerate(sorted({g[0] for g in self.groups}))}
+        of = np.array([place[g[0]] for g in self.groups], np.int64)
+        order = np.argsort(of[group], kind="stable") if len(group) else np.zeros(0, np.int64)
+        names = ["lang", "term", "source", "n", "docs"]
+        zero = pa.array(np.zeros(len(self.groups), np.int64))
+        yield pa.RecordBatch.from_arrays([langs, pa.array([b""] * len(self.groups), pa.binary()), sources, zero, zero], names)
+        for a in range(0, len(order), 65536):
+            at = order[a : a + 65536]
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(group[at])), terms.take(pa.array(number[at])).cast(pa.binary()), sources.take(pa.array(group[at])), pa.array(n[at]), pa.array(docs[at])], names)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, lang, source) to leaves. The root's leaf, of the empty term, has every source at 0."""
-    tries: dict[bytes, Trie] = {}
-    known: dict[tuple[bytes, bytes], list] = {}
+    """Rows (text, lang, source) to leaves."""
+    trie = Trie()
     for batch in batches:
-        texts, langs, sources = (batch.column(k).cast(pa.binary()).fill_null(b"") for k in range(3))
-        langs, sources = langs.to_pylist(), sources.to_pylist()
-        for k, (lang, source) in enumerate(zip(langs, sources, strict=True)):
-            trie = tries.get(lang)
-            if trie is None:
-                trie = tries[lang] = Trie()
-            trie.add(b"", 0, {source: 0})
-            for term, n in Counter(texts[k].as_py().translate(FOLD).split()).items():
-                leaf = known.get((lang, term))
-                if leaf is None:
-                    leaf = known[lang, term] = trie.leaf(term)
-                leaf[0] += 1
-                leaf[1][source] = leaf[1].get(source, 0) + n
-            if len(known) >= MOST_LEAVES:
-                yield from _batches(_leaves(tries))
-                tries, known = {}, {}
-    yield from _batches(_leaves(tries))
+        langs, sources = (batch.column(k).cast(pa.binary()).fill_null(b"").to_pylist() for k in (1, 2))
+        group = np.array([trie.group(lang, source) for lang, source in zip(langs, sources, strict=True)], np.int64)
+        for a, b, data, offsets in text_steps(batch.column(0), STEP_BYTES):
+            trie.add(*terms_of(data, offsets), group[a:b])
+        if trie.leaves >= MOST_LEAVES:
+            yield from trie.rows()
+            trie = Trie()
+    if trie.groups:
+        yield from trie.rows()
 
 
 def _merge(least: int):
+    """The leaves of a range to its kept terms in order, with their sources; the empty term is kept."""
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[bytes, Trie] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                tries.setdefault(r["lang"], Trie()).add(r["term"], r["n_docs"], dict(zip(r["sources"], r["counts"], strict=True)))
-        yield from _batches(_leaves(tries, least))
+        parts = list(batches)
+        if not parts:
+            return
+        leaves = pa.Table.from_batches(parts).group_by(["lang", "term", "source"]).aggregate([("n", "sum"), ("docs", "sum")])
+        docs = leaves.group_by(["lang", "term"]).aggregate([("docs_sum", "sum")])
+        docs = docs.filter(pc.or_(pc.greater_equal(docs["docs_sum_sum"], least), pc.equal(pc.binary_length(docs["term"]), 0))).select(["lang", "term"])
+        kept = leaves.join(docs, ["lang", "term"], join_type="inner").sort_by([(c, "ascending") for c in ("lang", "term", "source")])
+        lang, term, source, n = (kept[c].combine_chunks() for c in ("lang", "term", "source", "n_sum"))
+        if not len(lang):
+            return
+        new = np.ones(len(lang), bool)
+        new[1:] = ~np.asarray(pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(term[1:], term[:-1])))
+        first = np.flatnonzero(new)
+        for a in range(0, len(first), 4096):
+            at = np.append(first[a : a + 4096], first[a + 4096] if a + 4096 < len(first) else len(lang))
+            cut, offsets = slice(int(at[0]), int(at[-1])), pa.array((at - at[0]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x[cut]) for x in (source, n)]
+            heads = [x.take(pa.array(at[:-1])) for x in (lang, term)]
+            yield pa.RecordBatch.from_arrays([*heads, *lists], ["lang", "term", "sources", "counts"])
 
     return merge
 
@@ -223,7 +236,7 @@ def audit(docs: DataFrame, least_docs: int = 30, ranks: int = 50) -> DataFrame:
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "divergence")
     counted = ws.write(docs.select("text", "lang", "source").mapInArrow(_count, LEAF), "leaves")
     ranges = max(2 * spark.sparkContext.defaultParallelism, math.ceil(counted.count() / MOST_LEAVES))
-    kept = ws.write(counted.repartitionByRange(ranges, "lang", "term").mapInArrow(_merge(least_docs), LEAF), "kept")
+    kept = ws.write(counted.repartitionByRange(ranges, "lang", "term").mapInArrow(_merge(least_docs), KEPT), "kept")
     ws.drop("leaves")
 
     n_terms = kept.groupBy("lang").agg(F.count_if(F.octet_length("term") > 0).alias("v"))

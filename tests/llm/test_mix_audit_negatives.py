@@ -179,14 +179,23 @@ def test_shares_are_exact():
         assert [int(x) for x in got] == [1 + 10**9 * int(c) // int(t) for c, t in zip(count, total, strict=True)]
 
 
-def test_trie_walks_in_order_of_bytes():
+def test_flat_trie_against_plain_counts():
     rng = np.random.default_rng(2)
-    want, trie = collections.Counter(), divergence.Trie()
-    for _ in range(3000):
-        term = bytes(rng.integers(97, 100, int(rng.integers(0, 7))).astype(np.uint8)) + [b"", b"\xff", b"\xc3\xa9"][int(rng.integers(3))]
-        trie.add(term, 1, {b"s": 2})
-        want[term] += 1
-    assert [(t, leaf[0], leaf[1][b"s"]) for t, leaf in trie.walk()] == [(t, n, 2 * n) for t, n in sorted(want.items())] and trie.leaves == len(want)
+    texts = [b" ".join(bytes(rng.integers(97, 100, int(rng.integers(1, 7))).astype(np.uint8)) + [b"", b"\xc3\xbf", b"\xc3\xa9"][int(rng.integers(3))] for _ in range(int(rng.integers(0, 40)))) for _ in range(80)]
+    trie, want, docs = divergence.Trie(), collections.Counter(), collections.Counter()
+    for a in range(0, 80, 7):
+        part = texts[a : a + 7]
+        group = np.array([trie.group(b"xy"[i % 2 : i % 2 + 1], b"s%d" % (i % 3)) for i in range(a, a + len(part))])
+        trie.add(*divergence.terms_of(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)])), group)
+    for i, t in enumerate(texts):
+        for w in t.split():
+            want[b"xy"[i % 2 : i % 2 + 1], w, b"s%d" % (i % 3)] += 1
+        for w in set(t.split()):
+            docs[b"xy"[i % 2 : i % 2 + 1], w, b"s%d" % (i % 3)] += 1
+    rows = [r for b in trie.rows() for r in b.to_pylist()]
+    leaves = [r for r in rows if r["term"]]
+    assert {(r["lang"], r["term"], r["source"]): r["n"] for r in leaves} == want and {(r["lang"], r["term"], r["source"]): r["docs"] for r in leaves} == docs
+    assert [(r["lang"], r["term"]) for r in leaves] == sorted((r["lang"], r["term"]) for r in leaves) and len(rows) - len(leaves) == 6
 
 
 # 13 --------------------------------------------------------------------------------------------------------------
