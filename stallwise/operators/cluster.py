@@ -34,9 +34,9 @@ def online_mean(mean: Column, n: Column, x: Column) -> Column:
 
 def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """The mean vector of each group: components are averaged by position, combined on the map side."""
-    each = df.select(*keys, F.posexplode(vector).alias("p", "v"))
-    means = each.groupBy(*keys, "p").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("centroid"), F.max("n").alias("n"))
+    each = df.select(*keys, F.posexplode(vector).alias("__at", "__v"))
+    means = each.groupBy(*keys, "__at").agg(F.avg(F.col("__v").cast("double")).alias("__m"), F.count(F.lit(1)).alias("__n"))
+    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__m"))), lambda x: x["__m"]).alias("centroid"), F.max("__n").alias("n"))
 
 
 def nearest(df: DataFrame, table: DataFrame, vector: str, key: str, threshold: float | None = None) -> DataFrame:
