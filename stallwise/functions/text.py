@@ -115,6 +115,11 @@ def informative_tokens(title: Column, brand: Column) -> Column:
     return F.filter(F.array_except(plain, tokens(normalise(brand))), lambda t: ~t.rlike(r"^\d+$"))
 
 
+def is_generic(informative: Column, has_code: Column) -> Column:
+    """Whether a title names no product: one informative token at most, and no code."""
+    return (informative <= 1) & ~has_code
+
+
 def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)

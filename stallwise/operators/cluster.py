@@ -152,35 +152,6 @@ def silhouette_of_vectors(x: np.ndarray, label: np.ndarray, cells: int = 1 << 22
     return out
 
 
-def variant_clusters(df: DataFrame, product: str, item: str, vector: str, price: str, threshold: float = 0.33, price_weight: float = 0.35) -> DataFrame:
-    """product, item, variant, similarity, silhouette: the variants of each product, by text vector and price.
-
-    A row's features are its vector and price_weight times its log price, standardised within the product (0 where the price is missing or not
-    positive), scaled to length 1 together; average linkage by cosine distance gives variants, numbered from 0 in the order of the items.
-    similarity is that of a row's vector to the mean unit vector of its variant. A product is one task (see blocked_clusters).
-    """
-    rows = df.select(F.col(product).alias("product"), F.col(item).alias("item"), F.col(vector).alias("v"), F.col(price).cast("double").alias("price"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("item", kind="stable")
-        x, p = np.stack([np.asarray(v, float) for v in part["v"]]), part["price"].to_numpy(float)
-        known = np.isfinite(p) & (p > 0)
-        z = np.log(np.where(known, p, 1.0))
-        z = np.where(known, (z - z[known].mean()) / (z[known].std() + 1e-6), 0.0) if known.any() else np.zeros(len(p))
-        both = np.hstack([x, price_weight * z[:, None]])
-        both /= np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-12)
-        label = average_linkage_of_vectors(both, threshold)
-        unit_x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        means = np.zeros((label.max() + 1, x.shape[1]))
-        np.add.at(means, label, unit_x)
-        means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-        near = (unit_x * means[label]).sum(axis=1)
-        return pd.DataFrame({"product": part["product"], "item": part["item"], "variant": label, "similarity": near, "silhouette": silhouette_of_vectors(both, label)})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.filter("product is not null and v is not null").groupBy("product").applyInPandas(run, f"product {kinds['product']}, item {kinds['item']}, variant long, similarity double, silhouette double")
-
-
 def variant_summary(df: DataFrame, keys: list[str], price: str, sold: str) -> DataFrame:
     """For each variant: n, sold share, quartiles of its prices above 0 and their median distance from the median.
 
@@ -193,24 +164,6 @@ def variant_summary(df: DataFrame, keys: list[str], price: str, sold: str) -> Da
     return one.join(away, keys).select(*keys, "n", "sold_rate", *[c("__q")[k].alias(n) for k, n in enumerate(("q25", "med", "q75"))], "mad")
 
 
-def blocked_clusters(df: DataFrame, block: str, item: str, vector: str, threshold: float = 0.24) -> DataFrame:
-    """item, block, part, label, silhouette: average linkage by cosine distance inside each block, which is always clustered whole (part is 0).
-
-    A block is one task, which holds its vectors a few times; its time grows with the square of its rows.
-    """
-    rows = df.select(F.col(block).alias("block"), F.lit(0).alias("part"), F.col(item).alias("item"), F.col(vector).alias("v"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("item", kind="stable")
-        x = np.stack([np.asarray(v, float) for v in part["v"]])
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        label = average_linkage_of_vectors(x, threshold)
-        return pd.DataFrame({"block": part["block"], "part": part["part"], "item": part["item"], "label": label, "silhouette": silhouette_of_vectors(x, label)})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.filter("block is not null").groupBy("block", "part").applyInPandas(run, f"block {kinds['block']}, part int, item {kinds['item']}, label long, silhouette double")
-
-
 def numbered(df: DataFrame, *keys: str, name: str = "product_id") -> DataFrame:
     """Ids from 0 of the distinct keys, in their order; rows with a null key have none and are left out.
 

@@ -23,6 +23,14 @@ class DealRules:
     min_profit: float = 5.0
     min_informative: int = 2
     ranked_count: int = 4
+    mad_ratio: float = 0.25
+    hard_mad_ratio: float = 0.45
+    silhouette: float = 0.35
+    centroid: float = 0.55
+
+
+#: The constants of the whole way from listings to deals, where variants are found rather than given. Fixed values.
+BATCH_RULES = DealRules(min_count=3, min_confidence=0.35, min_margin=0.0, min_profit=0.0, mad_ratio=0.35, hard_mad_ratio=0.60, silhouette=0.15, centroid=0.45)
 
 
 def price_stats(df: DataFrame, keys: list[str], price: str) -> DataFrame:
@@ -67,8 +75,8 @@ def scored(df: DataFrame, rules: DealRules = DealRules()) -> DataFrame:
     estimate = resale(c("med"), c("q25"), c("q75"), rules)
     df = df.withColumn("expected_resale", estimate)
     df = df.withColumn("profit", net(c("expected_resale"), rules) - c("price")).withColumn("margin", F.try_divide("profit", "price"))
-    ratio = F.try_divide("mad", "med") - 0.25
-    silhouette, centroid = 0.35 - c("silhouette"), 0.55 - c("centroid_sim")
+    ratio = F.try_divide("mad", "med") - rules.mad_ratio
+    silhouette, centroid = rules.silhouette - c("silhouette"), rules.centroid - c("centroid_sim")
     vague = c("informative") < rules.min_informative
     unsure = vague & ~c("has_code")
     low = F.lit(0.0)
@@ -78,7 +86,7 @@ def scored(df: DataFrame, rules: DealRules = DealRules()) -> DataFrame:
         (unsure & ~c("generic"), 0.5, F.lit(0.15), F.lit(False), "few_informative_tokens"),
         (c("snapshots") >= 3, 0.0, F.least(F.lit(0.25), 0.05 * (c("snapshots") - 2)), F.lit(False), "seen_often"),
         (c("n") < rules.min_count, 0.0, F.lit(0.35), F.lit(True), "small_group"),
-        (ratio > 0, F.least(F.lit(1.0), 4 * ratio), F.least(F.lit(0.35), 1.5 * ratio), ratio > 0.2, "noisy_prices"),
+        (ratio > 0, F.least(F.lit(1.0), 4 * ratio), F.least(F.lit(0.35), 1.5 * ratio), ratio > rules.hard_mad_ratio - rules.mad_ratio, "noisy_prices"),
         (silhouette > 0, F.least(F.lit(0.8), 2 * silhouette), F.least(F.lit(0.30), 1.2 * silhouette), F.lit(True), "weak_cluster"),
         (centroid > 0, F.least(F.lit(0.8), 2 * centroid), F.least(F.lit(0.25), 1.2 * centroid), F.lit(False), "far_from_centroid"),
         (c("price") < 0.45 * c("med"), 0.5, F.lit(0.10), F.lit(False), "suspiciously_cheap"),

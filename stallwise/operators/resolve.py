@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..sources.scratch import Scratch
 from .cluster import average_linkage_of_vectors, centroids, cosine, numbered, silhouette_of_vectors, unit
-from .deals import DealRules, autotune, deal_z, price_stats, scored
+from .deals import BATCH_RULES, DealRules, autotune, deal_z, price_stats, scored
 from .ordered import ranked
 
 #: Rows of a tile; a group of no more is clustered without looking for components.
@@ -170,11 +170,18 @@ def core_at(counts: Column, n: Column, fraction: Column) -> Column:
     return F.map_keys(F.map_filter(counts, lambda _, c: c / n >= fraction))
 
 
+def empty_rates(df: DataFrame, product: str, words: str, core: float = CORE) -> DataFrame:
+    """product, empty_rate: the share of a product's rows whose words are all core words."""
+    counted = core_words(df, product, words).select(product, core_at(F.col("counts"), F.col("n"), F.lit(core)).alias("__core"))
+    met = df.select(F.col(product).alias("__k"), F.col(words).alias("__w")).join(counted, F.col("__k") == F.col(product))
+    return met.groupBy(product).agg(F.avg((F.size(F.array_except("__w", "__core")) == 0).cast("double")).alias("empty_rate"))
+
+
 def uniformity(df: DataFrame, product: str, words: str) -> DataFrame:
     """product, uniformity: the mean Jaccard similarity of the rows' words to the words that 0.7 of the product's rows have; two empty sets are alike."""
     counted = core_words(df, product, words)
-    own = df.select(F.col(product).alias("__p"), F.array_distinct(words).alias("__w"))
-    met = own.join(counted, F.col("__p") == F.col(product)).withColumn("__core", core_at(F.col("counts"), F.col("n"), F.lit(0.7)))
+    own = df.select(F.col(product).alias("__k"), F.array_distinct(words).alias("__w"))
+    met = own.join(counted, F.col("__k") == F.col(product)).withColumn("__core", core_at(F.col("counts"), F.col("n"), F.lit(0.7)))
     return met.groupBy(product).agg(F.avg(text.jaccard(F.col("__w"), F.col("__core"), both_empty=1.0)).alias("uniformity"))
 
 
@@ -190,8 +197,7 @@ def variants(df: DataFrame, product: str, item: str, words: str, price: str, vec
     rows = df.withColumn("__p", known)
     counted = core_words(rows, product, words).join(rows.groupBy(product).agg(F.avg(F.log("__p")).alias("__mean"), F.stddev_pop(F.log("__p")).alias("__sd")), product)
     if tune:
-        first = rows.join(counted, product).withColumn("__empty", F.size(F.array_except(words, core_at(c("counts"), c("n"), F.lit(CORE)))) == 0)
-        rates = first.groupBy(product).agg(F.avg(c("__empty").cast("double")).alias("__rate"))
+        rates = empty_rates(rows, product, words).withColumnRenamed("empty_rate", "__rate")
         spread = price_stats(rows, [product], "__p").select(product, F.try_divide("mad", "med").alias("__spread"))
         tuned = autotune(c("__rate"), c("__spread"))
         counted = counted.join(rates, product).join(spread, product, "left")
@@ -217,7 +223,35 @@ def variants(df: DataFrame, product: str, item: str, words: str, price: str, vec
     return rows.select(*df.columns, "variant_text", "variant", cosine(c("__f"), c("centroid")).alias("similarity"), "product_silhouette")
 
 
-def listing_deals(df: DataFrame, item: str, title: str, brand: str, price: str, snapshots: str, rules: DealRules = DealRules(), vector=hashed_vector, tile: int = TILE) -> DataFrame:
+def variant_clusters(df: DataFrame, product: str, item: str, vector: str, price: str, threshold: float = VARIANT, price_weight: float = PRICE_WEIGHT, tile: int = TILE) -> DataFrame:
+    """product, item, variant, similarity, silhouette: the variants of each product by a given vector and the price, for products of any size.
+
+    A row's features are its vector and price_weight times its log price, standardised within the product (0 where the price is missing or not
+    positive), scaled to length 1 together. similarity is that of a row's features to their mean in its variant.
+    """
+    c = F.col
+    p = F.when((c(price) > 0) & ~F.isnan(price) & (c(price) < float("inf")), F.log(c(price).cast("double")))
+    rows = df.select(c(product).alias("product"), c(item).alias("item"), c(vector).alias("v"), p.alias("p")).filter("product is not null and v is not null")
+    spread = rows.groupBy("product").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("sd"))
+    z = F.coalesce((c("p") - c("mean")) / (c("sd") + 1e-6), F.lit(0.0))
+    rows = rows.join(spread, "product").select("product", "item", unit(F.concat(c("v").cast("array<double>"), F.array(price_weight * z))).alias("f"))
+    rows = Scratch(df.sparkSession, "variants").write(rows)
+    found = clusters(rows, "product", "item", "f", threshold, tile).select(c("product").alias("__p"), c("item").alias("__i"), c("label").alias("variant"), "silhouette")
+    rows = Scratch(df.sparkSession, "variants").write(rows.join(found, (c("product") == c("__p")) & (c("item") == c("__i"))).drop("__p", "__i"))
+    means = centroids(rows, ["product", "variant"], "f").drop("n")
+    return rows.join(means, ["product", "variant"]).select("product", "item", "variant", cosine(c("f"), c("centroid")).alias("similarity"), "silhouette")
+
+
+def token_similarity(df: DataFrame, keys: list[str], item: str, words: str) -> DataFrame:
+    """item, similarity: cosine of each item's set of words to the mean of its group's sets, as 0/1 vectors; items without words have no row."""
+    each = df.select(*keys, item, F.explode(F.array_distinct(words)).alias("w"))
+    counts = each.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("c"))
+    length = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("q"))
+    met = each.join(counts, [*keys, "w"]).groupBy(*keys, item).agg(F.sum("c").alias("s"), F.count(F.lit(1)).alias("k"))
+    return met.join(length, keys).select(item, (F.col("s") / (F.sqrt("k") * F.col("q"))).alias("similarity"))
+
+
+def listing_deals(df: DataFrame, item: str, title: str, brand: str, price: str, snapshots: str, rules: DealRules = BATCH_RULES, vector=hashed_vector, tile: int = TILE) -> DataFrame:
     """From listings to scored deals: item, title, brand, price, snapshots, block, product_id, variant_id, variant_text, similarity, product_silhouette, variant_count,
     and all that deals.scored adds. Listings are compared inside their block (brand and codes or first words); each item is one row.
     """
@@ -234,7 +268,7 @@ def listing_deals(df: DataFrame, item: str, title: str, brand: str, price: str,
     rows = rows.join(members, "variant_id").join(stats, "variant_id", "left")
     informative, codes = text.informative_tokens(c("norm"), c("brand")), F.size(text.model_codes(c("norm"))) > 0
     rows = rows.withColumn("informative", F.size(informative)).withColumn("has_code", codes).withColumn("negative", F.size(text.negative_flags(c("norm"))) > 0)
-    rows = rows.withColumn("generic", (c("informative") <= 1) & ~c("has_code")).withColumn("z", deal_z(c("price"), c("priced"), c("med"), c("mad")))
+    rows = rows.withColumn("generic", text.is_generic(c("informative"), c("has_code"))).withColumn("z", deal_z(c("price"), c("priced"), c("med"), c("mad")))
     enough = c("priced") >= 3  # with fewer prices there is no estimate
     rows = rows.select(*[k for k in rows.columns if k not in ("med", "q25", "q75")], *[F.when(enough, c(k)).alias(k) for k in ("med", "q25", "q75")], c("similarity").alias("centroid_sim"), c("product_silhouette").alias("silhouette"))
     return scored(rows, rules).withColumnRenamed("n", "variant_count").drop("words", "norm", "centroid_sim", "silhouette")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coerce, text
-from ..operators import buy, deals
+from ..operators import buy, deals, resolve
 from .adapters import LISTING, LISTING_ORDER, ORDER, listing, query, r, table
 
 
@@ -20,18 +20,17 @@ def price_stats(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    """The latest snapshot of each item with its group's statistics. The tables have no clusters: generic titles and similarities follow from the id by fixed rules."""
+    """The latest snapshot of each item with its group's statistics and its title's similarity to the group's. A group stands for a variant here, so there is no silhouette (see listing_deals)."""
     rows = listing(spark, sf_dir)
     counts = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("snapshots"), F.max_by(F.struct(*[c for c in rows.columns if c != "item_id"]), F.struct(*ORDER)).alias("row"))
     items = counts.select("item_id", "snapshots", "row.*")
     stats = deals.price_stats(rows, ["brand", "search"], "price")
     c = F.col
-    joined = items.join(stats, ["brand", "search"]).withColumn("z", deals.deal_z(c("price"), c("n"), c("med"), c("mad")))
-    norm = text.normalise(c("title"))
-    return joined.select(
-        "*", (F.size(text.negative_flags(norm)) > 0).alias("negative"), (c("item_id") % 7 == 0).alias("generic"), F.size(text.informative_tokens(norm, c("brand"))).alias("informative"), (F.size(text.model_codes(norm)) > 0).alias("has_code"),
-        F.when(c("item_id") % 8 > 0, 0.1 + c("item_id") % 8 / 10).alias("silhouette"), F.when(c("item_id") % 5 > 0, 0.35 + c("item_id") % 5 / 10).alias("centroid_sim"),
-    )
+    items = items.withColumn("norm", text.normalise(c("title"))).withColumn("words", text.tokens(c("norm")))
+    near = resolve.token_similarity(items, ["brand", "search"], "item_id", "words").withColumnRenamed("similarity", "centroid_sim")
+    joined = items.join(stats, ["brand", "search"]).join(near, "item_id", "left").withColumn("z", deals.deal_z(c("price"), c("n"), c("med"), c("mad")))
+    joined = joined.withColumn("informative", F.size(text.informative_tokens(c("norm"), c("brand")))).withColumn("has_code", F.size(text.model_codes(c("norm"))) > 0)
+    return joined.select("*", (F.size(text.negative_flags(c("norm"))) > 0).alias("negative"), text.is_generic(c("informative"), c("has_code")).alias("generic"), F.lit(None).cast("double").alias("silhouette"))
 
 
 _ITEMS = f"""{LISTING}, {_STATS},
@@ -42,8 +41,10 @@ items as (select l.*, s.n, s.q25, s.med, s.q75, s.mad, case when s.n >= 3 then (
   trim(regexp_replace(strip_accents(lower(trim(l.brand))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) bnorm, g from latest l join stats s using (brand, search), gen),
 flagged as (select *, exists (select 1 from neg where contains(norm, w)) negative, len(regexp_extract_all(norm, '\\b[a-z]{{1,4}}\\d{{2,6}}\\b|\\b\\d{{2,4}}\\b')) > 0 has_code,
   len(list_filter(list_distinct(regexp_extract_all(norm, '[a-z0-9]+')), lambda x: length(x) > 1 and not list_contains(g, x) and not list_contains(regexp_extract_all(bnorm, '[a-z0-9]+'), x) and not regexp_matches(x, '^\\d+$'))) informative from items),
-priced as (select *, greatest(least(med * 0.95, q75), q25) est, greatest(least(med * 0.95, q75), q25) * 0.9 - price profit, mad / med - 0.25 dr, item_id % 7 = 0 generic, case when item_id % 8 > 0 then 0.35 - (0.1::double + (item_id % 8)::double / 10) end sil,
-  case when item_id % 5 > 0 then 0.55 - (0.35::double + (item_id % 5)::double / 10) end cen from flagged),
+tok as (select item_id, brand, search, unnest(list_distinct(list_filter(regexp_extract_all(norm, '[a-z0-9]+'), lambda x: length(x) > 1))) w from flagged),
+cnt as (select brand, search, w, count(*) c from tok group by all),
+sim as (select item_id, sum(c) / (sqrt(count(*)) * any_value(q)) sim from tok join cnt using (brand, search, w) join (select brand, search, sqrt(sum(c * c)) q from cnt group by all) using (brand, search) group by item_id),
+priced as (select *, greatest(least(med * 0.95, q75), q25) est, greatest(least(med * 0.95, q75), q25) * 0.9 - price profit, mad / med - 0.25 dr, informative <= 1 and not has_code generic, null::double sil, 0.55 - sim cen from flagged left join sim using (item_id)),
 ruled as (select *, profit / price margin, informative < 2 and not has_code unsure from priced),
 summed as (select *,
   (case when negative then 0.6 else 0 end) + (case when generic then 1.1 else 0 end) + (case when unsure and not generic then 0.5 else 0 end) + (case when dr > 0 then least(1.0, 4 * dr) else 0 end) + (case when sil > 0 then least(0.8, 2 * sil) else 0 end) + (case when cen > 0 then least(0.8, 2 * cen) else 0 end) + (case when price < 0.45 * med then 0.5 else 0 end) penalty,
@@ -69,11 +70,28 @@ def ranked_deals(spark, sf_dir):
     return out.select("item_id", "brand", "search", "price", r(F.col("score")).alias("score"), r(F.col("safety")).alias("safety"))
 
 
-@query(f"with {LISTING}, {_STATS} select search, brand, case when e > 0.55 then 0.60 when e > 0.40 then 0.65 when e < 0.15 then 0.78 else 0.70 end::double core_frac, case when m >= 0.22 then 0.55 when m >= 0.14 then 0.45 when m <= 0.06 then 0.25 else 0.35 end::double price_weight, case when m >= 0.22 then 0.30 when m >= 0.14 then 0.31 when m <= 0.06 then 0.36 else 0.33 end::double variant_threshold from (select search, brand, mad / med m, (n % 10) / 10 e from stats)")
+@query(f"""with {LISTING}, {_STATS},
+tok as (select brand, search, l_orderkey, page, list_distinct(list_filter(regexp_extract_all(trim(regexp_replace(strip_accents(lower(trim(title))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '[a-z0-9]+'), lambda x: length(x) > 1)) ws from listing),
+sizes as (select brand, search, count(*) size from tok group by all),
+core as (select brand, search, list(w) core from (select brand, search, w, count(*) c from (select brand, search, unnest(ws) w from tok) group by all) join sizes using (brand, search) where c / size >= 0.7 group by all),
+rate as (select brand, search, avg((len(list_filter(ws, lambda w: not coalesce(list_contains(core, w), false))) = 0)::int) e, avg(case when len(ws) = 0 and len(coalesce(core, [])) = 0 then 1.0 when len(ws) = 0 or len(coalesce(core, [])) = 0 then 0.0
+  else len(list_intersect(ws, core)) / len(list_distinct(list_concat(ws, core))) end) u from tok left join core using (brand, search) group by all)
+select search, brand, round(u, 6) uniformity, round(e, 6) empty_rate, case when e > 0.55 then 0.60 when e > 0.40 then 0.65 when e < 0.15 then 0.78 else 0.70 end::double core_frac, case when m >= 0.22 then 0.55 when m >= 0.14 then 0.45 when m <= 0.06 then 0.25 else 0.35 end::double price_weight, case when m >= 0.22 then 0.30 when m >= 0.14 then 0.31 when m <= 0.06 then 0.36 else 0.33 end::double variant_threshold from (select search, brand, mad / med m, e, u from stats join rate using (brand, search))""")
 def autotune(spark, sf_dir):
-    s = deals.price_stats(listing(spark, sf_dir), ["brand", "search"], "price")
-    tuned = deals.autotune(F.col("n") % 10 / 10, F.col("mad") / F.col("med"))
-    return s.select("search", "brand", *[v.cast("double").alias(k) for k, v in tuned.items()])
+    """Uniformity of titles, share of empty variant texts, and what follows from it and the prices' spread, by brand and search."""
+    rows = listing(spark, sf_dir).withColumn("group", F.struct("brand", "search")).withColumn("words", text.tokens(text.normalise(F.col("title"))))
+    s = deals.price_stats(rows, ["group"], "price").join(resolve.empty_rates(rows, "group", "words"), "group").join(resolve.uniformity(rows, "group", "words"), "group")
+    tuned = deals.autotune(F.col("empty_rate"), F.col("mad") / F.col("med"))
+    return s.select("group.search", "group.brand", r(F.col("uniformity")).alias("uniformity"), r(F.col("empty_rate")).alias("empty_rate"), *[v.cast("double").alias(k) for k, v in tuned.items()])
+
+
+@query()
+def listing_deals(spark, sf_dir):
+    """The whole way: the latest snapshot of each supplier's listing of a part goes through blocks, products, variants and prices to a score; held to a plain computation in the tests."""
+    rows = listing(spark, sf_dir)
+    latest = rows.groupBy(F.concat_ws("-", "item_id", "supplier").alias("id")).agg(F.count(F.lit(1)).alias("snapshots"), F.max_by(F.struct("title", "brand", "price"), F.struct(*ORDER)).alias("row"))
+    out = resolve.listing_deals(latest.select("id", "snapshots", "row.*"), "id", "title", "brand", "price", "snapshots")
+    return out.select("item", "product_id", "variant_id", "variant_text", "variant_count", *[r(F.col(c)).alias(c) for c in ("similarity", "product_silhouette", "z", "expected_resale", "profit", "confidence", "score", "safety")], "eligible", "notes")
 
 
 @query(f"with {LISTING} select search, count(*) n, count(distinct item_id) items, min(price) low, round(quantile_cont(price, 0.5), 6) med, max(price) high, mode(brand order by brand) brand, round(avg((page > 3)::int), 6) rate from (select * from listing order by brand) group by search".replace("mode(brand order by brand) brand, ", ""))

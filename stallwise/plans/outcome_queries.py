@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.coerce import hours_between
-from ..operators import cluster, ml, outcomes
+from ..operators import cluster, ml, outcomes, resolve
 from ..streaming import streams
 from .adapters import CHECKS, LISTING, NOW, TRACKED, checks, listing, query, r, scores, table, tracked
 
@@ -173,14 +173,15 @@ def hash_distances(spark, sf_dir):
 def blocked_clusters(spark, sf_dir):
     """Average-linkage clusters inside each label's block; not expressible in SQL."""
     e = table(spark, sf_dir, "embeddings")
-    return cluster.blocked_clusters(e, "label", "vec_id", "embedding").select("block", "part", "item", "label", r(F.col("silhouette")).alias("silhouette"))
+    out = resolve.clusters(e.select(F.col("label").alias("block"), F.col("vec_id").alias("item"), "embedding"), "block", "item", "embedding", resolve.PRODUCT)
+    return out.select("block", "item", "label", r(F.col("silhouette")).alias("silhouette"))
 
 
 @query()
 def variant_clusters(spark, sf_dir):
     """Variants of each label's vectors with a made-up price; not expressible in SQL."""
     e = table(spark, sf_dir, "embeddings").withColumn("price", (10 + F.col("vec_id") % 37).cast("double"))
-    out = cluster.variant_clusters(e, "label", "vec_id", "embedding", "price")
+    out = resolve.variant_clusters(e, "label", "vec_id", "embedding", "price")
     return out.select("product", "item", "variant", r(F.col("similarity")).alias("similarity"), r(F.col("silhouette")).alias("silhouette"))
 
 

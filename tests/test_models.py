@@ -4,20 +4,23 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stallwise.operators import cluster, ml
+from stallwise.operators import cluster, ml, resolve
 
 
 def test_variant_clusters(spark):
     rows = [("p", 1, [1.0, 0.0, 0.0], 10.0), ("p", 2, [1.0, 0.02, 0.0], 10.5), ("p", 3, [0.0, 1.0, 0.0], 80.0), ("p", 4, [0.01, 1.0, 0.0], 85.0), ("p", 5, [1.0, 0.01, 0.0], None), ("q", 6, [0.0, 0.0, 2.0], -1.0), (None, 7, [1.0, 0.0, 0.0], 1.0), ("q", 8, None, 2.0)]
     df = spark.createDataFrame(rows, "product string, item int, v array<double>, price double").withColumn("variant", F.lit(9))
-    got = {r["item"]: r for r in cluster.variant_clusters(df, "product", "item", "v", "price").collect()}
+    got = {r["item"]: r for r in resolve.variant_clusters(df, "product", "item", "v", "price").collect()}
     assert sorted(got) == [1, 2, 3, 4, 5, 6]
     assert got[1]["variant"] == got[2]["variant"] == 0 and got[3]["variant"] == got[4]["variant"] != 0 and got[6]["variant"] == 0
     same = [r["item"] for r in got.values() if r["product"] == "p" and r["variant"] == got[3]["variant"]]
-    x = np.array([rows[i - 1][2] for i in same])
-    mean = (x / np.linalg.norm(x, axis=1, keepdims=True)).sum(axis=0)
-    assert got[3]["similarity"] == pytest.approx(float(x[0] / np.linalg.norm(x[0]) @ mean / np.linalg.norm(mean)))
-    assert cluster.variant_clusters(df.limit(0), "product", "item", "v", "price").count() == 0
+    logs = np.log([10.0, 10.5, 80.0, 85.0])
+    z = {i: (np.log(rows[i - 1][3]) - logs.mean()) / (logs.std() + 1e-6) for i in (1, 2, 3, 4)} | {5: 0.0}
+    f = {i: np.array([*rows[i - 1][2], 0.35 * z[i]]) for i in z}
+    f = {i: x / np.linalg.norm(x) for i, x in f.items()}
+    mean = sum(f[i] for i in same)
+    assert got[3]["similarity"] == pytest.approx(float(f[3] @ mean / np.linalg.norm(mean)))
+    assert resolve.variant_clusters(df.limit(0), "product", "item", "v", "price").count() == 0
 
 
 def test_variant_summary(spark):

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stallwise.operators import buy, cluster, deals, identity, metrics, outcomes, splits, state, stats, thresholds, voting
+from stallwise.operators import buy, cluster, deals, identity, metrics, outcomes, resolve, splits, state, stats, thresholds, voting
 from stallwise.sources import tables
 
 
@@ -132,8 +132,8 @@ def test_large_blocks_are_clustered_whole(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1050, 64))[np.arange(2100) // 2] + rng.normal(size=(2100, 64)) * 0.01
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(x.tolist())], "block string, item long, v array<double>")
-    got = {r["item"]: r for r in cluster.blocked_clusters(df, "block", "item", "v").collect()}
-    assert {r["part"] for r in got.values()} == {0} and [got[i]["label"] for i in range(2100)] == [i // 2 for i in range(2100)]
+    got = {r["item"]: r for r in resolve.clusters(df, "block", "item", "v", 0.24).collect()}
+    assert [got[i]["label"] for i in range(2100)] == [i // 2 for i in range(2100)]
     assert min(r["silhouette"] for r in got.values()) > 0.9
 
 

@@ -1,10 +1,15 @@
 """Clusters of groups cut into tiles, components, variants and the way from listings to deals, against direct computation."""
 
+import collections
+import os
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stallwise.operators import cluster, resolve
+from stallwise.plans import deal_queries
 from stallwise.sources.scratch import Scratch
 
 
@@ -90,3 +95,75 @@ def test_image_weight_parts_variants(spark):
     df = spark.createDataFrame(rows, "p int, i long, w array<string>, price double, image array<double>")
     count = lambda weight: resolve.variants(df, "p", "i", "w", "price", image="image", image_weight=weight, tune=False).select("variant").distinct().count()
     assert count(0.0) == 1 and count(1.0) == 2
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def plain_vector(words, dims=64):
+    v = np.zeros(dims)
+    for w in words:
+        v[zlib.crc32(w.encode()) % dims] += 1
+    v[0] += not words
+    return v
+
+
+def labelled(x, threshold):
+    x = unit(x)
+    d = np.maximum(1 - x @ x.T, 0)
+    return cluster.average_linkage(d, threshold), d
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_listing_deals_of_the_tables_against_a_plain_computation(spark):
+    """Products, variants, similarity, silhouette, price statistics and z of the query, item by item; and what the scores follow from them."""
+    rows = deal_queries.listing(spark, DATA).select("item_id", "supplier", "title", "brand", "price", *[c for c in deal_queries.ORDER if c not in ("supplier", "price")]).toPandas()
+    rows = rows.sort_values(deal_queries.ORDER)
+    rows["id"] = rows["item_id"].astype(str) + "-" + rows["supplier"].astype(str)
+    items = rows.groupby("id").agg(title=("title", "last"), brand=("brand", "last"), price=("price", "last"), snapshots=("id", "size")).reset_index().sort_values("id")
+    items["words"] = [[w for w in t.lower().split() if len(w) > 1] for t in items["title"]]
+    blocks = collections.defaultdict(list)
+    for k, (brand, words) in enumerate(zip(items["brand"], items["words"], strict=True)):
+        blocks[brand, tuple(words[:2])].append(k)
+    want, partition = {}, []
+    price = items["price"].to_numpy(float)
+    for members in blocks.values():
+        label, _ = labelled(np.array([plain_vector(items["words"].iloc[k]) for k in members]), 0.24)
+        for p in range(label.max() + 1):
+            own = [members[i] for i in np.flatnonzero(label == p)]
+            words = [items["words"].iloc[k] for k in own]
+            counts = collections.Counter(w for x in words for w in set(x))
+            core = lambda share: {w for w, c in counts.items() if c / len(own) >= share}  # noqa: B023, E731
+            variant, text, sims, sil = np.zeros(len(own), int), [""] * len(own), [None] * len(own), None
+            if len(own) >= 4:
+                empty = np.mean([not [w for w in x if w not in core(0.7)] for x in words])
+                med = np.median(price[own])
+                spread = np.median(np.abs(price[own] - med)) / med
+                share = 0.60 if empty > 0.55 else 0.65 if empty > 0.40 else 0.78 if empty < 0.15 else 0.70
+                weight, t = (0.55, 0.30) if spread >= 0.22 else (0.45, 0.31) if spread >= 0.14 else (0.25, 0.36) if spread <= 0.06 else (0.35, 0.33)
+                left = [[w for w in x if w not in core(share)] for x in words]
+                z = (np.log(price[own]) - np.log(price[own]).mean()) / (np.log(price[own]).std() + 1e-6)
+                f = unit(np.hstack([[plain_vector(x) for x in left], weight * z[:, None]]))
+                variant, d = labelled(f, t)
+                text = [" ".join(x) for x in left]
+                means = [f[variant == v].mean(axis=0) for v in range(variant.max() + 1)]
+                sims = [float(x @ means[v] / np.linalg.norm(x) / np.linalg.norm(means[v])) for x, v in zip(f, variant, strict=True)]
+                sil = float(cluster.silhouette(d, variant).mean()) if variant.max() > 0 else None
+            for v in range(variant.max() + 1):
+                same = [own[i] for i in np.flatnonzero(variant == v)]
+                partition.append(frozenset(items["id"].iloc[same]))
+                med = np.median(price[same])
+                mad = np.median(np.abs(price[same] - med))
+                for i in np.flatnonzero(variant == v):
+                    z = (med - price[own[i]]) / (1.4826 * mad + 1e-6) if len(same) >= 3 else None
+                    want[items["id"].iloc[own[i]]] = (len(same), text[i], sims[i], sil, z)
+    got = deal_queries.listing_deals(spark, DATA).collect()
+    found = collections.defaultdict(set)
+    for r in got:
+        found[r["variant_id"]].add(r["item"])
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, partition)) and len(got) == len(want)
+    near = lambda a, b: a is b or (a is not None and b is not None and a == pytest.approx(b, abs=2e-6, rel=1e-6))
+    for r in got:
+        n, text, sim, sil, z = want[r["item"]]
+        assert r["variant_count"] == n and r["variant_text"] == text and near(r["similarity"], sim) and near(r["product_silhouette"], sil) and near(r["z"], z), (r, want[r["item"]])
+        assert ("weak_cluster" in r["notes"]) == (sil is not None and sil < 0.15) and ("far_from_centroid" in r["notes"]) == (sim is not None and sim < 0.45) and ("small_group" in r["notes"]) == (n < 3)
