@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,60 +66,6 @@ def latest_rows(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), ts).alias("row")).select(*keys, "row.*")
 
 
-class IncrementalClusters:
-    """Assigns vectors to products as they come, inside each block: nearest centroid within the threshold, or a new product.
-
-    The state of a block is its centroids, counts and the last prices of each product; a row is scored with the state after
-    its own price is in. Blocks are independent, so the stream scales with their number.
-    """
-
-    BUFFER = 200
-
-    def __init__(self, threshold: float = 0.24):
-        self.threshold = threshold
-
-    def assign(self, x: np.ndarray, price: float, centroids: list, counts: list, prices: list) -> tuple[int, float]:
-        """Index of the product and its distance; the lists are changed in place."""
-        x = x / max(float(np.linalg.norm(x)), 1e-12)
-        best, far = -1, float("inf")
-        if centroids:
-            d = 1 - np.asarray(centroids) @ x
-            best = int(np.argmin(d))
-            far = float(d[best])
-        if far > self.threshold:
-            centroids.append(x.tolist())
-            counts.append(1)
-            prices.append([price])
-            return len(counts) - 1, 0.0
-        c = np.asarray(centroids[best])
-        centroids[best] = (c + (x - c) / (counts[best] + 1)).tolist()
-        counts[best] += 1
-        prices[best] = [*prices[best], price][-self.BUFFER :]
-        return best, far
-
-    def apply(self, stream: DataFrame, block: str, item: str, vector: str, price: str) -> DataFrame:
-        def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            centroids, counts, prices = ([list(map(list, state.get[0])), list(state.get[1]), list(map(list, state.get[2]))]) if state.exists else ([], [], [])
-            out = []
-            for rows in batches:
-                rows = rows.sort_values("item", kind="stable")
-                for i, v, p in zip(rows["item"], rows["v"], rows["price"], strict=True):
-                    product, far = self.assign(np.asarray(v, float), float(p), centroids, counts, prices)
-                    buffer = np.asarray(prices[product])
-                    med = float(np.median(buffer))
-                    mad = float(np.median(np.abs(buffer - med)))
-                    out.append((k[0], i, product, far, len(buffer), med, (med - p) / (1.4826 * mad + 1e-6) if len(buffer) >= 3 else None))
-            state.update((centroids, counts, prices))
-            yield pd.DataFrame(out, columns=["block", "item", "product", "dist", "n", "med", "z"])
-
-        kinds = {n: stream.schema[n].dataType.simpleString() for n in (block, item)}
-        rows = stream.select(F.col(block).alias("block"), F.col(item).alias("item"), F.col(vector).alias("v"), F.col(price).cast("double").alias("price"))
-        return rows.groupBy("block").applyInPandasWithState(
-            run, f"block {kinds[block]}, item {kinds[item]}, product long, dist double, n long, med double, z double",
-            "centroids array<array<double>>, counts array<long>, prices array<array<double>>", "append", GroupStateTimeout.NoTimeout,
-        )
-
-
 def upserting(path: str, keys: list[str], ts: str, buckets: int = 64):
     """A foreachBatch function that keeps a Parquet table of the latest row of each key, in buckets of the keys' hash (column __bucket).
 
