@@ -135,15 +135,13 @@ PAGE_PLACES = (
 )
 
 
-def page_price(html: Column) -> Column:
-    """The price on an item's page: the larger of a fee pair, else the first positive price of the known places, else of JSON-LD offers."""
+def page_price(html: Column, offers: Column | None = None) -> Column:
+    """The price on an item's page: the larger of a fee pair, else the first positive price of the known places, else of the given JSON-LD offers (sources.pages.offer_prices)."""
     over = lambda x: F.when(x > 0, x)
     pairs = []
     for p in FEE_PAIRS:
         a, b = (over(parse_price(F.rtrim(F.regexp_extract(html, p, k), F.lit(",. ")))) for k in (1, 2))
         pairs.append(F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)))
     places_ = [over(parse_price(F.regexp_extract(html, p, 1))) for p in PAGE_PLACES]
-    script = F.regexp_extract(html, r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
-    offers = F.regexp_extract_all(script, F.lit(r'(?s)"offers"\s*:\s*[\[{].*?"price"\s*:\s*"?([0-9.,]+)'), F.lit(1))
-    listed = F.get(F.filter(F.transform(offers, parse_price), lambda x: x > 0), F.lit(0))
+    listed = F.get(F.filter(F.transform(offers, parse_price), lambda x: x > 0), F.lit(0)) if offers is not None else F.lit(None).cast("double")
     return F.coalesce(*pairs, *places_, listed)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, dates, price, text
 from ..operators import deals
-from ..sources import tables
+from ..sources import pages, tables
 from .adapters import query, r, table
 
 _NORM = "trim(regexp_replace(regexp_replace({x}, 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
@@ -169,3 +169,12 @@ def parse_lists(spark, sf_dir):
     fresh = F.when(c("c_custkey") % 100 == 0, c("c_acctbal") + 1).otherwise(c("c_acctbal") + 0.001)
     t = tables.price_change(table(spark, sf_dir, "customer").withColumn("fresh", fresh).withColumn("raw", raw), "fresh", "c_acctbal")
     return t.select("c_custkey", F.array_join(tables.parse_list(c("raw")), "|").alias("parsed_list"), c("PriceChanged").alias("changed"))
+
+
+@query("""with l as (select page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) href, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) label,
+  unnest(range(len(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)))) card_no from pages)
+select page_id, card_no::int card_no, replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') href, replace(replace(replace(replace(label, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as label from l""")
+def html_cards(spark, sf_dir):
+    """Every entry of every page's navigation: one page to many rows."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    return pages.cards(p, "html", ("li", ""), {"href": ("a", "", "href"), "label": ("a", "", "text")}).select("page_id", "card_no", "href", "label")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import price
 from ..operators import ml, tracking
+from ..sources import pages
 from .adapters import SCORES, query, r, scores, table
 
 _RUNS = """runs as (select o_orderkey run_id, o_orderpriority family, o_orderdate created_at from orders), mets as (select l_orderkey run_id, l_shipmode_ search_name, l_returnflag approach, l_discount test_precision, case when l_linestatus = 'F' then 'trained' else 'skipped' end status, l_quantity >= 45 qualified, l_linenumber, l_suppkey, l_extendedprice from (select *, 's' || (l_suppkey % 4) l_shipmode_ from lineitem))"""
@@ -97,9 +98,9 @@ def page_prices(spark, sf_dir):
     k = F.col("p_partkey") % 4
     html = (
         F.when(k == 0, F.concat(F.lit("<p>"), p, F.lit(".00 € "), q, F.lit(".00 € incl. Buyer Protection</p>"))).when(k == 1, F.concat(F.lit('<meta property="product:price:amount" content="'), p, F.lit('.00">')))
-        .when(k == 2, F.concat(F.lit('<script type="application/ld+json">{"a": {"offers": [{"price": "'), p, F.lit('.00"}]}}</script>'))).otherwise("<p>none</p>")
+        .when(k == 2, F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">{"@graph": [{"a": {"offers": {"price": 0}}}, {"deep": [[{"offers": [{"price": "none"}, {"price": "'), p, F.lit('.00"}]}]]}, {"offers": {"price": 1}}]}</script>'))).otherwise("<p>none</p>")
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), price.page_price(html).alias("price"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), html.alias("html")).select("k", price.page_price(F.col("html"), pages.offer_prices(F.col("html"))).alias("price"))
 
 
 @query()
