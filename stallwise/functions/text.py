@@ -14,7 +14,7 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
 
 
-_FROM, _TO = _accents()
+ACCENTED, PLAIN = _accents()
 
 #: Aliases that are spelt out. Fixed values.
 ALIASES = ((r"\baf\s?1\b", "air force 1"), (r"\baf1\b", "air force 1"), (r"\blv\b", "louis vuitton"))
@@ -41,7 +41,7 @@ MODEL_CODE = r"\b[a-z]{1,4}\d{2,6}\b|\b\d{2,4}\b"
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, _FROM, _TO)
+    return F.translate(c, ACCENTED, PLAIN)
 
 
 def normalise(c: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, Imputer, NGram, Normalizer, OneHotEncoder, PCA, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -10,6 +13,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ACCENTED, PLAIN
+from ..sources.scratch import Scratch
+from .splits import folds
+
 #: Seeds, sizes and vocabularies of the registry. Fixed values.
 SEED, TERMS, TREES, FOREST = 42, 500, 120, 240
 
@@ -26,16 +33,21 @@ CLASSIFIERS = {
     "lightgbm": lambda: GBTClassifier(maxIter=60, maxDepth=5, stepSize=0.05, subsamplingRate=0.9, featureSubsetStrategy="0.8", seed=SEED),
     "catboost": lambda: GBTClassifier(maxIter=50, maxDepth=6, stepSize=0.06, seed=SEED),
     "extra_trees_tuned": lambda: RandomForestClassifier(numTrees=FOREST, maxDepth=14, minInstancesPerNode=3, featureSubsetStrategy="sqrt", subsamplingRate=1.0, seed=SEED),
-    "hist_gb_tuned": lambda: GBTClassifier(maxIter=80, maxDepth=4, stepSize=0.05, minInstancesPerNode=20, validationTol=0.005, seed=SEED),
+    "hist_gb_tuned": lambda: GBTClassifier(maxIter=80, maxDepth=4, stepSize=0.05, minInstancesPerNode=20, validationTol=0.005, validationIndicatorCol="__held", seed=SEED),
 }
 #: Models that learn with class weights, and those without texts. Fixed values.
-WEIGHTED = ("logistic", "sgd", "svm", "tree", "forest", "extra_trees", "extra_trees_tuned", "hist_gb_tuned")
+WEIGHTED = ("logistic", "sgd", "svm", "tree", "forest", "extra_trees", "extra_trees_tuned", "hist_gb_tuned", "catboost")
 WITHOUT_TEXT = ("extra_trees", "extra_trees_tuned", "hist_gb", "hist_gb_tuned", "catboost")
 STACKED = ("forest", "xgboost", "lightgbm")
+#: Settings of the full preparation, over those of the plain one. Fixed values.
+FULL = {"terms": 400, "min_df": 3, "accents": True, "min_frequency": 5}
+
 
+def preparation(numbers: list[str], texts: list[str] = (), categories: list[str] = (), scale: bool = True, terms: int = TERMS, min_df: int = 2, components: int = 0, accents: bool = False, min_frequency: int = 1) -> list:
+    """Stages from columns to ``features``: medians for missing numbers, one- and two-word TF-IDF for each text, one-hot categories; components > 0 reduces the texts by PCA.
 
-def preparation(numbers: list[str], texts: list[str] = (), categories: list[str] = (), scale: bool = True, terms: int = TERMS, min_df: int = 2, components: int = 0) -> list:
-    """Stages from columns to ``features``: medians for missing numbers, one- and two-word TF-IDF for each text, one-hot categories; components > 0 reduces the texts by PCA."""
+    accents: strip them first. Categories of fewer than min_frequency rows have no column, and are all zeros, as new ones are.
+    """
     stages, parts = [], []
     if numbers:
         filled = [f"{c}__filled" for c in numbers]
@@ -44,7 +56,7 @@ def preparation(numbers: list[str], texts: list[str] = (), categories: list[str]
         parts.append("__scaled" if scale else "__numbers")
     for c in texts:
         stages += [
-            SQLTransformer(statement=f"select *, lower(coalesce(`{c}`, '')) as `{c}__low` from __THIS__"),
+            SQLTransformer(statement=f"select *, {_folded(c) if accents else f"lower(coalesce(`{c}`, ''))"} as `{c}__low` from __THIS__"),
             RegexTokenizer(inputCol=f"{c}__low", outputCol=f"{c}__one", pattern=r"[^a-z0-9]+", minTokenLength=2),
             NGram(n=2, inputCol=f"{c}__one", outputCol=f"{c}__two"),
             SQLTransformer(statement=f"select *, concat(`{c}__one`, `{c}__two`) as `{c}__terms` from __THIS__"),
@@ -54,19 +66,31 @@ def preparation(numbers: list[str], texts: list[str] = (), categories: list[str]
         if components:
             stages.append(PCA(k=components, inputCol=f"{c}__tfidf", outputCol=f"{c}__pca"))
         parts.append(f"{c}__pca" if components else f"{c}__tfidf")
-    if categories:
+    if categories and min_frequency > 1:
+        for c in categories:
+            stages += [SQLTransformer(statement=f"select *, array_compact(array(cast(`{c}` as string))) as `{c}__one` from __THIS__"), CountVectorizer(inputCol=f"{c}__one", outputCol=f"{c}__hot", minDF=float(min_frequency), binary=True)]
+        parts += [f"{c}__hot" for c in categories]
+    elif categories:
         index, hot = [f"{c}__index" for c in categories], [f"{c}__hot" for c in categories]
         stages += [StringIndexer(inputCols=list(categories), outputCols=index, handleInvalid="keep"), OneHotEncoder(inputCols=index, outputCols=hot)]
         parts += hot
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
 
 
+def _folded(c: str) -> str:
+    """SQL of a column in lower case without accents."""
+    return f"translate(lower(coalesce(`{c}`, '')), '{ACCENTED}', '{PLAIN}')"
+
+
 def pipeline(name: str, label: str, weight: str | None = None, **columns) -> Pipeline:
     """The model's stages; weight: a column of row weights, e.g. balanced_weights, for the models that take class weights."""
     if name in WITHOUT_TEXT:
         columns["texts"] = ()
     learner = CLASSIFIERS[name]().setLabelCol(label).setFeaturesCol("features")
-    return Pipeline(stages=[*preparation(**columns), learner.setWeightCol(weight) if weight and name in WEIGHTED else learner])
+    held = []
+    if learner.hasParam("validationIndicatorCol") and learner.isDefined("validationIndicatorCol"):  # a tenth of the rows, by a hash of their numbers, tells when to stop
+        held = [SQLTransformer(statement=f"select *, pmod(xxhash64({', '.join(f'`{c}`' for c in columns['numbers'])}), 10) = 0 as `__held` from __THIS__")]
+    return Pipeline(stages=[*held, *preparation(**columns), learner.setWeightCol(weight) if weight and name in WEIGHTED else learner])
 
 
 def stacked_scores(train: DataFrame, df: DataFrame, label: str, key: str, base: tuple[str, ...] = STACKED, name: str = "score", **columns) -> DataFrame:
@@ -121,17 +145,75 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
 
 
 def with_scores(model, df: DataFrame, name: str = "score") -> DataFrame:
-    """df with the model's probability of label 1; of a margin model, the logistic function of its margin (Platt's form, to be calibrated by platt)."""
+    """df with the model's probability of label 1; of a margin model, the logistic function of its margin (calibrated_svm calibrates it)."""
     out = model.transform(df)
     if "probability" in out.columns:
         return out.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
     return out.withColumn(name, 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))).select(*df.columns, name)
 
 
-def platt(scored: DataFrame, score: str, label: str):
-    """A model that calibrates scores: a logistic regression on their log odds."""
-    odds = SQLTransformer(statement=f"select *, ln(greatest(`{score}`, 1e-9) / greatest(1 - `{score}`, 1e-9)) as __odds from __THIS__")
-    return Pipeline(stages=[odds, VectorAssembler(inputCols=["__odds"], outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol=label, predictionCol="__p", rawPredictionCol="__r", probabilityCol="__q")]).fit(scored)
+def platt(df: DataFrame, margin: str, label: str, steps: int = 50) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + exp(a * margin + b)), the likeliest for labels smoothed as (n1 + 1) / (n1 + 2) and 1 / (n0 + 2), by Newton steps of one aggregation each."""
+    rows = df.select(F.col(margin).cast("double").alias("m"), (F.col(label) == 1).alias("y")).filter("m is not null and y is not null and not isnan(m)")
+    n, n1 = rows.agg(F.count(F.lit(1)), F.count_if("y")).first()
+    high, low = (n1 + 1) / (n1 + 2), 1 / (n - n1 + 2)
+    t, m = F.when(F.col("y"), high).otherwise(low), F.col("m")
+    a, b = 0.0, float(np.log((n - n1 + 1) / (n1 + 1)))
+
+    def cost(a: float, b: float, more: tuple = ()):
+        z = a * m + b
+        loss = t * z + F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        return rows.agg(F.sum(loss), *more).first()
+
+    for _ in range(steps if n else 0):
+        p = 1 / (1 + F.exp(a * m + b))
+        d, w = t - p, p * (1 - p)
+        now, ga, gb, haa, hab, hbb = cost(a, b, (F.sum(m * d), F.sum(d), F.sum(m * m * w), F.sum(m * w), F.sum(w)))
+        if max(abs(ga), abs(gb)) < 1e-9 * max(n, 1):
+            break
+        step, scale = np.linalg.solve(np.array([[haa + 1e-12, hab], [hab, hbb + 1e-12]]), np.array([ga, gb])), 1.0
+        while scale > 1e-10 and cost(a - scale * step[0], b - scale * step[1])[0] > now + 1e-12 * abs(now):
+            scale /= 2
+        a, b = a - scale * step[0], b - scale * step[1]
+    return float(a), float(b)
+
+
+def margins(model, df: DataFrame, name: str) -> DataFrame:
+    return model.transform(df).select(*df.columns, vector_to_array("rawPrediction")[1].alias(name))
+
+
+def calibrated_svm(train: DataFrame, df: DataFrame, label: str, key: str, cv: int = 3, name: str = "score", weight: str | None = None, **columns) -> DataFrame:
+    """df with a linear SVM's calibrated probability: each of cv models learns from the other folds (dealt round by class), is calibrated on margins of the fold that it hasn't seen, and the probabilities are averaged."""
+    scratch = Scratch(df.sparkSession, "svm")
+    dealt, found = scratch.write(folds(train, label, key, cv, "__fold")), []
+    for k in range(cv):
+        model = pipeline("svm", label, weight, **columns).fit(dealt.filter(F.col("__fold") != k))
+        a, b = platt(scratch.write(margins(model, dealt.filter(F.col("__fold") == k), "__m").select("__m", label)), "__m", label)
+        df = margins(model, df, f"__m{k}")
+        found.append(1 / (1 + F.exp(a * F.col(f"__m{k}") + b)))
+    scratch.close()
+    return df.withColumn(name, sum(found[1:], found[0]) / cv).drop(*[f"__m{k}" for k in range(cv)])
+
+
+def svd_vectors(df: DataFrame, text: str, k: int = 50, name: str = "svd", terms: int = TERMS, min_df: int = 2, accents: bool = False, **_) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(df with the text's TF-IDF vector in the first k right singular directions, the directions as columns, the singular values): a truncated SVD of the sparse rows, not centred.
+
+    Spark finds the singular vectors from products of the distributed rows with vectors; what comes to the driver is terms by k.
+    """
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    model = Pipeline(stages=preparation([], [text], terms=terms, min_df=min_df, accents=accents)[:-1]).fit(df)
+    rows = Scratch(df.sparkSession, "svd").write(model.transform(df).select(*df.columns, F.col(f"{text}__tfidf").alias("__x")))  # read once for each product
+    size = len(model.stages[-2].vocabulary)
+    found = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select("__x"), "__x")).computeSVD(min(k, size), False)
+    v, s = found.V.toArray(), found.s.toArray()
+
+    @F.pandas_udf("array<double>")
+    def projected(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_numpy()) @ v) if len(x) else [], dtype=object)
+
+    return rows.withColumn(name, projected(vector_to_array("__x"))).drop("__x"), v, s
 
 
 def stacker(wide: DataFrame, scores: list[str], label: str):

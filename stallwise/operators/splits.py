@@ -54,9 +54,9 @@ def stratified(df: DataFrame, strata: list[str], key: str, seed: int = 42, train
     return hash_ranked(df, strata, key, seed).select(*df.columns, split.alias("split"))
 
 
-def folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
-    """Adds fold: round robin inside each class, in the order of the key."""
-    return ranked(df, [label], [key]).select(*df.columns, ((F.col("__r") - 1) % k).alias("fold"))
+def folds(df: DataFrame, label: str, key: str, k: int, name: str = "fold") -> DataFrame:
+    """Adds the fold: round robin inside each class, in the order of the key."""
+    return ranked(df, [label], [key]).select(*df.columns, ((F.col("__r") - 1) % k).alias(name))
 
 
 def capped(df: DataFrame, strata: list[str], key: str, most: int, least: int = 1, seed: int = 42) -> DataFrame:

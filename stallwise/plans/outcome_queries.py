@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.coerce import hours_between
-from ..operators import cluster, ml, outcomes, resolve
+from ..operators import cluster, explain, ml, outcomes, resolve
 from ..streaming import streams
 from .adapters import CHECKS, LISTING, NOW, TRACKED, checks, listing, query, r, scores, table, tracked
 
@@ -193,18 +193,45 @@ def variant_summary(spark, sf_dir):
     return out.select("brand", "state", "n", *[r(F.col(c)).alias(c) for c in ("sold_rate", "q25", "med", "q75", "mad")])
 
 
+def _labelled_texts(spark, sf_dir):
+    """Labelled documents, four fifths of them to learn from."""
+    rows = scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("n"), "s", "text", "search", F.col("y").cast("double").alias("label"))
+    rows = rows.withColumn("fold", F.when(F.col("doc_id") % 5 > 0, "train").otherwise("test"))
+    return rows, ml.balanced_weights(rows.filter("fold = 'train'"), "label")
+
+
+_COLUMNS = {"numbers": ["n", "s"], "texts": ["text"], "categories": ["search"]}
+
+
 def _model(name):
     def run(spark, sf_dir):
-        rows = scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("n"), "s", "text", "search", F.col("y").cast("double").alias("label"))
-        rows = rows.withColumn("fold", F.when(F.col("doc_id") % 5 > 0, "train").otherwise("test"))
-        train = ml.balanced_weights(rows.filter("fold = 'train'"), "label")
-        model = ml.pipeline(name, "label", "weight", numbers=["n", "s"], texts=["text"], categories=["search"]).fit(train)
+        rows, train = _labelled_texts(spark, sf_dir)
+        if name == "svm":
+            return ml.calibrated_svm(train, rows, "label", "doc_id", weight="weight", **_COLUMNS).select("doc_id", "fold", "score")
+        model = ml.pipeline(name, "label", "weight", **_COLUMNS, **ml.FULL).fit(train)
         return ml.with_scores(model, rows).select("doc_id", "fold", "score")
 
     run.__name__ = f"model_{name}"
     return run
 
 
+@query()
+def tree_importance(spark, sf_dir):
+    """Mean absolute Shapley value of each feature of a boosted model over all labelled documents."""
+    rows, train = _labelled_texts(spark, sf_dir)
+    model = ml.pipeline("xgboost", "label", **_COLUMNS, **ml.FULL).fit(train)
+    values, _ = explain.with_shapley(model.stages[-1], ml.PipelineModel(model.stages[:-1]).transform(rows))
+    return explain.importance(values).select("feature", r(F.col("importance")).alias("importance"), r(F.col("mean")).alias("mean"))
+
+
+@query()
+def text_directions(spark, sf_dir):
+    """Each document's TF-IDF vector in the first 50 singular directions, by its length there and its share of the squared length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, _, _ = ml.svd_vectors(docs, "text", **ml.FULL)
+    return out.select("doc_id", r(F.aggregate("svd", F.lit(0.0), lambda a, x: a + x * x)).alias("squared"))
+
+
 for _name in ("logistic", "svm", "tree", "extra_trees_tuned", "hist_gb_tuned", "lightgbm"):
     query()(_model(_name))
 
