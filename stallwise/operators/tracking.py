@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -77,21 +79,28 @@ def threshold_sweep(df: DataFrame, hours: str, s1: tuple[Column, Column], s2: tu
     return out.withColumn("precision", F.col("sold_count") / F.col("evaluated_count"))
 
 
-def weight_search(df: DataFrame, parts: list[str], label: str, rules: int = 1000, seed: int = 42, bar: float = 0.5) -> DataFrame:
-    """Random weights (seeded, summing to 1) of component scores: rule, weights, selected, positives, precision at score >= bar.
+def random_weights(parts: int, rules: int, seed: int) -> np.ndarray:
+    """Rows of weights that sum to 1, evenly spread: exponential draws, each from the first 52 bits of md5(rule|part|seed), by their sum."""
+    bits = [int(hashlib.md5(f"{k}|{j}|{seed}".encode()).hexdigest()[:13], 16) for k in range(rules) for j in range(parts)]
+    drawn = -np.log((np.array(bits, float) + 1) / 2.0**52).reshape(rules, parts)
+    return drawn / np.maximum(drawn.sum(axis=1, keepdims=True), 1e-300)
+
+
+def weight_search(df: DataFrame, parts: list[str], label: str, rules: int = 30_000, seed: int = 42, bar: float = 0.5) -> DataFrame:
+    """Random weights (random_weights) of component scores: rule, weights, selected, positives, precision at score >= bar.
 
     Each batch of rows is multiplied with the matrix of rules; what leaves a task is two counts for each rule.
     """
-    weights = np.random.default_rng(seed).dirichlet(np.ones(len(parts)), rules)
+    weights = random_weights(len(parts), rules, seed)
 
     def run(batches):
         n, pos = np.zeros(rules, np.int64), np.zeros(rules, np.int64)
         for b in batches:
             x = np.stack([np.nan_to_num(b.column(k).to_numpy(zero_copy_only=False).astype(float)) for k in range(len(parts))], axis=1)
             y = np.nan_to_num(b.column(len(parts)).to_numpy(zero_copy_only=False).astype(float))
-            for a in range(0, len(x), 4096):
-                hit = x[a : a + 4096] @ weights.T >= bar
-                n, pos = n + hit.sum(axis=0), pos + (hit * y[a : a + 4096, None]).sum(axis=0).astype(np.int64)
+            for a in range(0, len(x), 512):
+                hit = x[a : a + 512] @ weights.T >= bar
+                n, pos = n + hit.sum(axis=0), pos + (hit * y[a : a + 512, None]).sum(axis=0).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(rules)), pa.array(n), pa.array(pos)], ["rule", "selected", "positives"])
 
     counts = df.select(*parts, label).mapInArrow(run, "rule long, selected long, positives long").groupBy("rule").agg(F.sum("selected").alias("selected"), F.sum("positives").alias("positives"))

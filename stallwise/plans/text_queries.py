@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coerce, dates, price, text
-from ..operators import deals
+from ..operators import cluster, deals
 from ..sources import pages, tables
 from .adapters import query, r, table
 
@@ -178,3 +178,38 @@ def html_cards(spark, sf_dir):
     """Every entry of every page's navigation: one page to many rows."""
     p = table(spark, sf_dir, "pages").select("page_id", "html")
     return pages.cards(p, "html", ("li", ""), {"href": ("a", "", "href"), "label": ("a", "", "text")}).select("page_id", "card_no", "href", "label")
+
+
+@query("""with o as (select o_orderkey, o_orderpriority p, o_custkey, o_totalprice, case when o_orderkey % 5 > 0 then o_custkey::varchar || '.0' else ' ' end id, case when o_orderkey % 7 > 0 then 'https://x/items/' || o_orderkey || '-a' end link, (o_orderkey % 500) - 1 as days from orders)
+select o_orderkey, lower(trim(p)) || '::' || trim(replace(id, '.0', '')) tracking, trim(p) || '::' || trim(replace(id, '.0', '')) derived, case when id <> ' ' then 'Dataid:' || replace(id, '.0', '') when link is not null then 'Link:' || link else '' end prefixed,
+  coalesce(nullif(trim(id), ''), link, p || '|' || o_custkey) as identity, case when link is not null then o_orderkey::varchar end link_id, regexp_replace(lower(p), '[^a-z0-9]', '', 'g') as status, trim(regexp_replace(lower(p), '[^a-z0-9]+', '_', 'g'), '_') as slug,
+  case when days < 0 then 'unknown' when days < 1 then '<1d' when days < 2 then '1d' when days < 7 then '2-6d' when days < 14 then '1-2w' when days < 30 then '2-4w' when days < 90 then '1-3m' when days < 365 then '3-12m' else '1y+' end as band from o""")
+def keys_and_bands(spark, sf_dir):
+    """Keys of listings, with ids or links missing in some; statuses, names of folders, and age bands."""
+    c = F.col
+    o = table(spark, sf_dir, "orders").withColumn("id", F.when(c("o_orderkey") % 5 > 0, F.concat(c("o_custkey").cast("string"), F.lit(".0"))).otherwise(" "))
+    o = o.withColumn("link", F.when(c("o_orderkey") % 7 > 0, F.concat(F.lit("https://x/items/"), c("o_orderkey").cast("string"), F.lit("-a"))))
+    days = F.nullif((c("o_orderkey") % 500 - 1).cast("double"), F.lit(-1.0))
+    return o.select(
+        "o_orderkey", coerce.tracking_key(c("o_orderpriority"), c("id")).alias("tracking"), coerce.derived_key(c("o_orderpriority"), c("id")).alias("derived"), coerce.prefixed_key(c("id"), c("link")).alias("prefixed"),
+        coerce.item_identity(c("id"), c("link"), c("o_orderpriority"), c("o_custkey")).alias("identity"), coerce.id_from_link(c("link")).alias("link_id"), text.status(c("o_orderpriority")).alias("status"), text.slug(c("o_orderpriority")).alias("slug"), dates.age_band(days).alias("band"),
+    )
+
+
+@query("""with e as (select vec_id, label, list_transform(embedding, lambda x: round(x::double, 3)) v from embeddings)
+select vec_id, round(list_sum(v), 3) total, round((coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 6)::double bad_photo, case when label >= 4 then least(greatest(v[1] * 20 - v[2], -10.0), 10.0) end legacy,
+  case when label % 3 = 0 and vec_id % 2 = 0 then 1.0 when label % 3 = 0 or vec_id % 2 = 0 then 0.0 else len(list_intersect(['a', 'b'], ['b', 'c' || label])) / 3.0 end::double alike
+from (select *, case when vec_id % 3 > 0 then v[1] end a, case when vec_id % 2 > 0 then v[2] end b from e)""")
+def vector_scores(spark, sf_dir):
+    """Vectors read from JSON; photo scores of which some are missing; the older deal score; similarity of word sets, two empty ones being alike."""
+    c = F.col
+    e = table(spark, sf_dir, "embeddings").withColumn("json", F.to_json(F.transform("embedding", lambda x: F.round(x.cast("double"), 3))))
+    e = e.withColumn("v", F.transform(tables.parse_vector(c("json")), lambda x: F.round(x.cast("double"), 3)))
+    one, two = F.get("v", F.lit(0)), F.get("v", F.lit(1))
+    none = F.array().cast("array<string>")
+    a = F.when(c("label") % 3 == 0, none).otherwise(F.array(F.lit("a"), F.lit("b")))
+    b = F.when(c("vec_id") % 2 == 0, none).otherwise(F.array(F.lit("b"), F.concat(F.lit("c"), c("label").cast("string"))))
+    return e.select(
+        "vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 3).alias("total"), r(cluster.mean_available(F.when(c("vec_id") % 3 > 0, one), F.when(c("vec_id") % 2 > 0, two))).alias("bad_photo"),
+        deals.legacy_score(one * 20, two, c("label")).alias("legacy"), text.jaccard(a, b, both_empty=1.0).alias("alike"),
+    )

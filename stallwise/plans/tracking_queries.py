@@ -103,10 +103,12 @@ def page_prices(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), html.alias("html")).select("k", price.page_price(F.col("html"), pages.offer_prices(F.col("html"))).alias("price"))
 
 
-@query()
+@query(f"""with {SCORES}, e as (select k, -ln((('0x' || substr(md5(k || '|0|42'), 1, 13))::bigint + 1) / 4503599627370496.0::double) a, -ln((('0x' || substr(md5(k || '|1|42'), 1, 13))::bigint + 1) / 4503599627370496.0::double) b from (select unnest(range(30000)) k)),
+w as (select k, a / (a + b) a, b / (a + b) b from e), h as (select k, count(*) filter (s * a + toxic * b >= 0.5) n, coalesce(sum(y) filter (s * a + toxic * b >= 0.5), 0) p from w, scores group by k)
+select k as rule, n selected, p::bigint positives, round(case when n > 0 then p / n end, 6)::double as precision from h""")
 def weight_search(spark, sf_dir):
     rows = scores(spark, sf_dir).withColumn("t", F.col("toxic").cast("double"))
-    return tracking.weight_search(rows, ["s", "t"], "y", rules=200).select("rule", "selected", "positives", r(F.col("precision")).alias("precision"))
+    return tracking.weight_search(rows, ["s", "t"], "y").select("rule", "selected", "positives", r(F.col("precision")).alias("precision"))
 
 
 @query()
