@@ -50,23 +50,48 @@ def _matching(spark: SparkSession, glob: str) -> list[str]:
     return sorted(str(f.getPath()) for f in found) if found is not None else []
 
 
-def _each(spark: SparkSession, paths: list[str], schema: StructType, name: str, tag) -> DataFrame:
-    """The files' rows by column name, with tag(path). Headers differ between files, so each file is a scan of its own (there are as many as searches)."""
-    out = spark.createDataFrame([], StructType([*schema.fields]).add(name, "string"))
+def _header(spark: SparkSession, path: str) -> str:
+    """A file's first line; empty of an empty file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    opened = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        jvm = spark.sparkContext._jvm.java
+        return jvm.io.BufferedReader(jvm.io.InputStreamReader(opened, "UTF-8")).readLine() or ""
+    finally:
+        opened.close()
+
+
+def _each(spark: SparkSession, paths: list[str], schema: StructType, name: str, part: int) -> DataFrame:
+    """The files' rows by column name, with a part of the path, counted from its end. Files of one header are one scan, however many they are."""
+    from ..functions.coerce import ensure_columns
+
+    of: dict[str, list[str]] = {}
     for path in paths:
-        out = out.unionByName(read_csv(spark, path, schema).withColumn(name, F.lit(tag(path))))
+        of.setdefault(_header(spark, path), []).append(path)
+    out = spark.createDataFrame([], StructType([*schema.fields]).add(name, "string"))
+    tag = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/"), -part)
+    for alike in of.values():
+        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(alike)
+        rows = raw.select("*", tag.alias("__tag"))
+        rows = raw.select(*[F.col(f"`{c}`") for c in raw.columns if c != name], tag.alias(name))
+        out = out.unionByName(ensure_columns(rows, StructType([f for f in schema.fields if f.name != name]).add(name, "string")))
     return out
 
 
 def read_tagged(spark: SparkSession, glob: str, schema: StructType, name: str = "source_file") -> DataFrame:
     """All files of a glob with their file name."""
-    return _each(spark, _matching(spark, glob), schema, name, lambda p: p.rsplit("/", 1)[-1])
+    return _each(spark, _matching(spark, glob), schema, name, 1)
 
 
 def read_search_folders(spark: SparkSession, root: str, file: str, schema: StructType, exclude: tuple[str, ...] = ()) -> DataFrame:
     """root/<search>/file of every folder that has one, with the folder's name as SearchName."""
     paths = [p for p in _matching(spark, f"{root.rstrip('/')}/*/{file}") if p.split("/")[-2] not in exclude]
-    return _each(spark, paths, schema, "SearchName", lambda p: p.split("/")[-2])
+    return _each(spark, paths, schema, "SearchName", 2)
+
+
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Adds the rows as lines of JSON to the folder at path, under Spark's commit protocol; null fields are left out."""
+    df.write.mode("append").json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -81,11 +106,13 @@ def data_lines(spark: SparkSession, path: str) -> int:
     return max(0, spark.read.text(path).count() - 1) if exists(spark, path) else 0
 
 
-def latest_run(spark: SparkSession, root: str, file: str) -> str | None:
-    """The last folder (by name) below root that holds the file."""
+def latest_run(spark: SparkSession, root: str, file: str, by: str = "name") -> str | None:
+    """The folder below root that holds the file and is the last by name, or by "time": whose file was changed last, of equal times the last by name."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/{file}")
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
-    return max((str(f.getPath().getParent()) for f in found), default=None)
+    order = (lambda f: (f.getModificationTime(), str(f.getPath()))) if by == "time" else (lambda f: str(f.getPath()))
+    last = max(found, key=order, default=None)
+    return str(last.getPath().getParent()) if last else None
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite") -> None:

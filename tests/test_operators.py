@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -191,6 +193,11 @@ def test_sources(spark, tmp_path):
     for run in ("run1", "run2"):
         (tmp_path / run).mkdir()
         (tmp_path / run / "f.csv").write_text("Title\nq\n")
+    os.utime(tmp_path / "run1" / "f.csv", (4e9, 4e9))
+    assert tables.latest_run(spark, str(tmp_path), "f.csv", "time").endswith("run1")
+    for k in range(2):
+        tables.append_jsonl(spark.createDataFrame([(k, "x" if k else None)], "k int, v string"), str(tmp_path / "log"))
+    assert sorted(map(tuple, tables.read_jsonl(spark, str(tmp_path / "log"), spark.createDataFrame([], "k int, v string").schema).collect())) == [(0, None), (1, "x")]
     assert tables.latest_run(spark, str(tmp_path), "f.csv").endswith("run2") and tables.data_lines(spark, str(tmp_path / "run1" / "f.csv")) == 1
     assert {r["SearchName"] for r in tables.read_search_folders(spark, str(tmp_path), "f.csv", tables.LISTING).collect()} == {"run1", "run2"}
 
@@ -220,3 +227,15 @@ def test_image_metrics(spark):
     df = spark.createDataFrame([("a", bytearray(ppm)), ("b", bytearray(b"junk"))], "path string, content binary")
     got = {r["path"]: r for r in cluster.image_metrics(df).collect()}
     assert got["a"]["brightness"] == pytest.approx(0.5) and got["b"]["hash"] is None
+
+
+def test_files_of_one_header_are_one_scan(spark, tmp_path):
+    """Odd folder names, headers in another order, a quoted line break, an empty file."""
+    for name, text in (("a b+c%20", "id,v\n1,x\n2,\"two\nlines\"\n"), ("d", "id,v\n3,y\n"), ("e", "v,id\nz,4\n"), ("empty", ""), ("out", "id,v\n9,q\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.csv").write_text(text)
+    schema = spark.createDataFrame([], "id int, v string").schema
+    df = tables.read_search_folders(spark, str(tmp_path), "f.csv", schema, exclude=("out",))
+    assert sorted(map(tuple, df.collect())) == [(1, "x", "a b+c%20"), (2, "two\nlines", "a b+c%20"), (3, "y", "d"), (4, "z", "e")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3
+    assert tables.read_tagged(spark, str(tmp_path / "d" / "*.csv"), schema).first()["source_file"] == "f.csv"
