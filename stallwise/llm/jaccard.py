@@ -3,6 +3,8 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Documents with equal sets are one class (a 64-bit hash
 of the set), told apart by nothing that follows, so copies never meet one another. The classes are joined:
 
+Texts are hashed once: the sets are written with their bitmaps, one for each class and task, and all that follows reads them.
+
 1. Frequencies: one pass counts shingles in a sketch of fixed size (``CELLS`` counters); a shingle's rank is (log2 of its counter,
    hash), rare ones first. Any fixed order gives the same links; this one keeps frequent shingles out of the tiles.
 2. Tiles: two sets with Jaccard j >= threshold t share one of their first n - ceil(t n) + 1 shingles in that order. These
@@ -109,7 +111,7 @@ def prefix_length(n):
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, node of every row; the bitmap goes along with a class's first row in the task."""
+    """doc_id, n, node of every row; the sorted set and its bitmap go along with a class's first row in the task. Texts are hashed here and nowhere else."""
     seen = np.zeros(0, np.int64)
     for batch in batches:
         for a, b, data, offsets in text_steps(batch.column(1)):
@@ -118,7 +120,15 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = _fresh(node, n, seen)
             seen = np.union1d(seen, node[fresh])
             bits = [bitmap(keys[at[r] : at[r + 1]]).tobytes() if fresh[r] else None for r in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(node), pa.array(bits, pa.binary())], ["doc_id", "n", "node", "bits"])
+            made = [keys[at[r] : at[r + 1]].tobytes() if fresh[r] else None for r in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(node), pa.array(bits, pa.binary()), pa.array(made, pa.binary())], ["doc_id", "n", "node", "bits", "made"])
+
+
+def set_steps(sets: pa.Array, step_bytes: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, row of each hash counted from the first, hash) for runs of written sets."""
+    for a, b, data, offsets in text_steps(sets, step_bytes):
+        n = np.diff(offsets) // 8
+        yield a, b, np.repeat(np.arange(b - a), n), np.frombuffer(data.tobytes(), np.uint64)
 
 
 def _fresh(node: np.ndarray, n: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -160,16 +170,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's counters, each held to 255: enough for an order, and small to send."""
     cells = np.zeros(CELLS, np.int32)
     for batch in batches:
-        for _, _, data, offsets in text_steps(batch.column(0)):
-            keys, n = np.unique((shingle_sets(data, offsets)[1] % np.uint64(CELLS)).astype(np.int32), return_counts=True)
-            cells[keys] += n.astype(np.int32)
+        for _, _, _, keys in set_steps(batch.column(0)):
+            at, n = np.unique((keys % np.uint64(CELLS)).astype(np.int32), return_counts=True)
+            cells[at] += n.astype(np.int32)
     yield _in_chunks(np.minimum(cells, 255).astype(np.uint8))
 
 
-def _ranks(texts: DataFrame) -> np.ndarray:
+def _ranks(sets: DataFrame) -> np.ndarray:
     """For each counter, the log2 of what it has beyond chance: 0 for counters within 2.5 deviations of the median. CELLS bytes."""
     total = np.zeros(CELLS, np.float32)
-    for chunk, blob in _merged(texts.mapInArrow(_sketch, "chunk int, part int, blob binary"), np.uint8, np.float32, np.add).collect():  # 4 * CELLS bytes in all
+    for chunk, blob in _merged(sets.mapInArrow(_sketch, "chunk int, part int, blob binary"), np.uint8, np.float32, np.add).collect():  # 4 * CELLS bytes in all
         total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(bytes(blob), np.float32)
     usual = float(np.median(total))
     return np.log2(np.maximum(total - usual - 2.5 * usual**0.5, 1)).astype(np.uint8)
@@ -197,9 +207,8 @@ def _postings(sent, buckets: int):
         rank, seen = sent.value, np.zeros(0, np.int64)
         for batch in batches:
             held = []
-            for a, b, data, offsets in text_steps(batch.column(0)):
-                rows, keys = shingle_sets(data, offsets)
-                n, node, _ = _classes(rows, keys, b - a)
+            for a, b, rows, keys in set_steps(batch.column(1)):
+                node, n = np.asarray(batch.column(0))[a:b], np.bincount(rows, minlength=b - a)
                 fresh = _fresh(node, n, seen)  # a copy of what this task has had adds nothing
                 seen = np.union1d(seen, node[fresh])
                 here = fresh[rows]
@@ -344,23 +353,6 @@ def _passes(bloom: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (bloom[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _sets(sent):
-    """Each class of the filter once for each task, with its sorted set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, seen = sent.value, np.zeros(0, np.int64)
-        for batch in batches:
-            for a, b, data, offsets in text_steps(batch.column(0)):
-                rows, keys = shingle_sets(data, offsets)
-                n, node, at = _classes(rows, keys, b - a)
-                found = np.flatnonzero(_fresh(node, n, seen) & _passes(bloom, node))
-                seen = np.union1d(seen, node[found])
-                made = [keys[at[r] : at[r + 1]].tobytes() for r in found]
-                yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(made, pa.binary())], ["node", "made"])
-
-    return run
-
-
 def _filtered(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -495,17 +487,17 @@ class Join:
 
     def __init__(self, docs: DataFrame, ws: Workspace | None):
         self.spark, self.ws = docs.sparkSession, ws or Workspace(docs.sparkSession, "jaccard")
-        self.texts = docs.select("text")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.nodes = self.ws.write(rows.mapInArrow(_nodes, "doc_id long, n long, node long, bits binary"), "nodes")
+        self.nodes = self.ws.write(rows.mapInArrow(_nodes, "doc_id long, n long, node long, bits binary, made binary"), "nodes")
+        self.sets = self.nodes.filter("made is not null").select("node", "made")
 
     def tiles(self) -> tuple[DataFrame, DataFrame]:
         """(pairs a, b, lead, na, nb, distinct; shingle, node, n, place of the large tiles)."""
         postings = self.nodes.filter("bits is not null").agg(F.sum(F.floor(F.col("n") / DEN) + 1)).first()[0] or 0
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(postings) // TASK_POSTINGS))
         buckets = max(BUCKETS, 8 * tasks)
-        sent = self.spark.sparkContext.broadcast(_ranks(self.texts))
-        packed = self.texts.mapInArrow(_postings(sent, buckets), "bucket int, shingles binary, nodes binary, sizes binary, places binary").repartition(tasks, "bucket")
+        sent = self.spark.sparkContext.broadcast(_ranks(self.sets.select("made")))
+        packed = self.sets.mapInArrow(_postings(sent, buckets), "bucket int, shingles binary, nodes binary, sizes binary, places binary").repartition(tasks, "bucket")
         tiles = self.ws.write(packed.mapInArrow(_tiles, "kind int, x long, a long, b long, na int, nb int"), "tiles")
         self.ws.free()  # the postings' shuffle is the largest of all
         pairs = self.ws.write(tiles.filter("kind = 0").groupBy("a", "b").agg(F.max("x").alias("lead"), F.min("na").alias("na"), F.min("nb").alias("nb")), "pairs")
@@ -523,9 +515,9 @@ class Join:
         return self.ws.write(made.mapInArrow(_bounded, "a long, b long, lead long"), f"bounded{name}")
 
     def prove(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links among written pairs (a, b and more columns). Whole sets are made, in a pass of their own, only for the classes in them."""
+        """The links among written pairs (a, b and more columns). Only the sets of the classes in them leave the scan."""
         sent, more = self.spark.sparkContext.broadcast(_bloom(*_ends(pairs))), pairs.columns[2:]
-        sets = self.texts.mapInArrow(_sets(sent), "node long, made binary")
+        sets = self.sets.mapInArrow(_filtered(sent), "node long, made binary")
         links = self.ws.write(_with_both(pairs, sets, *more).mapInArrow(_proven, pairs.schema), f"links{name}")
         self.ws.free()
         return links
