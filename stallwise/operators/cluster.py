@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from .ordered import quantiles, ranked
 
 
@@ -39,15 +42,21 @@ def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__m"))), lambda x: x["__m"]).alias("centroid"), F.max("__n").alias("n"))
 
 
-def nearest(df: DataFrame, table: DataFrame, vector: str, key: str, threshold: float | None = None) -> DataFrame:
-    """df with the nearest centroid's key and dist = 1 - dot (centroids aren't normalised again); -1 beyond the threshold.
+def nearest(df: DataFrame, table: DataFrame, vector: str, key: str, threshold: float | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """df with the nearest centroid's key and dist = 1 - dot (centroids aren't normalised again), ties to the smaller key; -1 beyond the threshold.
 
-    The centroids (bounded: one row for each cluster; broadcast by Spark's size check) are gathered into one array, so each row
-    scans it in place and no pairs are made.
+    The centroids' size is measured. Up to most_bytes they are gathered into one array that is broadcast, so each row scans it in place and no pairs are
+    made. More are dealt into blocks of that size, one after the other, with the best so far written in between, so that one block at a time is broadcast.
     """
-    packed = table.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("__t"))
-    found = F.array_min(F.transform("__t", lambda t: F.struct((1 - dot(F.col(vector), t["c"])).alias("dist"), t["k"].alias("k"))))
-    out = df.join(F.broadcast(packed), F.lit(True)).withColumn("__f", found)
+    n_bytes = table.agg(F.sum(F.size("centroid") * 8 + 32)).first()[0] or 0
+    blocks, out = max(1, math.ceil(n_bytes / most_bytes)), df
+    scratch = Scratch(df.sparkSession, "nearest") if blocks > 1 else None
+    for b in range(blocks):
+        part = table if scratch is None else table.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        packed = part.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("__t"))
+        found = F.array_min(F.transform("__t", lambda t: F.struct((1 - dot(F.col(vector), t["c"])).alias("dist"), t["k"].alias("k"))))
+        out = out.join(F.broadcast(packed), F.lit(True)).withColumn("__f", F.least("__f", found) if b else found).drop("__t")
+        out = scratch.write(out) if scratch else out
     hit = F.col("__f.k") if threshold is None else F.when(F.col("__f.dist") <= threshold, F.col("__f.k")).otherwise(F.lit(-1))
     return out.select(*df.columns, hit.alias("nearest"), F.col("__f.dist").alias("dist"))
 

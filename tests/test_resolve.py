@@ -167,3 +167,11 @@ def test_listing_deals_of_the_tables_against_a_plain_computation(spark):
         n, text, sim, sil, z = want[r["item"]]
         assert r["variant_count"] == n and r["variant_text"] == text and near(r["similarity"], sim) and near(r["product_silhouette"], sil) and near(r["z"], z), (r, want[r["item"]])
         assert ("weak_cluster" in r["notes"]) == (sil is not None and sil < 0.15) and ("far_from_centroid" in r["notes"]) == (sim is not None and sim < 0.45) and ("small_group" in r["notes"]) == (n < 3)
+
+
+def test_nearest_by_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(unit(rng.normal(size=(50, 4))))] + [(99, None)], "i int, v array<double>")
+    table = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(unit(rng.normal(size=(40, 4))))] + [(77, [0.0] * 4)], "k int, centroid array<double>")
+    one, many = ({r["i"]: (r["nearest"], r["dist"]) for r in cluster.nearest(rows, table, "v", "k", 0.4, most).collect()} for most in (1 << 20, 300))
+    assert one == many and len(one) == 51 and len({k for k, _ in one.values()}) > 10 and -1 in {k for k, _ in one.values()}
