@@ -25,9 +25,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is evaluated once: inside a lambda over an array, any other expression is evaluated again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    scaled = lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+    return let(a, scaled)
 
 
 def online_mean(mean: Column, n: Column, x: Column) -> Column:

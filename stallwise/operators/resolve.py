@@ -7,6 +7,8 @@ connected components are found by alternating stars, and every component is clus
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,12 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.scratch import Scratch
-from .cluster import average_linkage_of_vectors, centroids, cosine, numbered, silhouette_of_vectors, unit
+from .cluster import average_linkage_of_vectors, centroids, cosine, let, numbered, silhouette_of_vectors, unit
 from .deals import BATCH_RULES, DealRules, autotune, deal_z, price_stats, scored
 from .ordered import ranked
 
 #: Rows of a tile; a group of no more is clustered without looking for components.
 TILE = 2000
+#: Rows that share one call of Python, in the mean: small groups and components go together.
+TOGETHER = 10_000
 #: Cosine distances at which products, and variants that are not tuned, end. Share of a product's titles that have a core token. Fixed values.
 PRODUCT, VARIANT, CORE, PRICE_WEIGHT, LEAST_PRODUCT = 0.24, 0.33, 0.70, 0.35, 4
 
@@ -71,18 +75,18 @@ def _forest(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
-def _linkage(kind: pa.DataType):
-    def run(rows: pa.Table) -> pa.Table:
-        node = rows["node"].to_numpy()
-        order = np.argsort(node)
-        x = _matrix(rows["v"])[order]
-        label = average_linkage_of_vectors(x, rows["t"][0].as_py())
-        group = pa.array(rows["g"].to_pylist(), kind)
-        whole = rows["n"][0].as_py() <= rows["tile"][0].as_py()
-        s = silhouette_of_vectors(x, label) if whole else np.full(len(x), np.nan)
-        return pa.table({"g": group, "component": np.full(len(x), rows["component"][0].as_py()), "local": label.astype(np.int64), "node": node[order], "silhouette": s})
-
-    return run
+def _linkage(rows: pa.Table) -> pa.Table:
+    """Labels and silhouettes of all components in the table, each on its own; a component's rows are those of one number."""
+    order = np.lexsort((rows["node"].to_numpy(), rows["component"].to_numpy()))
+    node, component, whole, t = (rows[k].to_numpy()[order] for k in ("node", "component", "whole", "t"))
+    x = _matrix(rows["v"])[order]
+    label, s = np.zeros(len(x), np.int64), np.full(len(x), np.nan)
+    cuts = np.flatnonzero(np.diff(component, prepend=component[0] - 1, append=component[-1] + 1))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        label[a:b] = average_linkage_of_vectors(x[a:b], t[a]) if b - a > 1 else 0
+        if whole[a]:
+            s[a:b] = silhouette_of_vectors(x[a:b], label[a:b])
+    return pa.table({"component": component, "local": label, "node": node, "silhouette": s})
 
 
 def _separation(rows: pa.Table, means: pa.Table) -> pa.Table:
@@ -106,31 +110,37 @@ def clusters(df: DataFrame, group: str, item: str, vector: str, threshold: float
     """
     scratch = Scratch(df.sparkSession, "clusters")
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("item"), unit(F.col(vector)).alias("v"), t.cast("double").alias("t")).filter("g is not null and v is not null")
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("item"), unit(F.col(vector)).alias("v"), t.cast("double").alias("t"), F.col(vector).isNotNull().alias("there"))
+    rows = rows.filter("g is not null and there").drop("there")  # no filter on v itself, which would scale all vectors once more
     rows = ranked(rows, [], ["g", "item"], "node", "all").drop("all")
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
     rows = scratch.write(rows.join(sizes, "g").withColumn("tile", F.lit(tile)))
-    kind = rows.schema["g"].dataType
-    names = f"g {kind.simpleString()}, component long, local long, node long, silhouette double"
 
     large = rows.filter("n > tile").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     some = bool(large.head(1))
-    found = rows.withColumn("component", F.lit(-1).cast("long"))
+    found = rows.withColumn("component", F.col("first"))
     if some:
         cols = ["g", "node", "v", "t"]
         left = large.select(*cols, F.explode(F.sequence("i", F.col("tiles") - 1)).alias("j"), "i")
         right = large.select(*[F.col(c).alias(f"r_{c}") for c in cols], F.explode(F.sequence(F.lit(0), "i")).alias("k"), F.col("i").alias("l"))
         cell = lambda a, b: _forest(a, b.rename_columns([c.removeprefix("r_") for c in b.column_names]))
         edges = scratch.write(left.groupBy("g", "i", "j").cogroup(right.groupBy("r_g", "k", "l")).applyInArrow(cell, "a long, b long"))
-        found = rows.join(components(edges, scratch), "node", "left").withColumn("component", F.when(F.col("n") > F.col("tile"), F.coalesce("component", "node")).otherwise(-1))
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    local = scratch.write(found.select("g", "component", "node", "v", "t", "n", "tile").groupBy("g", "component").applyInArrow(_linkage(to_arrow_type(kind)), names))
-    firsts = ranked(local.groupBy("g", "component", "local").agg(F.min("node").alias("first")), ["g"], ["first"], "label", "all")
-    firsts = firsts.select(F.col("g").alias("fg"), F.col("component").alias("fc"), F.col("local").alias("fl"), (F.col("label") - 1).alias("label"))
-    same = (F.col("g") == F.col("fg")) & (F.col("component") == F.col("fc")) & (F.col("local") == F.col("fl"))
-    labelled = scratch.write(local.join(firsts, same).select("node", "label", "silhouette"))
+        found = rows.join(components(edges, scratch), "node", "left").withColumn("component", F.when(F.col("n") > F.col("tile"), F.coalesce("component", "node")).otherwise(F.col("first")))
+
+    # A component is named by its least node, so its name tells its group too.
+    bins = max(1, math.ceil(rows.count() / TOGETHER))
+    found = found.select("component", "node", "v", "t", (F.col("n") <= F.col("tile")).alias("whole"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"))
+    local = scratch.write(found.groupBy("bin").applyInArrow(_linkage, "component long, local long, node long, silhouette double"))
+    local = local.join(rows.select("node", "first", "n", "tile"), "node")
+    # In a whole group the linkage's labels are in the order of first members already; those of a large group's components are put in that order.
+    small = local.filter("n <= tile").select("node", F.col("local").alias("label"), "silhouette")
+    if some:
+        parts = local.filter("n > tile")
+        firsts = ranked(parts.groupBy("first", "component", "local").agg(F.min("node").alias("least")), ["first"], ["least"], "label", "all")
+        firsts = firsts.select(F.col("component").alias("fc"), F.col("local").alias("fl"), (F.col("label") - 1).alias("label"))
+        same = (F.col("component") == F.col("fc")) & (F.col("local") == F.col("fl"))
+        small = small.unionByName(parts.join(firsts, same).select("node", "label", "silhouette"))
+    labelled = scratch.write(small)
     out = rows.join(labelled, "node")
     if some:
         out = out.join(_silhouettes(out.filter("n > tile"), tile, scratch), "node", "left").withColumn("silhouette", F.when(F.col("n") > F.col("tile"), F.coalesce("s", F.lit(0.0))).otherwise(F.col("silhouette")))
@@ -154,7 +164,7 @@ def _silhouettes(rows: DataFrame, tile: int, scratch: Scratch) -> DataFrame:
 def hashed_vector(words: Column, dims: int = 64) -> Column:
     """A text's words counted in dims cells by their hash: a stand-in for a text encoder's vector. Texts without words are alike: a 1 in the first cell."""
     at = F.when(F.size(words) > 0, F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dims)))).otherwise(F.array(F.lit(0).cast("long")))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
+    return let(at, lambda cells: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(cells, lambda a: a == i)).cast("double")))
 
 
 def core_words(df: DataFrame, product: str, words: str) -> DataFrame:
@@ -217,6 +227,7 @@ def variants(df: DataFrame, product: str, item: str, words: str, price: str, vec
     found = clusters(rows.filter("__f is not null"), product, item, "__f", c("__variant_threshold"), tile)
     found = found.select(c(product).alias("__k"), c(item).alias("__i"), "label", "silhouette")
     rows = rows.join(found, (c(product) == c("__k")) & (c(item) == c("__i")), "left").withColumn("variant", F.coalesce("label", F.lit(0).cast("long")))
+    rows = Scratch(df.sparkSession, "variants").write(rows)
     means = centroids(rows.filter("__f is not null"), [product, "variant"], "__f").select(c(product).alias("__mk"), c("variant").alias("__mv"), "centroid")
     per = rows.groupBy(product).agg(F.when(F.countDistinct("variant") >= 2, F.avg("silhouette")).alias("product_silhouette")).withColumnRenamed(product, "__pk")
     rows = rows.join(means, (c(product) == c("__mk")) & (c("variant") == c("__mv")), "left").join(per, c(product) == c("__pk"))
@@ -260,7 +271,8 @@ def listing_deals(df: DataFrame, item: str, title: str, brand: str, price: str,
     rows = rows.withColumn("words", text.tokens(c("norm"))).withColumn("block", text.block_key(c("brand"), c("norm")))
     rows = Scratch(df.sparkSession, "listings").write(rows.withColumn("v", vector(c("words"))))
     products = clusters(rows, "block", "item", "v", PRODUCT, tile).select(c("item").alias("__i"), c("block").alias("__b"), c("label").alias("__l"))
-    rows = numbered(rows.join(products, c("item") == c("__i")), "__b", "__l", name="product_id").drop("__i", "__b", "__l", "v")
+    rows = Scratch(df.sparkSession, "products").write(rows.join(products, c("item") == c("__i")).drop("v"))
+    rows = Scratch(df.sparkSession, "products").write(numbered(rows, "__b", "__l", name="product_id").drop("__i", "__b", "__l"))
     rows = numbered(variants(rows, "product_id", "item", "words", "price", vector, tile=tile), "product_id", "variant", name="variant_id")
     rows = Scratch(df.sparkSession, "variants").write(rows)
     stats = price_stats(rows, ["variant_id"], "price").withColumnRenamed("n", "priced")
