@@ -268,11 +268,16 @@ def permutation_test(spark, sf_dir):
     return stats.permutation_chi_square(scores(spark, sf_dir), "search", "y")
 
 
-@query()
+@query(f"""with {SCORES}, t as (select search, count(*) filter (toxic = 0 and y = 0) n00, count(*) filter (toxic = 0 and y = 1) n01, count(*) filter (toxic = 1 and y = 0) n10, count(*) filter (toxic = 1 and y = 1) n11 from scores group by search),
+m as (select *, n00 + n01 r, n00 + n10 c, n00 + n01 + n10 + n11 n from t),
+k as (select *, unnest(generate_series(greatest(0, r + c - n), least(r, c))) k from m),
+p as (select *, lgamma(c + 1) - lgamma(k + 1) - lgamma(c - k + 1) + lgamma(n - c + 1) - lgamma(r - k + 1) - lgamma(n - c - r + k + 1) - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1) lp from k),
+h as (select *, max(case when k = n00 then lp end) over (partition by search) here from p)
+select search, any_value(n00) n00, any_value(n01) n01, any_value(n10) n10, any_value(n11) n11, round(least(1.0, sum(exp(lp)) filter (lp <= here + 1e-9)), 6)::double fisher_p from h group by search""")
 def fisher_tests(spark, sf_dir):
     n = lambda t, y: F.count_if((F.col("toxic") == t) & (F.col("y") == y))
     rows = scores(spark, sf_dir).groupBy("search").agg(*[n(t, y).alias(f"n{t}{y}") for t in (0, 1) for y in (0, 1)])
-    return stats.with_fisher(rows, "n00", "n01", "n10", "n11")
+    return stats.with_fisher(rows, "n00", "n01", "n10", "n11").withColumn("fisher_p", r(F.col("fisher_p")))
 
 
 @query(f"""with {SCORES}, h as (select *, ('0x' || substr(md5(doc_id || '|42'), 1, 15))::bigint h, count(*) over () c from scores),
