@@ -164,7 +164,8 @@ def _silhouettes(rows: DataFrame, tile: int, scratch: Scratch) -> DataFrame:
 def hashed_vector(words: Column, dims: int = 64) -> Column:
     """A text's words counted in dims cells by their hash: a stand-in for a text encoder's vector. Texts without words are alike: a 1 in the first cell."""
     at = F.when(F.size(words) > 0, F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dims)))).otherwise(F.array(F.lit(0).cast("long")))
-    return let(at, lambda cells: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(cells, lambda a: a == i)).cast("double")))
+    cells = F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))
+    return let(at, lambda found: F.transform(cells, lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("double")))
 
 
 def core_words(df: DataFrame, product: str, words: str) -> DataFrame:
