@@ -52,8 +52,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """The vectors as rows; those of groups with shorter vectors end in zeros, which change no dot product."""
     lists = vectors.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    values, length = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    if (length == length[0]).all():
+        return values.reshape(len(lists), -1)
+    out = np.zeros((len(lists), length.max()))
+    out[np.arange(length.max()) < length[:, None]] = values
+    return out
 
 
 def _forest(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -200,7 +206,7 @@ def variants(df: DataFrame, product: str, item: str, words: str, price: str, vec
     """df with variant_text, variant (from 0 in each product), similarity (to its variant's mean), and product_silhouette (null with one variant).
 
     A title's variant text is its words without the product's core. A row's features are the text's vector, the log price standardised in its product and
-    weighted, and if given image_weight times the image's vector (a null one is left out), scaled to length 1. tune sets core share, threshold and weight by product from how often
+    weighted, and if given image_weight times the image's vector (a null one counts as zeros), scaled to length 1. tune sets core share, threshold and weight by product from how often
     the text is empty and how far prices scatter; products of fewer than least rows are one variant.
     """
     c = F.col
@@ -223,7 +229,8 @@ def variants(df: DataFrame, product: str, item: str, words: str, price: str, vec
     rows = rows.withColumn("variant_text", F.when(enough, F.array_join(left, " ")).otherwise(""))
     features = F.concat(vector(left), F.array(c("__price_weight") * z))
     if image and image_weight > 0:
-        features = F.concat(features, F.coalesce(F.transform(image, lambda x: image_weight * x.cast("double")), F.array().cast("array<double>")))
+        none = F.array_repeat(F.lit(0.0), int(df.agg(F.max(F.size(image))).first()[0] or 0))
+        features = F.concat(features, F.coalesce(F.transform(image, lambda x: image_weight * x.cast("double")), none))
     rows = Scratch(df.sparkSession, "variants").write(rows.withColumn("__f", F.when(enough, unit(features))))
     found = clusters(rows.filter("__f is not null"), product, item, "__f", c("__variant_threshold"), tile)
     found = found.select(c(product).alias("__k"), c(item).alias("__i"), "label", "silhouette")

@@ -90,6 +90,31 @@ def test_listing_deals(spark, tile):
     assert again == {k: (r["product_id"], r["variant_id"], r["score"], r["notes"]) for k, r in got.items()}
 
 
+def test_groups_that_share_a_call(spark, monkeypatch):
+    """Many small groups of unlike widths and thresholds, some in each call of Python, are clustered each on its own."""
+    monkeypatch.setattr(resolve, "TOGETHER", 50)
+    rng = np.random.default_rng(9)
+    rows = [(f"g{g}", 100 * g + i, [float(a) for a in rng.normal(size=3 + g % 4)], 0.1 + 0.05 * (g % 7)) for g in range(60) for i in range(1 + g % 9)]
+    df = spark.createDataFrame(rows, "g string, i long, v array<double>, t double").repartition(5)
+    got = {r["i"]: (r["g"], r["label"], r["silhouette"]) for r in resolve.clusters(df, "g", "i", "v", F.col("t")).collect()}
+    assert len(got) == len(rows)
+    for g in range(60):
+        own = [r for r in rows if r[0] == f"g{g}"]
+        x = unit(np.array([v for _, _, v, _ in own]))
+        d = np.maximum(1 - x @ x.T, 0)
+        label = cluster.average_linkage(d, own[0][3])
+        assert [got[i][:2] for _, i, _, _ in own] == [(f"g{g}", k) for k in label.tolist()]
+        assert np.allclose([got[i][2] for _, i, _, _ in own], cluster.silhouette(d, label), atol=1e-9)
+    assert len({k for _, k, _ in got.values()}) > 3
+
+
+def test_missing_images_count_as_zeros(spark):
+    rows = [(1 + k // 8, k, ["same"], 10.0, None if k % 8 == 0 or k >= 8 else [1.0, 0.0]) for k in range(16)]
+    df = spark.createDataFrame(rows, "p int, i long, w array<string>, price double, image array<double>")
+    got = {r["i"]: (r["p"], r["variant"]) for r in resolve.variants(df, "p", "i", "w", "price", image="image", image_weight=3.0, tune=False).collect()}
+    assert len({got[k] for k in range(1, 8)}) == 1 and got[0] not in {got[k] for k in range(1, 8)} and {got[k] for k in range(8, 16)} == {(2, 0)}
+
+
 def test_image_weight_parts_variants(spark):
     rows = [(1, k, ["same"], 10.0, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(8)]
     df = spark.createDataFrame(rows, "p int, i long, w array<string>, price double, image array<double>")
