@@ -86,11 +86,15 @@ def meet(queries: DataFrame, rows: DataFrame, function: Callable[[pa.Table, pa.T
     n_rows, n_queries = blocks_of(rows, block_bytes), max(1, math.ceil((queries.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0) / block_bytes))
 
     def dealt(df: DataFrame, n: int) -> Column:
-        return F.pmod(F.xxhash64(*df.columns), F.lit(n))
+        return F.pmod(F.xxhash64(*df.columns), F.lit(n).cast("long"))
+
+    def every(n: int) -> Column:
+        """All blocks, of the type that dealt gives: a cogroup brings equal keys into one partition only if both sides' keys have the same types."""
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     names = [f"row_{c}" for c in rows.columns]  # queries and rows come of one table: no column may be common to both sides
-    q = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("row_block")).withColumn("query_block", dealt(queries, n_queries))
-    r = rows.toDF(*names).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("b"), dealt(rows.toDF(*names), n_rows).alias("a"))
+    q = queries.select("*", every(n_rows).alias("row_block")).withColumn("query_block", dealt(queries, n_queries))
+    r = rows.toDF(*names).select("*", every(n_queries).alias("b"), dealt(rows.toDF(*names), n_rows).alias("a"))
 
     def cell(some_queries: pa.Table, some_rows: pa.Table) -> pa.Table:
         some_rows = some_rows.select(names)

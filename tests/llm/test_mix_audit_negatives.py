@@ -262,3 +262,28 @@ def test_topk_of_many_queries_and_huge_components(spark, size):
         s = sorted((-grid.held(sum(a * b for a, b in zip(exact[q], v, strict=True))), i) for i, v in exact.items() if i != q)[:3]
         want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
     assert got == sorted(want)
+
+
+# 5 and 13, where Spark leaves the partitions as they are ----------------------------------------------------------
+
+
+@pytest.fixture
+def no_coalescing(spark):
+    """Large tables' partitions aren't brought together; small ones' are, unless this is off, and then all cells meet in one task."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 2000])
+def test_topk_in_many_partitions(spark, no_coalescing, block_bytes):
+    rng = np.random.default_rng(17)
+    rows = [(i, [float(x) for x in rng.integers(-9, 10, 4) / 7]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5, block_bytes=block_bytes).collect()))
+    x, want = np.array([[math.floor(256 * c) for c in v] for _, v in rows]), []
+    for q in range(0, 300, 50):
+        s = sorted((-int(a), i) for i, a in enumerate(x @ x[q]) if i != q)[:5]
+        want += [(q, k + 1, i, -a) for k, (a, i) in enumerate(s)]
+    assert got == want
