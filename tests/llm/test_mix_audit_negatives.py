@@ -287,3 +287,10 @@ def test_topk_in_many_partitions(spark, no_coalescing, block_bytes):
         s = sorted((-int(a), i) for i, a in enumerate(x @ x[q]) if i != q)[:5]
         want += [(q, k + 1, i, -a) for k, (a, i) in enumerate(s)]
     assert got == want
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 2000])
+def test_hard_negatives_in_many_partitions(spark, no_coalescing, block_bytes):
+    df, rows = vectors(spark)
+    got = sorted(map(tuple, negatives.mine(df, F.col("vec_id") % 10 == 0, block_bytes=block_bytes).collect()))
+    assert got == brute_negatives(rows, 10)
