@@ -401,6 +401,25 @@ def test_chunks_tokenise_as_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in t(texts)] == [e.ids for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_distinct_chunks_of_a_call_are_looked_up_once():
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return dict.__getitem__(self, key)
+
+    t = packing.ChunkTokenizer(packing.default_tokenizer())
+    t.chunks = Counted()
+    texts = ["One one's 12 don't--stop,\tÀÉ  x\xa0y\n\nend" * 50, "", "   ", "\n", "Ω <|endoftext|>a ſ", "one " * 5000, "\t\r", "a<|b 'S'll"]
+    for part in (texts, texts, [""], [" ", ""], []):
+        Counted.n = 0
+        got = [np.frombuffer(x, "<u4").tolist() for x in t(part)]
+        assert got == [e.ids for e in t.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert Counted.n <= len({c for x in part for c in x.replace("\n", " ").split(" ")})
+    assert len(t.last) < 1 << 24  # so that no ids hold the mark between chunks
+
+
 def test_fill_comes_as_close_as_any_subset():
     rng = np.random.default_rng(4)
     for _ in range(200):
