@@ -239,6 +239,43 @@ def test_hard_negatives_of_huge_components(spark, size):
     assert sorted(map(tuple, negatives.mine(df, F.col("vec_id") % 20 == 0).collect())) == brute_negatives(rows, 20)
 
 
+def repeating():
+    """Rows that stand several times, ids with several labels and ids with several vectors, anchors among them."""
+    rng = np.random.default_rng(23)
+    rows = [(i, [float(x) for x in rng.integers(-2, 5, 4) / 5], int(rng.integers(3))) for i in range(260)]
+    return rows + rows[:90] + rows[40:60] * 4 + [(i, v, (c + 1) % 3) for i, v, c in rows[95:160]] + [(i, v[::-1], c) for i, v, c in rows[145:210]]
+
+
+def brute_rows(rows, every, k=5, n=3):
+    """By the letter of the contract: each row is one, an anchor's own row is the only one left out."""
+    x, out = np.array([[math.floor(Fraction(c) * 256) for c in v] for _, v, _ in rows]), []
+    for a, (i, _, label) in enumerate(rows):
+        if i % every:
+            continue
+        scores = sorted((-int(s), rows[b][0], rows[b][2] == label) for b, s in enumerate(x @ x[a]) if b != a)
+        for s, j, _ in [r for r in scores if r[2]][:k]:
+            fit = [r for r in scores if not r[2] and 50 * -s <= 100 * -r[0] <= 95 * -s][:n]
+            out += [(i, j, r + 1, f[1], -s, -f[0]) for r, f in enumerate(fit)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 2000])
+def test_hard_negatives_count_every_row(spark, block_bytes):
+    rows = repeating()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, negatives.mine(df, F.col("vec_id") % 10 == 0, block_bytes=block_bytes, each_row=True).collect()))
+    want = brute_rows(rows, 10)
+    assert got == want and len(set(want)) < len(want)
+
+
+def test_op13_counts_every_row(spark, tmp_path):
+    rows = repeating()
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    moved = [(i, np.float32(v).tolist(), (c + 1) % 10 if i % 7 == 0 else c) for i, v, c in rows]
+    got = sorted(map(tuple, negatives.op13_hard_negatives(spark, str(tmp_path)).collect()))
+    assert got == brute_rows(moved, 50) and len(got) > 50
+
+
 def test_limits_are_exact():
     for p in [*range(-300, 300), 10**18, -(10**18)]:
         least, most = negatives.limits(p, 50, 95)
