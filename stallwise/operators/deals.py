@@ -33,13 +33,13 @@ class DealRules:
 BATCH_RULES = DealRules(min_count=3, min_confidence=0.35, min_margin=0.0, min_profit=0.0, mad_ratio=0.35, hard_mad_ratio=0.60, silhouette=0.15, centroid=0.45)
 
 
-def price_stats(df: DataFrame, keys: list[str], price: str) -> DataFrame:
-    """For each group: n, med, q25, q75, mad (median distance from the median, unscaled) over finite prices above 0.
+def price_stats(df: DataFrame, keys: list[str], price: str, weight: str | None = None) -> DataFrame:
+    """For each group: n, med, q25, q75, mad (median distance from the median, unscaled) over finite prices above 0. weight: how many equal rows a row stands for.
 
     Equal prices of a group are counted first, on the map side too, so what follows holds distinct prices, not rows; the median joins back to these
     counts for the second pass.
     """
-    good = df.filter((F.col(price) > 0) & ~F.isnan(price) & (F.col(price) < float("inf"))).groupBy(*keys, price).agg(F.count(F.lit(1)).alias("__c"))
+    good = df.filter((F.col(price) > 0) & ~F.isnan(price) & (F.col(price) < float("inf"))).groupBy(*keys, price).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__c"))
     first = good.groupBy(*keys).agg(F.sum("__c").alias("n"), F.percentile(price, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__c")).alias("__q"))
     first = first.select(*keys, "n", *[F.col("__q")[k].alias(c) for k, c in enumerate(("q25", "med", "q75"))])
     away = good.join(first.select(*keys, "med"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(price) - F.col("med")), F.lit(0.5), F.col("__c")).alias("mad"))

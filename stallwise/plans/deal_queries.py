@@ -88,10 +88,13 @@ def autotune(spark, sf_dir):
 @query()
 def listing_deals(spark, sf_dir):
     """The whole way: the latest snapshot of each supplier's listing of a part goes through blocks, products, variants and prices to a score; held to a plain computation in the tests."""
-    rows = listing(spark, sf_dir)
-    latest = rows.groupBy(F.concat_ws("-", "item_id", "supplier").alias("id")).agg(F.count(F.lit(1)).alias("snapshots"), F.max_by(F.struct("title", "brand", "price"), F.struct(*ORDER)).alias("row"))
-    out = resolve.listing_deals(latest.select("id", "snapshots", "row.*"), "id", "title", "brand", "price", "snapshots")
-    return out.select("item", "product_id", "variant_id", "variant_text", "variant_count", *[r(F.col(c)).alias(c) for c in ("similarity", "product_silhouette", "z", "expected_resale", "profit", "confidence", "score", "safety")], "eligible", "notes")
+    rows = listing(spark, sf_dir).repartition("item_id", "supplier")  # else the aggregate sorts all rows before its shuffle and after
+    latest = rows.groupBy("item_id", "supplier").agg(F.count(F.lit(1)).alias("snapshots"), F.max_by(F.struct("title", "brand", "price"), F.struct(*ORDER)).alias("row"))
+    rows = resolve.listings(latest.select(F.concat_ws("-", "item_id", "supplier").alias("id"), "snapshots", "row.*"), "id", "title", "brand", "price", "snapshots")
+    out = resolve.kind_deals(resolve.kinds(rows))  # numbers are rounded once a kind
+    names = ["product_id", "variant_id", "variant_text", "variant_count", "similarity", "product_silhouette", "z", "expected_resale", "profit", "confidence", "score", "safety", "eligible", "notes"]
+    out = out.select(*resolve.KIND, *[r(F.col(c)).alias(c) if c in names[4:12] else F.col(c) for c in names])
+    return resolve.of_each(rows, out).select("item", *names)
 
 
 @query(f"with {LISTING} select search, count(*) n, count(distinct item_id) items, min(price) low, round(quantile_cont(price, 0.5), 6) med, max(price) high, mode(brand order by brand) brand, round(avg((page > 3)::int), 6) rate from (select * from listing order by brand) group by search".replace("mode(brand order by brand) brand, ", ""))

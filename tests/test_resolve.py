@@ -200,3 +200,55 @@ def test_nearest_by_blocks(spark):
     table = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(unit(rng.normal(size=(40, 4))))] + [(77, [0.0] * 4)], "k int, centroid array<double>")
     one, many = ({r["i"]: (r["nearest"], r["dist"]) for r in cluster.nearest(rows, table, "v", "k", 0.4, most).collect()} for most in (1 << 20, 300))
     assert one == many and len(one) == 51 and len({k for k, _ in one.values()}) > 10 and -1 in {k for k, _ in one.values()}
+
+
+def test_neighbours_on_an_arc_are_average_linkage():
+    """Prices beside one text: merging neighbours by angle gives what comparing all pairs gives, of each row as often as its weight tells."""
+    rng = np.random.default_rng(4)
+    for k in range(12):
+        w = rng.integers(1, 6, size=40)
+        x = unit(np.column_stack([np.ones(40), rng.normal(scale=(0.3, 1.5, 6.0)[k % 3], size=40)]))
+        each = np.repeat(np.arange(40), w)
+        d = np.maximum(1 - x[each] @ x[each].T, 0)
+        for t in (0.02, 0.33, 3.0):
+            want = cluster.average_linkage(d, t)
+            for got in (cluster.average_linkage_on_arc(x, t, w), cluster.average_linkage_of_vectors(x, t, weight=w)):
+                assert got[each].tolist() == want.tolist()
+            assert np.allclose(cluster.silhouette_of_vectors(x, got, weight=w.astype(float))[each], cluster.silhouette(d, want), atol=1e-9)
+    assert cluster.average_linkage_on_arc(np.ones((3, 1)), 0.1).tolist() == [0, 0, 0]
+    assert not cluster.on_arc(np.array([[1.0, 0.0], [-1.0, 0.0]])) and not cluster.on_arc(np.ones((2, 3)))
+
+
+@pytest.mark.parametrize("tile", [10_000, 37])
+def test_weighted_clusters_are_those_of_the_repeated_rows(spark, tile):
+    rows = [(g, i, v, 1 + i % 4) for g, i, v in groups(200)] + [("arc", 2000 + i, [1.0, float(np.tan(0.02 * i - 1))], 1 + i % 3) for i in range(100)]
+    one = spark.createDataFrame(rows, "g string, i long, v array<double>, w int")
+    each = one.select("g", (F.col("i") * 10).alias("i"), "v", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("k")).withColumn("i", F.col("i") + F.col("k"))
+    got = {(r["g"], r["i"] * 10): (r["label"], r["silhouette"]) for r in resolve.clusters(one, "g", "i", "v", 0.24, tile, "w").collect()}
+    want = {(r["g"], r["i"]): (r["label"], r["silhouette"]) for r in resolve.clusters(each, "g", "i", "v", 0.24, tile).collect()}
+    assert len(got) == len(rows) and len(want) == sum(r[3] for r in rows)
+    for (g, i), (label, s) in want.items():
+        assert got[g, i // 10 * 10][0] == label and got[g, i // 10 * 10][1] == pytest.approx(s, abs=1e-9)
+
+
+def test_equal_listings_are_worked_on_once(spark, monkeypatch):
+    """Thirty copies of each listing under other items: no more rows are clustered than without copies, and every copy has the result."""
+    taken, plain = [], resolve.clusters
+    monkeypatch.setattr(resolve, "clusters", lambda df, *a, **k: taken.append(df.count()) or plain(df, *a, **k))
+    base = listings(spark).filter("id >= 100")
+    many = base.withColumn("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.col("id") + 1000 * k)))
+    got = resolve.listing_deals(many, "id", "t", "b", "p", "s").collect()
+    assert len(got) == 30 * base.count() and len({r["item"] for r in got}) == len(got)
+    assert taken and max(taken) < base.count()
+    of = {}
+    for r in got:
+        of.setdefault(r["item"] % 1000, set()).add((r["product_id"], r["variant_id"], r["variant_count"], r["z"], r["score"], r["notes"]))
+    assert len(of) == base.count() and all(len(v) == 1 for v in of.values())
+    assert {n for v in of.values() for _, _, n, *_ in v if n} >= {30 * 12}
+
+
+def test_kinds_that_are_not_broadcast(spark, monkeypatch):
+    key = lambda r: (r["item"], r["product_id"], r["variant_id"], r["score"], r["notes"])
+    first = sorted(map(key, resolve.listing_deals(listings(spark), "id", "t", "b", "p", "s").collect()), key=str)
+    monkeypatch.setattr(resolve, "BROADCAST", -1)
+    assert sorted(map(key, resolve.listing_deals(listings(spark), "id", "t", "b", "p", "s").collect()), key=str) == first and len(first) == listings(spark).count()
