@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from stallwise.operators import explain, ml
+from stallwise.sources.scratch import Scratch
 
 
 def table(spark, n=400):
@@ -96,27 +97,21 @@ def test_calibrated_svm(spark):
     assert np.abs(score - p).mean() < 0.06 and out[0].asDict().keys() == {"id", "a", "b", "y", "score"}
 
 
-def test_calibrated_svm_counts_terms_once(spark, monkeypatch):
-    """Vocabularies found in one pass give the scores of a pipeline of each fold's own; ties are cut alike however the rows lie; no text is counted fold by fold."""
+def test_vocabularies_of_all_folds(spark):
+    """One pass finds each fold's vocabulary, ties cut alike however the rows lie."""
     rng = np.random.default_rng(6)
     rows = [(i, float(i % 2), " ".join(f"w{k:02d}" for k in rng.integers(0, 24, 6) + 6 * (i % 2)), float(rng.normal())) for i in range(150)]
     df = spark.createDataFrame([*rows, (150, 1.0, None, 0.0)], "id int, y double, t string, n double")
-    columns = {"numbers": ["n"], "texts": ["t"], "min_df": 2}
-
-    dealt, want = ml.folds(df, "y", "id", 3, "__fold").cache(), df
-    for k in range(3):
-        model = ml.pipeline("svm", "y", **columns, terms=10_000).fit(dealt.filter(F.col("__fold") != k))
-        a, b = ml.platt(ml.margins(model, dealt.filter(F.col("__fold") == k), "__m"), "__m", "y")
-        want = ml.margins(model, want, f"__m{k}").withColumn(f"__p{k}", 1 / (1 + F.exp(a * F.col(f"__m{k}") + b)))
-    want = {r["id"]: (r["__p0"] + r["__p1"] + r["__p2"]) / 3 for r in want.collect()}
-    dealt.unpersist()
-
-    monkeypatch.setattr(ml, "CountVectorizer", None)
-    found = ml.calibrated_svm(df, df, "y", "id", terms=10_000, **columns)
-    got = {r["id"]: r["score"] for r in found.collect()}
-    assert found.columns == [*df.columns, "score"] and got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-3
-    few = [{r["id"]: r["score"] for r in ml.calibrated_svm(rows, df, "y", "id", terms=9, **columns).collect()} for rows in (df.repartition(5), df.coalesce(1))]
-    assert max(abs(few[0][i] - few[1][i]) for i in want) < 1e-6
+    columns = {"numbers": ["n"], "texts": ["t"]}
+    dealt, scratch = ml.folds(df, "y", "id", 3, "__fold").cache(), Scratch(spark, "t")
+    split = ml.Pipeline(stages=ml._terms("t", False)).fit(dealt)
+    found = lambda rows, size, least: ml.vocabularies(split.transform(rows), "t__terms", "__fold", 3, size, least, scratch)
+    for least in (2, 0.05):
+        for k, v in enumerate(found(dealt, 10_000, least)):
+            plain = ml.CountVectorizer(inputCol="t__terms", outputCol="c", vocabSize=10_000, minDF=least).fit(split.transform(dealt.filter(F.col("__fold") != k)))
+            assert sorted(v) == sorted(plain.vocabulary) and len(v) > 20
+    few = found(dealt.repartition(5), 9, 2)
+    assert few == found(dealt.coalesce(1), 9, 2) and [len(v) for v in few] == [9, 9, 9]
 
 
 def test_full_preparation(spark):
